@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.components import components
 from marginalia.session import materialize
 
 WORDS, BITS, BLOCK, LEAF = 5, 512, 1024, 64
@@ -293,3 +294,16 @@ def near_duplicates(texts: DataFrame, key: str = "note_id", text: str = "body",
     star = members.join(large, "class", "left_semi").where("class < key").select(F.col("class").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("similarity"))
     return other.unionByName(inside).unionByName(star).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
 
+
+def groups(texts: DataFrame, key: str = "note_id", text: str = "body", t: float = 0.8, words: int = WORDS) -> DataFrame:
+    """(key, class, group, n_links): one row per text with at least `words` words. class is the least key with an equal
+    shingle set, group the least key of the connected component, n_links the number of other classes it is linked to.
+
+    Links run between classes, so that copies, however many, add rows and no links."""
+    sets, members = classes(texts, key, text, words)
+    pairs = materialize(similar_classes(sets, t), "class-pairs")
+    both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    links = both.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("n_links"))
+    found = components(pairs).select(F.col("key").alias("class"), "group")
+    out = members.join(links, "class", "left").join(found, "class", "left")
+    return out.select(F.col("key").alias(key), "class", F.coalesce("group", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
