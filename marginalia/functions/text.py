@@ -261,7 +261,7 @@ def raw_text(front: Column, body: Column) -> Column:
 def wikilinks(body: Column) -> Column:
     """The targets of [[links]] outside code, embeds left out, as written and trimmed."""
     found = F.regexp_extract_all(without_code(body), F.lit(r"(?<!!)\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda t: t != "")
+    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def aliases(front: Column) -> Column:

@@ -28,7 +28,7 @@ def candidates(corpus: DataFrame) -> DataFrame:
     def values(key: str) -> Column:
         flow = F.regexp_extract("front", rf"(?im)^{key}:[ \t]*\[([^\]\r\n\[]*)\]", 1)
         one = tx.front_value(F.col("front"), key)
-        return F.when(flow != "", F.transform(F.split(flow, ","), F.trim)).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+        return F.when(flow != "", F.transform(F.split(flow, ","), lambda t: F.trim(t))).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
 
     def typed(key: str, rel: str) -> Column:
         return F.transform(values(key), lambda v: F.struct(v.alias("raw"), F.lit(rel).alias("rel")))

@@ -26,7 +26,7 @@ def read_folder(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> D
     listed = files.select(path.alias("p"), F.lit(base if base.startswith("/") else base.split(":", 1)[-1].replace("//", "", 1)).alias("r"), "content", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     listed = listed.withColumn("path", rel).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
     fits = F.col("size") <= max_bytes
-    text = F.when(fits, F.decode("content", F.lit("UTF-8")))
+    text = F.when(fits, F.decode("content", "UTF-8"))
     return listed.select("path", nfc(text).alias("text"), "mtime", "size", tx.is_archived(F.col("path")).alias("archived"), (~fits).alias("unreadable"))
 
 
