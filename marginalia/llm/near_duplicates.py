@@ -232,15 +232,16 @@ def _bits(sig: str) -> list:
 def similar_classes(sets: DataFrame, t: float) -> DataFrame:
     """(a, b, similarity) for the keys of different sets with similarity >= t; sets: (key, n, set, sig), one row a set."""
     kind = sets.schema["key"].dataType.simpleString()
-    each = sets.select("key", "n", F.explode("set").alias("sh"))
+    each = sets.select("key", F.explode("set").alias("sh"))
     df = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
     # of each text, its shingles that others have too, from the rarest; the others come first and meet nobody
-    met = each.join(df, "sh").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("own"))
+    met = each.join(df, "sh").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("own"))
+    met = met.join(sets.select("key", "n", "sig"), "key")  # one row a text, before its prefix is unfolded
     alone = F.col("n") - F.size("own")
     long = (F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1 - alone).cast("int")
     short = (F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - F.lit(1e-9)) + 1 - alone).cast("int")
-    prefix = met.where(long > 0).select("key", short.alias("n_short"), F.posexplode(F.slice("own", F.lit(1), long)).alias("at", "x"))
-    posts = prefix.join(sets.select("key", "n", "sig"), "key").select(F.col("x.sh").alias("sh"), F.col("x.df").alias("df"), "key", "n", (F.col("at") < F.col("n_short")).alias("short"), "sig")
+    prefix = met.where(long > 0).select("key", "n", "sig", short.alias("n_short"), F.posexplode(F.slice("own", F.lit(1), long)).alias("at", "x"))
+    posts = prefix.select(F.col("x.sh").alias("sh"), F.col("x.df").alias("df"), "key", "n", (F.col("at") < F.col("n_short")).alias("short"), "sig")
     blocks = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
     posts = materialize(posts.withColumn("block", F.when(F.col("df") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("key"), blocks).cast("int"))), "prefix-postings")
     out = f"a {kind}, b {kind}"
@@ -271,7 +272,8 @@ def classes(texts: DataFrame, key: str = "note_id", text: str = "body", words: i
     once = sets.groupBy("key").agg(F.min(F.struct("same", "n")).alias("x")).select("key", "x.same")
     members = once.join(once.groupBy("same").agg(F.min("key").alias("class")), "same").select("class", "key", "same")
     reps = members.where(F.col("class") == F.col("key")).select("key", "same")
-    return sets.join(reps, ["key", "same"], "left_semi").dropDuplicates(["key"]), members.select("class", "key")
+    one = sets.join(reps, ["key", "same"], "left_semi").dropDuplicates(["key"]).drop("same")
+    return materialize(one, "class-sets"), materialize(members.select("class", "key"), "class-members")
 
 
 def near_duplicates(texts: DataFrame, key: str = "note_id", text: str = "body", t: float = 0.5, words: int = WORDS, expand: int = 256) -> DataFrame:
@@ -281,7 +283,6 @@ def near_duplicates(texts: DataFrame, key: str = "note_id", text: str = "body",
     each text is linked to the class's least key, and only that key to other classes; together with the membership this
     is the whole relation without its square. Empty input gives no rows; other columns are not read."""
     sets, members = classes(texts, key, text, words)
-    members = materialize(members, "class-members")
     size = members.groupBy("class").agg(F.count("*").alias("size"))
     large = size.where(F.col("size") > expand).select("class")
     acting = members.join(large, "class", "left_anti").unionByName(large.select("class", F.col("class").alias("key")))
