@@ -17,15 +17,16 @@ from marginalia.session import materialize
 class Vault:
     """corpus: sources.vault.corpus(). A scoped vault is one over the rows an agent may read, so that all statistics are too."""
 
-    def __init__(self, corpus: DataFrame, chunks: DataFrame | None = None, keep: bool = True):
+    def __init__(self, corpus: DataFrame, chunks: DataFrame | None = None, named: DataFrame | None = None, keep: bool = True):
         self.spark: SparkSession = corpus.sparkSession
-        self.corpus, self.chunks = corpus, chunks
+        self.corpus, self.chunks, self.named = corpus, chunks, named
         self._keep = materialize if keep else (lambda df, name: df)
 
     def scoped(self, agent: DataFrame) -> Vault:
         """The vault as an agent (read_scopes, deny_read) sees it."""
         chunks = None if self.chunks is None else access.scoped(self.chunks, agent)
-        return Vault(access.scoped(self.corpus, agent), chunks)
+        named = None if self.named is None else access.scoped(self.named, agent)
+        return Vault(access.scoped(self.corpus, agent), chunks, named)
 
     @cached_property
     def fields(self) -> DataFrame:
@@ -57,7 +58,7 @@ class Vault:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._keep(graph.build(self.corpus), "edges")
+        return self._keep(graph.build(self.corpus, self.named), "edges")
 
     @cached_property
     def dates(self) -> DataFrame:

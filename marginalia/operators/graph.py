@@ -20,9 +20,9 @@ def _separated(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(_key(c), r"\\+$", ""), "[-_]+", " "), r"\s+", " "))
 
 
-def candidates(corpus: DataFrame) -> DataFrame:
+def candidates(corpus: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(src, to_text, rel, source, soft): links of a note before resolution, each target once per type. Front-matter values are
-    soft unless written as [[link]]."""
+    soft unless written as [[link]], and so are names (path, name) that were found in notes by other means."""
     body = corpus.select(F.col("path").alias("src"), F.explode(tx.wikilinks(F.col("body"))).alias("to_text"), F.lit("mentions").alias("rel"), F.lit("wikilink").alias("source"), F.lit(False).alias("soft"))
 
     def values(key: str) -> Column:
@@ -38,6 +38,8 @@ def candidates(corpus: DataFrame) -> DataFrame:
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", "^[\"']?\\[\\[|^[\"']", ""), "\\]\\][\"']?$|[\"']$", ""), "[|#].*$", ""))
     front = front.select("src", bare.alias("to_text"), "rel", F.lit("frontmatter").alias("source"), (~F.col("raw").rlike(r"^[\"']?\[\[.*\]\][\"']?$")).alias("soft")).where("to_text != ''")
     both = body.unionByName(front)
+    if named is not None:
+        both = both.unionByName(named.where("path is not null and trim(name) != ''").select(F.col("path").alias("src"), F.trim("name").alias("to_text"), F.lit("named").alias("rel"), F.lit("mention").alias("source"), F.lit(True).alias("soft")))
     first = both.groupBy("src", "rel", F.lower("to_text").alias("k")).agg(F.min(F.struct("to_text", "source", "soft")).alias("x"))
     return first.select("src", "x.to_text", "rel", "x.source", "x.soft")
 
@@ -73,8 +75,8 @@ def resolve(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     return x.where(dst.isNotNull() | ~F.col("soft")).select("src", F.coalesce(dst, F.col("to_text")).alias("dst"), "rel", "source", dst.isNull().alias("unresolved"))
 
 
-def build(corpus: DataFrame) -> DataFrame:
-    return resolve(candidates(corpus), corpus)
+def build(corpus: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    return resolve(candidates(corpus, named), corpus)
 
 
 def rebuild(old_edges: DataFrame, old_notes: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def corpus(spark, sf):
 
 @query(sql.GRAPH + "select src, dst, rel, source, unresolved from edges")
 def link_edges(spark, sf):
-    return graph.build(corpus(spark, sf))
+    return vault(spark, sf).edges
 
 
 @query(sql.GRAPH + "select name, path from nmap")
@@ -74,6 +74,20 @@ def link_relatedness(spark, sf):
     return graph.link_relatedness(v._keep(graph.adjacency(v.edges), "adjacency")).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query("""with e as (select distinct 'c' || o_custkey c, 'p' || l_partkey p from lineitem join orders on l_orderkey = o_orderkey), adj as (select c src, p dst from e union all select p, c from e), dg as (select src, count(*) deg from adj group by src),
+vi as (select adj.dst v, d.deg d, adj.src from adj join dg d on d.src = adj.dst where d.deg <= 150), pr as (select x.src a, y.src b, sum(1 / ln(greatest(x.d, 2))) aa, count(*) k from vi x join vi y using (v) where x.src < y.src group by all),
+sc as (select a, b, 0.5 * aa + 3 * k / (da.deg + db.deg - k) score from pr join dg da on da.src = a join dg db on db.src = b), bw as (select a, b, score from sc union all select b, a, score from sc),
+rk as (select *, row_number() over (partition by a order by round(score, 9) desc, b) nth from bw) select a, b, nth, round(score, 6) score from rk where nth <= 8""")
+def copurchase_related(spark, sf):
+    """The eight most related customers or parts of each, over the graph of who bought what."""
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    adj = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    w = Window.partitionBy("a").orderBy(F.round("score", 9).desc(), "b")
+    return graph.both_ways(graph.link_relatedness(adj)).withColumn("nth", F.row_number().over(w)).where("nth <= 8").select("a", "b", F.col("nth").cast("long").alias("nth"), F.round("score", 6).alias("score"))
+
+
 _TOP = sql.INDEX + """, tw as (select note_id, term, (1 + ln(tf)) * ln(n / df) w from post join df using (term) cross join st where length(term) >= 3 and df <= 0.2 * n),
 tn as (select *, row_number() over (partition by note_id order by round(w, 9) desc, term) nth from tw), top as (select * from tn where nth <= 15)"""
 

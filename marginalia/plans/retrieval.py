@@ -15,7 +15,8 @@ from marginalia.sources import vault as src
 
 
 def vault(spark: SparkSession, sf: str) -> Vault:
-    return Vault(src.corpus(src.notes(spark, sf)), table(spark, sf, "note_chunks"))
+    named = table(spark, sf, "entity_names").where("origin = 'mention'").select("path", F.col("name_text").alias("name"))
+    return Vault(src.corpus(src.notes(spark, sf)), table(spark, sf, "note_chunks"), named)
 
 
 def _asked(v: Vault) -> DataFrame:

@@ -100,7 +100,8 @@ GRAPH = CORPUS + f""",
 wl as (select path src, regexp_extract(m, '\\[\\[([^\\]|#]+)', 1) t from (select path, unnest(regexp_extract_all({_NOCODE}, '!?\\[\\[[^\\]|#]+(?:[|#][^\\]]*)?\\]\\]')) m from c) where not starts_with(m, '!')),
 fr as ({" union all ".join(_front(k, r) for k, r in (("related", "related_to"), ("source", "sourced_from"), ("area", "in_area"), ("creator", "by_creator"), ("platform", "on_platform")))}),
 cand0 as (select src, trim(t) to_text, 'mentions' rel, 'wikilink' source, false soft from wl where trim(t) <> ''
-  union all select src, trim(regexp_replace(regexp_replace(regexp_replace(raw, '^["'']?\\[\\[|^["'']', ''), '\\]\\]["'']?$|["'']$', ''), '[|#].*$', '')), rel, 'frontmatter', not regexp_matches(raw, '^["'']?\\[\\[.*\\]\\]["'']?$') from fr),
+  union all select src, trim(regexp_replace(regexp_replace(regexp_replace(raw, '^["'']?\\[\\[|^["'']', ''), '\\]\\]["'']?$|["'']$', ''), '[|#].*$', '')), rel, 'frontmatter', not regexp_matches(raw, '^["'']?\\[\\[.*\\]\\]["'']?$') from fr
+  union all select path, trim(name_text), 'named', 'mention', true from entity_names where origin = 'mention' and path is not null and trim(name_text) <> ''),
 cand as (select src, rel, min(struct_pack(to_text := to_text, source := source, soft := soft)) x from cand0 where to_text <> '' group by src, rel, lower(to_text)),
 nm as (select distinct {_KEY.format("n")} as name, path from (select path, unnest(list_concat([title], aliases)) n from c) where {_KEY.format("n")} <> ''),
 nmap as (select name, min(struct_pack(weak := weak, d := len(string_split(path, '/')), path := path)).path as path from (select name, path, 0 weak from nm union all select lower(path), path, 1 from c union all select regexp_replace(lower(path), '\\.md$', ''), path, 1 from c) group by name),
