@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import RANKING
 from marginalia.functions import text as tx
-from marginalia.operators import access, audit, fusion, graph, history, lanes, linking, structure, temporal
+from marginalia.operators import access, audit, delivery, fusion, graph, history, lanes, linking, structure, temporal
 from marginalia.operators import index as ix
 from marginalia.session import materialize
 
@@ -65,8 +65,15 @@ class Vault:
         return temporal.dated(self.corpus).select("note_id", "date")
 
     def question_terms(self, questions: DataFrame) -> DataFrame:
+        """(qid, term, n, at, df, idf, ...): words of no note are replaced by their correction, or else by an inflection of theirs."""
         q = ix.question_terms(questions.select("qid", tx.strip_frames(F.substring("question", 1, 4000)).alias("question")))
-        return self._keep(lanes.with_idf(q, self.doc_freq, self.stats), "question-terms")
+        q = self._keep(lanes.with_idf(q, self.doc_freq, self.stats), "question-terms")
+        fixed = lanes.corrections(q, ix.vocabulary(self.doc_freq), self.stats).select("qid", "term", F.col("correction").alias("new"))
+        rare = q.where((F.col("df") < 3) & (F.instr("term", " ") == 0))
+        varied = lanes.morph_variants(self.doc_freq, rare)
+        x = q.select("qid", "term", "n", "at").join(fixed, ["qid", "term"], "left").join(varied, "term", "left")
+        x = x.select("qid", F.coalesce("new", "variant", "term").alias("term"), "n", "at").groupBy("qid", "term").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+        return self._keep(lanes.with_idf(x, self.doc_freq, self.stats), "question-terms-corrected")
 
     def recall(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(answers, outcomes) of questions (qid, question): (qid, note_id, path, score, rank) and (qid, found, gate_cover, absent,
@@ -88,6 +95,12 @@ class Vault:
         spread = lanes.spread(seeds, adj, back)
         known = self._keep(fusion.known_item(q, self.terms, self.lengths), "known")
         ranked = {"title": title, "bm25": bm, "rare": rare, "coverage": lanes.ranked(cov, k.lane_depth), "proximity": lanes.ranked(prox, k.lane_depth), "tsmatch": lanes.ranked(ts, k.lane_depth), "graph": lanes.ranked(spread, k.lane_depth)}
+        temporal_q = questions.select("qid", tx.is_temporal(F.col("question")).alias("t")).where("t").select("qid")
+        entities = ix.entity_vocabulary(self.corpus).join(ids, "path").select("note_id", "name")
+        entity = lanes.entity_fuzzy(q, entities, self.stats)
+        ranked["entity"] = lanes.ranked(entity, k.entity_depth)
+        ranked["time"] = lanes.ranked(lanes.time_lane(q.join(temporal_q, "qid", "left_semi"), self.postings, self.dates), 30)
+        ranked["title_recency"] = lanes.ranked(lanes.title_recency(q.join(temporal_q, "qid", "left_semi"), self.corpus, self.dates), 20)
         nav = known.where((F.col("nth") == 1) & (F.col("cover") >= k.navigational_cover)).select("qid", F.lit(True).alias("nav"))
         listed = {n: r.select("qid", "note_id", "rank").join(nav, "qid", "left") for n, r in ranked.items()}
         every = None
@@ -98,7 +111,9 @@ class Vault:
         fused = every.withColumn("w", w).groupBy("qid", "note_id").agg(F.sum(F.col("w") / (k.rrf_k + F.col("rank"))).alias("rrf"))
         fused = lanes.ranked(fused.withColumnRenamed("rrf", "score"), 20).select("qid", "note_id", F.col("score").alias("rrf"))
         scaled = self._keep(fusion.rescale(fused, ids, questions.select("qid", tx.is_episodic(F.col("question")).alias("episodic"))), "scaled")
-        pins = fusion.rare_pins(q, self.postings, self.priors).unionByName(fusion.title_subset_pins(q, self.terms, self.lengths)).unionByName(fusion.known_pins(known))
+        pins = fusion.rare_pins(q, self.postings, self.priors)
+        for more in (delivery.pair_pins(q, self.postings, self.terms, self.priors), delivery.category_pins(q, temporal_q, self.corpus, self.dates), fusion.title_subset_pins(q, self.terms, self.lengths), delivery.entity_pins(entity), fusion.known_pins(known)):
+            pins = pins.unionByName(more)
         order = fusion.splice(scaled, pins)
         answers = order.join(ids, "note_id").join(scaled.select("qid", "note_id", "score"), ["qid", "note_id"], "left").select("qid", "note_id", "path", "score", "rank")
         outcomes = fusion.gate(fusion.absent_mass(q), cov)
@@ -108,6 +123,12 @@ class Vault:
         q = self.question_terms(questions)
         return lanes.search(questions, self.corpus, q, self.postings, limit)
 
+    def excerpts(self, questions: DataFrame, answers: DataFrame, results: int = 5, chars: int = 14_000, sections: int = 3) -> DataFrame:
+        """(qid, rank, nth, note_id, section): the best sections of the answers within a budget of characters."""
+        q = self.question_terms(questions)
+        top = answers.where(F.col("rank") <= results)
+        return delivery.deliver(top, delivery.best_sections(q, top.select("qid", "note_id"), self.corpus, sections), results, chars)
+
     def context(self, answers: DataFrame, hops: int = 3, cap: int = 15) -> DataFrame:
         """(qid, path, hops): the neighbourhood of each question's first answer."""
         return graph.neighbourhood(answers.where("rank = 1").select("qid", "path"), graph.adjacency(self.edges), hops, cap)

@@ -1,0 +1,181 @@
+"""What an answer is made of: sections, windows, evidence, budgets; and checks of the answer against its question."""
+
+from __future__ import annotations
+
+import bisect
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marginalia.functions import text as tx
+from marginalia.operators import fusion, lanes
+
+#: Roles that name a person, and types of notes about persons.
+ROLES = "accountant advisor agent assistant boss broker client coach colleague contact customer dentist designer developer doctor investor landlord lawyer manager mentor partner sponsor supplier teacher vendor".split()
+PERSON_TYPES = ("person", "people", "contact", "partner", "profile", "client", "vendor")
+
+
+def densest(text: str, words: list[str], weights: list[float], span: int, marks_each: int = 60, lead: int = 200) -> str:
+    """The stretch of about `span` characters with the largest weight of words (each word's first 60 places count), begun a little
+    before its first mark and at the start of a line or word. A text within the span is whole."""
+    if len(text) <= span:
+        return text
+    low, marks = text.lower(), []
+    for w, k in zip(words, weights, strict=True):
+        at = low.find(w) if w else -1
+        for _ in range(marks_each):
+            if at < 0:
+                break
+            marks.append((at, w, k))
+            at = low.find(w, at + max(1, len(w)))
+    if not marks:
+        return text[:span]
+    marks.sort()
+    places = [m[0] for m in marks]
+    best, start = -1.0, 0
+    for i, (at, _, _) in enumerate(marks):
+        inside = marks[i : bisect.bisect_left(places, at + span - lead)]
+        mass = sum({w: k for _, w, k in inside}.values()) + 0.01 * len(inside)
+        if mass > best:
+            best, start = mass, at
+    start = max(0, min(start - lead, len(text) - span))
+    if start:
+        line, space = text.find("\n", start, start + lead), text.find(" ", start, start + lead)
+        start = line + 1 if line >= 0 else space + 1 if space >= 0 else start
+    return text[start : start + span]
+
+
+def window(text: Column, words: Column, weights: Column, span: int) -> Column:
+    def run(t: pd.Series, w: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else densest(x, list(a), [float(z) for z in b], span) for x, a, b in zip(t, w, k, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(text, words, weights)
+
+
+def best_sections(q: DataFrame, pool: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, note_id, nth, score, section): the k sections of each pooled note with the largest sum of idf times occurrences up to
+    three; sections over 2,000 characters are cut to their densest 1,800."""
+    words = q.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("w"))
+    met = pool.join(lanes.sections(corpus, pool), "note_id").join(words, "qid")
+    low = F.lower("section")
+
+    def each(s: Column, x: Column) -> Column:
+        n = (F.length(low) - F.length(F.replace(low, x["term"], F.lit("")))) / F.length(x["term"])
+        return s + x["idf"] * F.least(n, F.lit(3.0))
+
+    scored = met.withColumn("score", F.aggregate("w", F.lit(0.0), each)).where("score > 0")
+    top = scored.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "note_id").orderBy(F.round("score", 9).desc(), "section_no"))).where(F.col("nth") <= k)
+    cut = F.when(F.length("section") > 2000, window(F.col("section"), F.transform("w", lambda x: x["term"]), F.transform("w", lambda x: x["idf"]), 1800)).otherwise(F.col("section"))
+    return top.select("qid", "note_id", "nth", "score", tx.cap_section(cut).alias("section"))
+
+
+def deliver(answers: DataFrame, sections: DataFrame, results: int = 5, chars: int = 14_000) -> DataFrame:
+    """(qid, rank, nth, note_id, section): the sections of the first results in order until the characters are spent."""
+    x = answers.where(F.col("rank") <= results).select("qid", "note_id", "rank").join(sections, ["qid", "note_id"]).withColumn("order", F.struct("rank", "nth"))
+    return fusion.budget(x, chars, order="order").select("qid", "rank", "nth", "note_id", "section")
+
+
+def evidence(q: DataFrame, answers: DataFrame, corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, note_id, term, place): where an answer has each word of its question: filename, heading, path or body."""
+    a = answers.select("qid", "note_id").join(q.select("qid", "term"), "qid").join(corpus.select("note_id", F.lower("title").alias("base"), F.lower("path").alias("low")), "note_id")
+    x = a.join(terms.select("note_id", "term", "tf_head", "tf_body"), ["note_id", "term"], "left")
+    place = F.when(F.contains("base", "term"), "filename").when(F.col("tf_head") > 0, "heading").when(F.contains("low", "term"), "path").when(F.col("tf_body") > 0, "body")
+    return x.select("qid", "note_id", "term", place.alias("place")).where("place is not null")
+
+
+def pointers(sections: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, note_id, target): where a section under 500 characters points on by its first link that resolves; names: (name, path)."""
+    s = sections.where(F.length("section") < 500).select("qid", "note_id", F.posexplode(tx.wikilinks(F.col("section"))).alias("at", "link"))
+    hit = s.join(names, F.lower(F.trim("link")) == F.col("name"))
+    return hit.groupBy("qid", "note_id").agg(F.min(F.struct("at", "path")).alias("x")).select("qid", "note_id", F.col("x.path").alias("target"))
+
+
+def relationship_check(questions: DataFrame, answers: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, honest): false where a question asks who has a person's role and the first answer is of a type that is no person."""
+    role = tx.relationship_role(F.col("question"))
+    asked = questions.select("qid", role.isin(ROLES).alias("asks")).where("asks")
+    top = answers.where("rank = 1").select("qid", "note_id").join(corpus.select("note_id", F.lower(tx.front_value(F.col("front"), "type")).alias("type")), "note_id")
+    return asked.join(top, "qid", "left").select("qid", (F.col("type").isNull() | F.col("type").isin(*PERSON_TYPES)).alias("honest"))
+
+
+def sibling_clarify(q: DataFrame, known: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, series, n): known items without a date in the question of which at least two differ in nothing but their date."""
+    dated = q.where(tx.is_dateish(F.col("term"))).select("qid").distinct()
+    k = known.join(dated, "qid", "left_anti").join(corpus.select("note_id", tx.date_key(F.col("path")).alias("series")), "note_id")
+    first = k.where("nth = 1").select("qid", "series")
+    return k.join(first, ["qid", "series"], "left_semi").groupBy("qid", "series").agg(F.count("*").alias("n")).where("n >= 2 and series != ''")
+
+
+def pair_pins(q: DataFrame, postings: DataFrame, terms: DataFrame, priors: DataFrame) -> DataFrame:
+    """Pins for notes that hold all of the two or three longer words of a question with fewer than two rare ones, where one to six do:
+    the two with most of them in their title, at slots 3 and 4."""
+    words = q.where((F.col("df") > 0) & (F.length("term") >= 4) & (F.instr("term", " ") == 0) & ~tx.is_dateish(F.col("term")))
+    few = words.groupBy("qid").agg(F.count("*").alias("k"), F.sum((F.col("df") <= 25).cast("int")).alias("rare")).where("k between 2 and 3 and rare < 2").select("qid", "k")
+    t = terms.where("tf_title > 0").select("note_id", "term", F.lit(1).alias("t"))
+    got = words.join(few.select("qid"), "qid", "left_semi").select("qid", "term").join(postings.select("note_id", "term"), "term").join(t, ["note_id", "term"], "left").groupBy("qid", "note_id").agg(F.count("*").alias("k"), F.count("t").alias("titles")).join(few, ["qid", "k"])
+    got = got.withColumn("all", F.count("*").over(Window.partitionBy("qid"))).where("all <= 6").join(priors, "note_id")
+    return got.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("titles"), F.desc("prior"), "note_id"))).where("nth <= 2").select("qid", "note_id", F.lit(9).alias("stage"), (F.col("nth") + 2).alias("slot"), F.lit(3).alias("unless"))
+
+
+def category_pins(q: DataFrame, temporal: DataFrame, corpus: DataFrame, dates: DataFrame) -> DataFrame:
+    """Pins for temporal questions that name a folder (plural or not) of at least two notes: the two freshest of the smallest such
+    folder, at slots 3 and 4 unless they are among the first five. temporal: (qid)."""
+    fold = lambda c: F.regexp_replace(c, "(?<=[a-z]{3})s$", "")
+    words = q.join(temporal.select("qid"), "qid", "left_semi").select("qid", fold(F.col("term")).alias("w"))
+    inside = corpus.select("note_id", F.explode(F.array_distinct(F.filter(F.split(F.lower(tx.folder(F.col("path"))), "[/ _-]+"), lambda s: F.length(s) >= 3))).alias("s")).select("note_id", fold(F.col("s")).alias("w")).distinct()
+    size = inside.groupBy("w").agg(F.count("*").alias("n")).where("n >= 2")
+    best = words.join(size, "w").groupBy("qid").agg(F.min(F.struct("n", "w")).alias("x")).select("qid", "x.w")
+    fresh = best.join(inside, "w").join(dates, "note_id").withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("date"), "note_id"))).where("nth <= 2")
+    return fresh.select("qid", "note_id", F.lit(10).alias("stage"), (F.col("nth") + 2).alias("slot"), F.lit(5).alias("unless"))
+
+
+def entity_pins(entity_lane: DataFrame) -> DataFrame:
+    """Pins for the best entity of each question: slot 5 unless among the first five."""
+    return lanes.ranked(entity_lane, 1).select("qid", "note_id", F.lit(12).alias("stage"), F.lit(5).alias("slot"), F.lit(5).alias("unless"))
+
+
+def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int = 80, cap: int = 40) -> list[tuple[str, str]]:
+    """(heading, text) chunks for embedding: a small body's paragraphs packed up to 1,400 characters; a larger one by its headings,
+    parts of at most 80 characters dropped, long parts in windows, at most 40."""
+
+    def windows(text: str) -> list[str]:
+        out, own = [], ""
+        for p in re.split(r"\n\s*\n", text):
+            p = p.strip()
+            if own and len(own) + 2 + len(p) > most:
+                out.append(own)
+                own = ""
+            own = f"{own}\n\n{p}" if own and p else own or p
+            while len(own) > most:
+                out.append(own[:most])
+                own = own[most:]
+        return [w for w in [*out, own] if w.strip()]
+
+    if len(body) < small:
+        return [("", w) for w in windows(body)]
+    out = []
+    for part in re.split(r"(?m)^(?=#{1,4} )", body):
+        if len(part.strip()) > least:
+            head = re.match(r"#{1,4} +([^\n]+)", part)
+            out += [(head[1].strip() if head else "", w) for w in windows(part)]
+    return out[:cap]
+
+
+def embedding_chunks(corpus: DataFrame) -> DataFrame:
+    """(note_id, path, nth, heading, passage): each note's chunks with the line that goes before them for an embedding."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: [{"heading": h, "text": t} for h, t in chunks_of(b)])
+
+    c = corpus.select("note_id", "path", "title", F.posexplode(F.pandas_udf(run, "array<struct<heading:string,text:string>>")(F.col("body"))).alias("nth", "x"))
+    prefix = F.substring(F.trim(F.concat_ws(" ", "title", "x.heading")), 1, 120)
+    return c.select("note_id", "path", "nth", "x.heading", F.concat(prefix, F.lit("\n"), F.col("x.text")).alias("passage"))
+
+
+def suggested_questions(degrees: DataFrame, recent: DataFrame, entities: DataFrame, most: int = 4) -> DataFrame:
+    """(question): up to four, from the entities with most links that were touched lately."""
+    e = entities.groupBy("path").agg(F.min("name").alias("name")).join(recent.select("path").distinct(), "path", "left_semi").join(degrees, "path")
+    return e.orderBy(F.desc("links"), "name", "path").limit(most).select(F.concat(F.lit("What do we know about "), "name", F.lit("?")).alias("question"))

@@ -148,6 +148,12 @@ def relax(q: DataFrame, refused: DataFrame) -> DataFrame:
     return singles.withColumn("k", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.round("idf", 9), "term"))).where("k >= 3 and nth = 1").select("qid", "term")
 
 
+def notes_for_sides(answers: DataFrame) -> DataFrame:
+    """Answers to the two sides of comparisons, (qid * 2 + side) as qid, put together again in turn."""
+    a = answers.select((F.col("qid") / 2).cast("long").alias("qid"), "note_id", "rank", (F.col("qid") % 2).alias("side"))
+    return interleave(a.where("side = 0").drop("side"), a.where("side = 1").drop("side"))
+
+
 def interleave(left: DataFrame, right: DataFrame, most: int = 6) -> DataFrame:
     """Two ranked lists (qid, note_id, rank) in turn, the left first, each note once, at most six."""
     both = left.select("qid", "note_id", "rank", F.lit(0).alias("side")).unionByName(right.select("qid", "note_id", "rank", F.lit(1).alias("side")))
