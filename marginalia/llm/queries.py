@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, languages, mixing, name_variants, near_duplicates, neighbours, splitting, truncation
-from marginalia.llm.components import components
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:

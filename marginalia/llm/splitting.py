@@ -129,7 +129,7 @@ def split_sections(notes: DataFrame, key: str = "note_id", body: str = "body", m
     """A row per piece of each section longer than max_chars: (key, section_no, heading, piece_no, start, end, overlap,
     boundary, piece). start and end count code points in the section.
 
-    Null and empty bodies and sections within the limit give no rows. Repeated rows of a note give equal pieces, of
+    Null and empty bodies, rows without a key and sections within the limit give no rows. Repeated rows of a note give equal pieces, of
     which one is kept. Other columns of the notes are not read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,5 +142,5 @@ def split_sections(notes: DataFrame, key: str = "note_id", body: str = "body", m
             yield pd.DataFrame(rows, columns=[key, "section_no", "heading", "piece_no", "start", "end", "overlap", "boundary", "piece"])
 
     kind = notes.schema[key].dataType.simpleString()
-    long = notes.where(F.length(body) > max_chars).select(F.col(key).alias("key"), F.col(body).alias("body"))
+    long = notes.where(F.col(key).isNotNull() & (F.length(body) > max_chars)).select(F.col(key).alias("key"), F.col(body).alias("body"))
     return long.mapInPandas(run, f"`{key}` {kind}, {SCHEMA}").dropDuplicates([key, "section_no", "piece_no"])

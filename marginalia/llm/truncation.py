@@ -132,7 +132,7 @@ def normal_source(source: Column) -> Column:
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, ending, marked, first, last, lengths, keys) of each row, written once; null and blank texts are whole."""
+    """(key, source, ending, marked, first, last, lengths, keys) of each row, written once; blank texts are whole, rows without a key or text are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,7 +143,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
             yield pd.DataFrame(rows, columns=["key", "source", "ending", "marked", "first", "last", "lengths", "keys"])
 
     kind = docs.schema[key].dataType.simpleString()
-    some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), normal_source(F.col(source)).alias("source"), F.col(text).alias("text"))
+    some = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), normal_source(F.col(source)).alias("source"), F.col(text).alias("text"))
     return materialize(some.mapInPandas(run, f"key {kind}, source string, {SCHEMA}"), "endings")
 
 
