@@ -68,6 +68,14 @@ def bm25f_topk(spark, sf):
     return _out(lanes.ranked(lanes.bm25f(_asked(v), v.terms, v.lengths, v.stats, v.priors), 5))
 
 
+def bm25f_by_titles(spark, sf):
+    """The best five notes for each note's title; for small vaults, whose ids hold no question of the query set."""
+    v = vault(spark, sf)
+    q = ix.question_terms(v.corpus.select(F.col("note_id").alias("qid"), F.col("title").alias("question")))
+    q = v._keep(lanes.with_idf(q, v.doc_freq, v.stats), "title-terms")
+    return _out(lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5))
+
+
 @query(sql.BM25 + "select qid, note_id, rank, round(score, 6) score from rare where rank <= 30")
 def rare_term_lane(spark, sf):
     v = vault(spark, sf)
