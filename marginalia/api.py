@@ -11,7 +11,7 @@ from marginalia.config import RANKING
 from marginalia.functions import text as tx
 from marginalia.operators import access, audit, delivery, fusion, graph, history, lanes, linking, structure, temporal
 from marginalia.operators import index as ix
-from marginalia.session import materialize
+from marginalia.session import materialize, ship
 
 
 class Vault:
@@ -19,6 +19,7 @@ class Vault:
 
     def __init__(self, corpus: DataFrame, chunks: DataFrame | None = None, named: DataFrame | None = None, keep: bool = True):
         self.spark: SparkSession = corpus.sparkSession
+        ship(self.spark)
         self.corpus, self.chunks, self.named = corpus, chunks, named
         self._keep = materialize if keep else (lambda df, name: df)
 

@@ -37,6 +37,7 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, every reader prunes
     columns and pushes filters, and lost executors cost nothing that was already written."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
@@ -52,9 +53,9 @@ def discard(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on every executor, once an application."""
+    """Makes this package importable in every Python worker, whatever path the driver found it by; once an application."""
     sc = spark.sparkContext
-    if sc.applicationId in _shipped or sc.master.startswith("local["):
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     out = os.path.join(tempfile.mkdtemp(prefix="marginalia-ship-"), "marginalia_pkg.zip")
