@@ -26,6 +26,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import ready
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker keeps before it starts anew; bounds its memory to some 150 MB.
 KEEP_PIECES = 400_000
@@ -204,6 +206,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=[key, "ids"])
 
+    ready()
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -218,5 +221,6 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
                 n = enc.counts(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
+    ready()
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, n_tokens long")

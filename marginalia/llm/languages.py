@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import ready
+
 SAMPLE_ROWS, LONGEST, SMOOTH, CLIP = 2000, 5, 0.5, 9.0
 _WORD = re.compile(r"[^\W\d_]+")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+(?:\[[ xX]\]\s*)?")
@@ -204,6 +206,7 @@ def languages(rows: DataFrame, key: str, text: str, model: Model, keep: list[Col
 
     `label` is the row's own, in `keep[0]` if given. Null, empty and wordless texts give no rows. sentences: whether the
     paragraph, or any of the record's, holds one. Equal letters of two languages: the one first in alphabetical order."""
+    ready()
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

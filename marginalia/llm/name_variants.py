@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.llm.components import components
-from marginalia.session import materialize
+from marginalia.session import materialize, ready
 
 #: Letters that have no decomposition, titles, legal forms and placeholders as people write them.
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "’": "'", "ʼ": "'"})
@@ -127,6 +127,7 @@ _KINDS = {"_tokens": (_tokens_of, "array<string>"), "_one_edit": (_one_edit_of,
 
 
 def _udf(name: str, *columns):
+    ready()
     function, kind = _KINDS[name]
     return F.pandas_udf(function, kind)(*columns)
 

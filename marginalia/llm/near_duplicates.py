@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
-from marginalia.session import materialize
+from marginalia.session import materialize, ready
 
 WORDS, BITS, BLOCK, LEAF = 5, 512, 1024, 64
 _WORD = re.compile(r"[^\W_]+")
@@ -82,6 +82,7 @@ def shingle_sets(texts: DataFrame, key: str, text: str, words: int = WORDS) -> D
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                 ], names=["key", "n", "same", "set", "sig"])
 
+    ready()
     kind = texts.schema[key].dataType.simpleString()
     some = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return some.mapInArrow(run, f"key {kind}, n int, same binary, set array<bigint>, sig binary")
@@ -231,6 +232,7 @@ def _bits(sig: str) -> list:
 
 def similar_classes(sets: DataFrame, t: float) -> DataFrame:
     """(a, b, similarity) for the keys of different sets with similarity >= t; sets: (key, n, set, sig), one row a set."""
+    ready()
     kind = sets.schema["key"].dataType.simpleString()
     each = sets.select("key", F.explode("set").alias("sh"))
     df = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")

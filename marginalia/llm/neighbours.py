@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.session import materialize
+from marginalia.session import materialize, ready
 
 CURVES, DIMS, BITS, WINDOW, SAMPLE, STRETCH, SEED = 14, 10, 3, 2048, 4096, 16_384, 20240607
 _GRID = np.array([NormalDist().inv_cdf((i + 0.5) / 4096) for i in range(4096)])
@@ -103,6 +103,7 @@ def clean(chunks: DataFrame, key: str, vec: str, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(raw) * width + 1, width), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), lists, pa.array(point, pa.binary())], names=["key", "vec", "point"])
 
+    ready()
     kind = chunks.schema[key].dataType.simpleString()
     fit = chunks.where(F.col(key).isNotNull() & (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull())).select(F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("vec"))
     return fit.mapInArrow(run, f"key {kind}, vec array<float>, point binary").groupBy("key").agg(F.min(F.struct("vec", "point")).alias("x")).select("key", "x.vec", "x.point")

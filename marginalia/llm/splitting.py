@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import ready
+
 MAX_CHARS, OVERLAP, MIN_CHARS = 1400, 150, 500
 _HEADING = re.compile(r"#{1,4} ")
 _FENCE = ("```", "~~~")
@@ -141,6 +143,7 @@ def split_sections(notes: DataFrame, key: str = "note_id", body: str = "body", m
                         rows += [(k, number, heading, i, s, e, o, kind, section[s:e]) for i, (s, e, o, kind) in enumerate(pieces(section, max_chars, overlap, min_chars))]
             yield pd.DataFrame(rows, columns=[key, "section_no", "heading", "piece_no", "start", "end", "overlap", "boundary", "piece"])
 
+    ready()
     kind = notes.schema[key].dataType.simpleString()
     long = notes.where(F.col(key).isNotNull() & (F.length(body) > max_chars)).select(F.col(key).alias("key"), F.col(body).alias("body"))
     return long.mapInPandas(run, f"`{key}` {kind}, {SCHEMA}").dropDuplicates([key, "section_no", "piece_no"])

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import materialize
+from marginalia.session import materialize, ready
 
 #: Put after a cut; what stands before it decides.
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|more|continued)\s*\]|\(\s*(?:truncated|cut|more)\s*\)|<\s*truncated\s*>)\s*$", re.I)
@@ -142,6 +142,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
                 rows.append((k, s, e, marked, first, last, lengths(t) if e != "whole" else None, keys))
             yield pd.DataFrame(rows, columns=["key", "source", "ending", "marked", "first", "last", "lengths", "keys"])
 
+    ready()
     kind = docs.schema[key].dataType.simpleString()
     some = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), normal_source(F.col(source)).alias("source"), F.col(text).alias("text"))
     return materialize(some.mapInPandas(run, f"key {kind}, source string, {SCHEMA}"), "endings")
