@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.session import ready
+
 
 def nfc(c: Column) -> Column:
     """A text in Unicode's composed form; null stays null."""
@@ -16,6 +18,7 @@ def nfc(c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
+    ready()
     return F.pandas_udf(run, "string")(c)
 
 
@@ -43,6 +46,7 @@ def osa(a: Column, b: Column, cap: int = 3) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else osa_distance(p, q, cap) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
+    ready()
     return F.pandas_udf(run, "int")(a, b)
 
 
@@ -68,6 +72,7 @@ def proximity(positions: Column, wanted: Column) -> Column:
     def run(p: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([(len(x) / w) / (1 + min_span(x) / len(x)) if x is not None and len(x) > 1 else 0.0 for x, w in zip(p, n, strict=True)], dtype=float)
 
+    ready()
     return F.pandas_udf(run, "double")(positions, wanted)
 
 
@@ -91,6 +96,7 @@ def yaml_json(front: Column) -> Column:
 
         return s.map(one)
 
+    ready()
     return F.pandas_udf(run, "string")(front)
 
 
@@ -124,4 +130,5 @@ def diff(before: Column, after: Column) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([[{"op": o, "text": t} for o, t in line_diff(p, q)] for p, q in zip(x, y, strict=True)], dtype=object)
 
+    ready()
     return F.pandas_udf(run, "array<struct<op:string,text:string>>")(before, after)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import text as tx
 from marginalia.operators import fusion, lanes
+from marginalia.session import ready
 
 #: Roles that name a person, and types of notes about persons.
 ROLES = "accountant advisor agent assistant boss broker client coach colleague contact customer dentist designer developer doctor investor landlord lawyer manager mentor partner sponsor supplier teacher vendor".split()
@@ -52,6 +53,7 @@ def window(text: Column, words: Column, weights: Column, span: int) -> Column:
     def run(t: pd.Series, w: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else densest(x, list(a), [float(z) for z in b], span) for x, a, b in zip(t, w, k, strict=True)], dtype=object)
 
+    ready()
     return F.pandas_udf(run, "string")(text, words, weights)
 
 
@@ -170,6 +172,7 @@ def embedding_chunks(corpus: DataFrame) -> DataFrame:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: [{"heading": h, "text": t} for h, t in chunks_of(b)])
 
+    ready()
     c = corpus.select("note_id", "path", "title", F.posexplode(F.pandas_udf(run, "array<struct<heading:string,text:string>>")(F.col("body"))).alias("nth", "x"))
     prefix = F.substring(F.trim(F.concat_ws(" ", "title", "x.heading")), 1, 120)
     return c.select("note_id", "path", "nth", "x.heading", F.concat(prefix, F.lit("\n"), F.col("x.text")).alias("passage"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from marginalia.config import RANKING, Ranking
 from marginalia.functions import text as tx
+from marginalia.session import ready
 
 
 def rrf(lanes: dict[str, DataFrame], weights: Column, limit: int = 20, r: Ranking = RANKING) -> DataFrame:
@@ -79,6 +80,7 @@ def splice(listed: DataFrame, pins: DataFrame) -> DataFrame:
             have.insert(min(r.slot - 1, len(have)), r.note_id)
         return pd.DataFrame({"qid": key[0], "note_id": have, "rank": range(1, len(have) + 1)})
 
+    ready()
     kinds = {f.name: f.dataType.simpleString() for f in listed.schema}
     rows = listed.select("qid", "note_id", F.lit(0).alias("stage"), F.col("rank").cast("int").alias("slot"), F.lit(0).alias("unless")).unionByName(pins.select("qid", "note_id", F.col("stage").cast("int"), F.col("slot").cast("int"), F.col("unless").cast("int")))
     return rows.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, note_id {kinds['note_id']}, rank int")

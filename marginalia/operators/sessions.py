@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import materialize
+from marginalia.session import materialize, ready
 
 DAY_MS = 86_400_000
 NODE = "entity string, chunk long, start_ms long, end_ms long, n_entries long, height_ms long, parent_height_ms long, done boolean"
@@ -110,6 +110,7 @@ def gap_tree(log: DataFrame, entity: str = "agent_id", at: str = "at_ms", entry_
     """The nodes (entity, start_ms, end_ms, n_entries, height_ms, parent_height_ms; null above a root) of the gap trees.
 
     An empty log gives no nodes. Entries at one time are one leaf. Other columns of the log are not read."""
+    ready()
     log = log.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
     once = log.groupBy(F.col(entity).cast("string").alias("entity"), F.col(at).cast("long").alias("start_ms"), F.col(entry_id).alias("entry_id")).agg(F.count("*").alias("rows"))
     leaves = once.groupBy("entity", _chunk(F.col("start_ms")).alias("chunk"), "start_ms").agg(F.sum(F.when(F.col("entry_id").isNull(), F.col("rows")).otherwise(1)).alias("n_entries"))

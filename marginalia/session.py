@@ -66,6 +66,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def ready() -> None:
+    """ship() for the session in use. Called before a Python function is made, as it takes the files known by then."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def _sweep() -> None:
     import shutil
 
