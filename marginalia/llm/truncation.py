@@ -65,7 +65,7 @@ def ending(t: str) -> tuple[str, bool, str, str, list[str]]:
     ending: `whole`; `cut` for an open sentence, code block, link or table row; `line` for a line of one open fragment,
     `item` for a list item, `dots` for dots after a word, `other` for addresses, tags, signatures and headings: these
     ask the corpus. Keys: "s+word" and "s-word" for lines that begin with word and end, or do not end, like a sentence,
-    "i word" for the last word of a list item."""
+    "i word" for the last word of a list item. An open last line has no key: it is what the others are asked about."""
     core = t.rstrip()
     marked = False
     if m := _MARK.search(core):
@@ -112,6 +112,8 @@ def ending(t: str) -> tuple[str, bool, str, str, list[str]]:
             return "whole", marked, first, last, keys
         return "dots", marked, first, last, keys
     if _ended(text):
+        if first and not item and line[0] not in "#|—":
+            keys.append("s+" + first)
         return "whole", marked, first, last, keys
     if _LINKS.match(text) or _TAGS.match(text) or _URL.match(text) or line.startswith("—") or re.match(r"#{1,6} ", line):
         return ("cut" if marked else "other"), marked, first, last, keys
@@ -121,7 +123,6 @@ def ending(t: str) -> tuple[str, bool, str, str, list[str]]:
         return "whole", marked, first, last, keys
     if item:
         return "item", marked, first, last, keys
-    keys.append("s-" + first)
     return "line", marked, first, last, keys
 
 
@@ -189,15 +190,20 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     at = at.unionByName(at.where("ls is not null").withColumn("ls", F.lit(None).cast("string"))).dropDuplicates(["ls", "e", "length"])
     lies = ask.select("key", F.col("source").alias("s"), F.posexplode("lengths").alias("e", "length"))
     lies = lies.join(at.select("ls", F.col("e").alias("le"), F.col("length").alias("ll"), "encoding", "limit"), F.col("s").eqNullSafe(F.col("ls")) & (F.col("e") == F.col("le")) & (F.col("length") == F.col("ll")))
-    lies = lies.groupBy("key").agg(F.min_by(F.struct("encoding", "limit"), F.struct("e", "limit")).alias("at_limit"))
-    told = ask.drop("keys", "lengths").join(begins, "first", "left").join(finals, "last", "left").join(lies, "key", "left")
+    lies = materialize(lies.groupBy("key").agg(F.min_by(F.struct("encoding", "limit"), F.struct("e", "limit")).alias("at_limit")), "at-limits")
+    told = ask.drop("keys", "lengths").join(lies, "key", "left")
     limited = F.col("at_limit").isNotNull()
-    prose = F.coalesce(F.col("ends") >= 0.5 * F.col("lines"), F.lit(False))
+    # open last lines by their first word, at a limit and elsewhere; a line's own count is taken off again below
+    lasts = told.where("ending = 'line'").groupBy("first").agg(F.sum(limited.cast("long")).alias("stops"), F.sum((~limited).cast("long")).alias("free"))
+    told = told.join(begins, "first", "left").join(lasts, "first", "left").join(finals, "last", "left").na.fill(0, ["ends", "lines", "stops", "free"])
+    elsewhere = F.col("lines") - F.col("ends") + F.col("free")
+    prose = (F.col("ends") > 0) & (F.col("ends") >= elsewhere - F.when(limited, 0).otherwise(1))
+    known_kind = elsewhere > F.col("stops")
     stump = (F.col("last") != "") & F.col("known").isNull()
     reason = (
         F.when(F.col("ending") == "cut", F.when(F.col("marked"), "mark after an open end").otherwise("open sentence, code, link or row"))
         .when((F.col("ending") == "line") & prose, "open line that begins like a sentence")
-        .when((F.col("ending") == "line") & limited & F.col("ends").isNull(), "open line at a limit")
+        .when((F.col("ending") == "line") & limited & ~known_kind, "open line at a limit")
         .when((F.col("ending") == "item") & limited, "list item at a limit")
         .when((F.col("ending") == "item") & stump, "list item that ends in no item's last word")
         .when((F.col("ending") == "dots") & limited, "dots at a limit")

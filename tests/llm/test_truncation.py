@@ -51,3 +51,18 @@ def test_hidden_limits_and_cases(spark):
     rates = {r.source: r for r in tr.truncation_rates(out).collect()}
     assert rates["mail"].n_cut == 0 and rates["form"].share > 0.4
     assert tr.truncated(df.where("false")).count() == 0
+
+
+def test_open_lines_with_rare_beginnings(spark):
+    rng = random.Random(7)
+    words = "alpha beta gamma delta omega sigma kappa lambda".split()
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, f"Item{i} " + some(30)[:53].ljust(60 - len(f"Item{i} "), "x"), "form") for i in range(20)]  # one sentence, cut at 60
+    rows += [(100 + i, f"The {some(rng.randint(3, 30))}.", "form") for i in range(200)]
+    rows += [(400 + i, f"The {some(3)}.\nThanks, {some(1 + i % 3)}", "form") for i in range(30)]  # a whole kind of last line
+    stop = next(t for n in range(1, 60) if len(t := "The " + "z" * n + ".\nThanks, Ann") == 60)
+    rows += [(500, stop, "form")]  # it lies at the limit by chance
+    rows += [(600 + i, f"Notably {some(4)}.", "mail") for i in range(10)] + [(700 + i, f"Notably {some(2 + i)}", "mail") for i in range(4)]
+    out = {r.doc_id: r.reason for r in tr.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("cut").collect()}
+    assert {i for i, reason in out.items() if reason == "open line at a limit"} == set(range(20))
+    assert set(out) == {*range(20), *range(700, 704)}
