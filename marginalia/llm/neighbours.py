@@ -2,7 +2,8 @@
 
 Vectors are scaled to length 1 and, for each of several curves, projected on a few random orthogonal directions, shifted
 and put in Hilbert order. One range partitioning by (curve, key) brings each stretch of a curve to one task, which
-compares every vector with its `window` neighbours on either side by block products and keeps the best k. The curves'
+compares every vector with its `window` neighbours on either side by block products and keeps the best k. Keys go `FINE`
+bits a dimension below the curve's cells, so that many vectors in one cell lie in another order on each curve. The curves'
 results are merged and the k best stand, by the exact cosine in double precision.
 
 The work grows as vectors x curves x window: no pair of the whole collection is formed. Vectors that are equal up to
@@ -23,12 +24,15 @@ from pyspark.sql.window import Window
 
 from marginalia.session import materialize, ready
 
-CURVES, DIMS, BITS, WINDOW, SAMPLE, STRETCH, SEED = 14, 10, 3, 2048, 4096, 16_384, 20240607
-_GRID = np.array([NormalDist().inv_cdf((i + 0.5) / 4096) for i in range(4096)])
+CURVES, DIMS, BITS, FINE, WINDOW, SAMPLE, STRETCH, SEED = 14, 10, 3, 13, 2048, 4096, 16_384, 20240607
+#: Pairs whose exact cosines are computed at once; candidates a vector from which the best are told apart first.
+SLICE, CROWD = 65_536, 64
+_GRID = np.array([-40.0, *(NormalDist().inv_cdf((i + 0.5) / 4096) for i in range(4096)), 40.0])
+_QUANTILES = np.array([0.0, *((i + 0.5) / 4096 for i in range(4096)), 1.0])
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """The place on the Hilbert curve of each row of cells (n x dims integers under 2**bits), after Skilling's transform."""
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """dims x n integers whose bits, the highest of all dimensions first, are the places on the Hilbert curve, after Skilling's transform."""
     x = cells.astype(np.int64).T.copy()
     dims = len(x)
     q = 1 << (bits - 1)
@@ -47,14 +51,26 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     while q > 1:
         t = np.where((x[dims - 1] & q) != 0, t ^ (q - 1), t)
         q >>= 1
-    x ^= t
-    key = np.zeros_like(t)
+    return x ^ t
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place on the Hilbert curve of each row of cells (n x dims integers under 2**bits)."""
+    x = _transposed(cells, bits)
+    key = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
-        for i in range(dims):
-            key = (key << 1) | ((x[i] >> b) & 1)
+        for row in x:
+            key = (key << 1) | ((row >> b) & 1)
     return key
 
 
+def hilbert_bytes(cells: np.ndarray, bits: int) -> np.ndarray:
+    """hilbert_keys of any number of bits, as n rows of bytes that compare alike; fewer bits give a prefix."""
+    x = _transposed(cells, bits)
+    each = [((x >> b) & 1).astype(np.uint8).T for b in range(bits - 1, -1, -1)]
+    return np.packbits(np.concatenate(each, axis=1), axis=1)
+
+
 class Curves:
     """Random projections and shifts of several Hilbert curves, fitted to the centre and spread of a sample."""
 
@@ -68,13 +84,15 @@ class Curves:
         self.shift = [rng.uniform(0, 1 / (1 << bits), a.shape[1]) for a in self.axes]
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """n x curves keys of unit vectors."""
-        out = np.empty((len(x), len(self.axes)), np.int64)
-        for c, (axes, spread, shift) in enumerate(zip(self.axes, self.spread, self.shift, strict=True)):
-            quantile = np.searchsorted(_GRID, (x - self.centre).dot(axes) / spread) / len(_GRID)
-            cells = np.floor((quantile + shift) * (1 << self.bits)).astype(np.int64)
-            out[:, c] = hilbert_keys(np.clip(cells, 0, (1 << self.bits) - 1), self.bits)
-        return out
+        """n x curves x bytes: keys of unit vectors, FINE bits a dimension longer than the cells."""
+        out, most, last = [], 1 << (self.bits + FINE), 1 - 1 / (1 << self.bits)
+        for axes, spread, shift in zip(self.axes, self.spread, self.shift, strict=True):
+            at = np.interp((x - self.centre).dot(axes) / spread, _GRID, _QUANTILES) + shift
+            # what the shift moves past the end stays in the last cell, in its order
+            at = np.where(at > last, last + (at - last) * (1 - last) / (1 - last + shift), at)
+            cells = np.clip(np.floor(at * most).astype(np.int64), 0, most - 1)
+            out.append(hilbert_bytes(cells, self.bits + FINE))
+        return np.stack(out, axis=1)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -110,7 +128,7 @@ def clean(chunks: DataFrame, key: str, vec: str, width: int) -> DataFrame:
 
 
 def _search(width: int, k: int, window: int, least: float):
-    """The best k of each vector within `window` places on its stretch of a curve."""
+    """The best k of each vector within `window` places, or some more, on its stretch of a curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -118,7 +136,8 @@ def _search(width: int, k: int, window: int, least: float):
             return
         rows = pa.Table.from_batches(got).combine_chunks()
         kind = rows.schema.field("key").type
-        curve, place, key = (rows.column(c).to_numpy() for c in ("curve", "place", "key"))
+        curve, key = (rows.column(c).to_numpy() for c in ("curve", "key"))
+        place = np.array(rows.column("place").to_pylist(), dtype=bytes)
         raw = _matrix(rows.column("vec").combine_chunks() if rows.column("vec").num_chunks != 1 else rows.column("vec").chunk(0), width)
         for c in np.unique(curve):
             own = np.flatnonzero(curve == c)
@@ -130,11 +149,16 @@ def _search(width: int, k: int, window: int, least: float):
             for i in range(0, len(x), 512):
                 low, high = max(0, i - window), min(len(x), i + 512 + window)
                 near = short[i : i + 512] @ short[low:high].T
-                a, b = np.nonzero(near >= least - 1e-4)
+                good = near >= least - 1e-4
+                if np.count_nonzero(good) > CROWD * len(near) and near.shape[1] > k + 1:
+                    # of a crowd, only those that may be among the best k besides the vector itself: single precision is off by less than 1e-5
+                    good &= near >= np.partition(near, -k - 1, axis=1)[:, -k - 1, None] - 2e-5
+                a, b = np.nonzero(good)
                 a, b = a + i, b + low
-                keep = (a != b) & (np.abs(a - b) <= window)
+                keep = a != b
                 a, b = a[keep], b[keep]
-                cos = np.round(np.einsum("ij,ij->i", x[a], x[b]), 12)
+                cos = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[a[j : j + SLICE]], x[b[j : j + SLICE]]) for j in range(0, len(a), SLICE))])
+                cos = np.round(cos, 12)
                 keep = cos >= least
                 a, b, cos = a[keep], b[keep], cos[keep]
                 order = np.lexsort((ids[b], -cos, a))
@@ -171,12 +195,13 @@ def nearest(chunks: DataFrame, key: str = "chunk_id", vec: str = "vec", k: int =
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             keys = fitted.keys(x)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, curves), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            flat = pa.array([r.tobytes() for r in keys.reshape(-1, keys.shape[2])], pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, curves), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["key", "vec", "places"])
 
     first = reps.where("nth = 1").select("key")
     distinct = points.join(first, "key", "left_semi").select("key", "vec")
-    placed = materialize(distinct.mapInArrow(place, f"key {kind}, vec array<float>, places array<bigint>"), "placed")
+    placed = materialize(distinct.mapInArrow(place, f"key {kind}, vec array<float>, places array<binary>"), "placed")
     stretches = max(1, -(-placed.count() * curves // STRETCH))
     spread = placed.select("key", "vec", F.posexplode("places").alias("curve", "place")).repartitionByRange(stretches, "curve", "place")
     found = spread.select("curve", "place", "key", "vec").mapInArrow(_search(width, k, window, least), f"a {kind}, b {kind}, cos double")

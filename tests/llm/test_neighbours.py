@@ -42,3 +42,26 @@ def test_hilbert_curve_steps_to_neighbours():
     grid = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     order = np.argsort(nb.hilbert_keys(grid, 3))
     assert (np.abs(np.diff(grid[order], axis=0)).sum(1) == 1).all()
+
+
+def test_crowd_in_one_cell(spark):
+    rng = np.random.default_rng(6)
+    n = 4000
+    others, centre, families = rng.standard_normal((n // 2, 96)), rng.standard_normal(96), rng.standard_normal((n // 5, 96))
+    crowd = centre / np.linalg.norm(centre) + 0.0014 / np.sqrt(96) * (families[rng.integers(0, n // 5, n)] + 0.2 * rng.standard_normal((n, 96)))  # cosines of 0.999999
+    x = np.vstack([crowd, others]).astype(np.float32)
+    out = nb.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vec array<float>"), window=60)
+    got = {(r.a, r.b) for r in out.select("a", "b").collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = set()
+    for a in range(0, n, 20):
+        cos = np.round(unit @ unit[a], 12)
+        cos[a] = -2
+        want |= {(a, int(b)) for b in np.lexsort((np.arange(len(x)), -cos))[:5]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_bytes_begin_with_the_key_of_fewer_bits():
+    cells = np.random.default_rng(2).integers(0, 1 << 16, (500, 4))
+    order = nb.hilbert_bytes(cells, 16)
+    assert (nb.hilbert_keys(cells >> 12, 4) == order[:, 0].astype(int) * 256 + order[:, 1]).all()
