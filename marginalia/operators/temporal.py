@@ -39,11 +39,11 @@ _SHAPES = (
 )
 
 
-def body_events(notes: DataFrame, key: str = "path", body: str = "body", scan: int = 20_000, cap: int | None = 5, start: str | None = None, end: str | None = None) -> DataFrame:
+def body_events(notes: DataFrame, key: str = "path", body: str = "body", scan: int | None = None, cap: int | None = 5, start: str | None = None, end: str | None = None) -> DataFrame:
     """(key, date, snippet, nth): dates with a year in prose (5 Jul 2026, July 5, 2026, 2026-07-05), each once a note, the newest
     first, at most `cap`. Code, links and addresses are left out, as are dates that are part of a name or path, and those whose
-    surroundings tell of upkeep. The definition reads the first `scan` characters."""
-    text = F.regexp_replace(F.substring(body, 1, scan), _MASK, " ")
+    surroundings tell of upkeep. The whole body is read, or its first `scan` characters: the definition reads 20,000."""
+    text = F.regexp_replace(F.col(body) if scan is None else F.substring(body, 1, scan), _MASK, " ")
     found = []
     for shape, (y, m, d) in _SHAPES:
         hits = F.regexp_extract_all(F.col("t"), F.lit(shape), F.lit(0))
