@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import RANKING
 from marginalia.functions import text as tx
+from marginalia.functions import udfs
 
 
 def fields(corpus: DataFrame) -> DataFrame:
@@ -79,6 +80,15 @@ def vocabulary(doc_freq: DataFrame) -> DataFrame:
     return words.select("term", "df", tx.trigrams(F.col("term")).alias("trigrams"), F.when(F.length("term") <= 24, F.array_distinct(tx.deletes1(F.col("term")))).otherwise(none).alias("deletes"))
 
 
+def one_edit_pairs(vocabulary: DataFrame) -> DataFrame:
+    """(term, other), term < other: words of vocabulary() one edit apart, whatever their letters and however rare. Of words
+    beyond 24 letters, which have no deletes there, they are made here."""
+    word = F.when(F.size("deletes") > 0, F.col("deletes")).otherwise(F.array_distinct(tx.deletes1(F.col("term"))))
+    d = vocabulary.select("term", F.explode(word).alias("k"))
+    pairs = d.join(d.select(F.col("term").alias("other"), "k"), "k").where("term < other").select("term", "other").distinct()
+    return pairs.where(udfs.osa(F.col("term"), F.col("other"), 1) == 1)
+
+
 def entity_vocabulary(corpus: DataFrame, partitions: tuple[str, ...] = ("People/", "Partners/", "Work/People/", "Work/Partners/")) -> DataFrame:
     """(name, path): titles and aliases of the notes about entities, up to three folders deep, raw imports left out."""
     here = F.col("path").startswith(partitions[0])

@@ -272,3 +272,9 @@ def typo_neighbours(spark, sf):
     d = w.select("term", F.explode(F.array_distinct(tx.deletes1(F.col("term")))).alias("k"))
     pairs = d.join(d.select(F.col("term").alias("other"), "k"), "k").where("term < other").select("term", "other").distinct()
     return pairs.where(udfs.osa(F.col("term"), F.col("other"), 1) == 1)
+
+
+@query()
+def typo_pairs(spark, sf):
+    """typo_neighbours over the whole vocabulary: rare words, which typos are, words of four letters and more and of any script."""
+    return ix.one_edit_pairs(ix.vocabulary(vault(spark, sf).doc_freq))

@@ -1,5 +1,7 @@
 import datetime
 
+from marginalia.functions.udfs import osa_distance
+from marginalia.operators import index as ix
 from marginalia.operators import temporal
 
 
@@ -10,3 +12,11 @@ def test_dates_late_in_a_long_note(spark):
     assert temporal.body_events(df, "id", scan=20_000, cap=None).count() == 0
     corpus = spark.createDataFrame([(1, "Notes/a.md", body, body, "", datetime.datetime(2020, 1, 1))], "note_id long, path string, body string, raw string, front string, mtime timestamp")
     assert [r.note_id for r in temporal.recent(corpus, "2021-07-01", "2021-07-31").collect()] == [1]
+
+
+def test_one_edit_pairs_of_rare_words_in_any_script(spark):
+    words = {"seminar": 40, "seminra": 1, "team": 9, "tean": 1, "café": 3, "cafés": 1, "مكتب": 7, "مكتبة": 2, "x" * 30: 1, "x" * 31: 1, "other": 5, "oth": 5}
+    v = ix.vocabulary(spark.createDataFrame([*words.items()], "term string, df long"))
+    got = {(r.term, r.other) for r in ix.one_edit_pairs(v).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and min(len(a), len(b)) >= 4 and osa_distance(a, b, 1) == 1}
+    assert len(got) == 5
