@@ -139,9 +139,9 @@ def entity_pins(entity_lane: DataFrame) -> DataFrame:
     return lanes.ranked(entity_lane, 1).select("qid", "note_id", F.lit(12).alias("stage"), F.lit(5).alias("slot"), F.lit(5).alias("unless"))
 
 
-def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int = 80, cap: int = 40) -> list[tuple[str, str]]:
+def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int = 80, cap: int | None = 40) -> list[tuple[str, str]]:
     """(heading, text) chunks for embedding: a small body's paragraphs packed up to 1,400 characters; a larger one by its headings,
-    parts of at most 80 characters dropped, long parts in windows, at most 40."""
+    parts of at most 80 characters dropped, long parts in windows, at most `cap`."""
 
     def windows(text: str) -> list[str]:
         out, own = [], ""
@@ -166,11 +166,13 @@ def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int = 80, c
     return out[:cap]
 
 
-def embedding_chunks(corpus: DataFrame) -> DataFrame:
-    """(note_id, path, nth, heading, passage): each note's chunks with the line that goes before them for an embedding."""
+def embedding_chunks(corpus: DataFrame, cap: int | None = 40) -> DataFrame:
+    """(note_id, path, nth, heading, passage): each note's chunks with the line that goes before them for an embedding.
+
+    The definition takes the first 40 chunks of a large note; cap=None takes all."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: [{"heading": h, "text": t} for h, t in chunks_of(b)])
+        return s.map(lambda b: [{"heading": h, "text": t} for h, t in chunks_of(b, cap=cap)])
 
     ready()
     c = corpus.select("note_id", "path", "title", F.posexplode(F.pandas_udf(run, "array<struct<heading:string,text:string>>")(F.col("body"))).alias("nth", "x"))

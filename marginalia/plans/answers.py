@@ -116,7 +116,7 @@ def answer_evidence(spark, sf):
 
 @query()
 def embedding_chunks(spark, sf):
-    return delivery.embedding_chunks(corpus(spark, sf))
+    return delivery.embedding_chunks(corpus(spark, sf), cap=None)
 
 
 _MOVED = f"(regexp_matches(path, '(^|/)Quarantine\\b') or regexp_matches(lower(split_part(path, '/', -1)), '-[^/]*(macbook|imac|desktop|laptop|[''’]s )'))"

@@ -1,8 +1,8 @@
 import datetime
 
 from marginalia.functions.udfs import osa_distance
+from marginalia.operators import delivery, temporal
 from marginalia.operators import index as ix
-from marginalia.operators import temporal
 
 
 def test_dates_late_in_a_long_note(spark):
@@ -20,3 +20,10 @@ def test_one_edit_pairs_of_rare_words_in_any_script(spark):
     got = {(r.term, r.other) for r in ix.one_edit_pairs(v).collect()}
     assert got == {(a, b) for a in words for b in words if a < b and min(len(a), len(b)) >= 4 and osa_distance(a, b, 1) == 1}
     assert len(got) == 5
+
+
+def test_passages_of_a_long_note_have_no_cap(spark):
+    body = "\n".join(f"## Part {i}\n" + f"sentence {i} " * 12 for i in range(60))
+    c = spark.createDataFrame([(1, "a.md", "A", body)], "note_id long, path string, title string, body string")
+    assert sorted(r.heading for r in delivery.embedding_chunks(c, cap=None).collect()) == sorted(f"Part {i}" for i in range(60))
+    assert delivery.embedding_chunks(c).count() == 40
