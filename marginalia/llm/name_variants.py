@@ -219,11 +219,20 @@ def entities(names: DataFrame, nicknames: DataFrame, aliases: DataFrame | None =
     return certain.unionByName(loose).where("name_id is not null")
 
 
-def variant_pairs(members: DataFrame, expand: int = 2000) -> DataFrame:
-    """(name_a, name_b), name_a < name_b: the pairs of names of one entity. An entity with more than `expand` names gives
-    each of them linked to its least name_id instead, which with entities() is the whole relation without its square."""
-    size = members.groupBy("entity").agg(F.count("*").alias("size"), F.min("name_id").alias("least"))
+def variant_pairs(members: DataFrame, expand: int = 2000, names: DataFrame | None = None) -> DataFrame:
+    """(name_a, name_b), name_a < name_b: the pairs of names of one entity.
+
+    Of an entity with more than `expand` names, the least name_ids of its spellings are paired with each other and each other
+    name is linked to the least of its own spelling: with `names` (name_id, name_text) no link between spellings is missing.
+    Without `names` all spellings count as one."""
+    size = members.groupBy("entity").agg(F.count("*").alias("size"))
     few = members.join(size.where((F.col("size") > 1) & (F.col("size") <= expand)).select("entity"), "entity", "left_semi")
-    pairs = few.select("entity", F.col("name_id").alias("name_a")).join(few.select("entity", F.col("name_id").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")
-    many = members.join(size.where(F.col("size") > expand).select("entity", "least"), "entity").where("least < name_id").select(F.col("least").alias("name_a"), F.col("name_id").alias("name_b"))
-    return pairs.unionByName(many)
+    both = lambda x: x.select("entity", F.col("name_id").alias("name_a")).join(x.select("entity", F.col("name_id").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")
+    many = members.join(size.where(F.col("size") > expand).select("entity"), "entity", "left_semi")
+    if names is None:
+        many = many.withColumn("spelling", F.lit(""))
+    else:
+        many = many.join(names.where("name_id is not null").groupBy("name_id").agg(F.min("name_text").alias("spelling")), "name_id")
+    least = many.groupBy("entity", "spelling").agg(F.min("name_id").alias("least"))
+    star = many.join(least, ["entity", "spelling"]).where("least < name_id").select(F.col("least").alias("name_a"), F.col("name_id").alias("name_b"))
+    return both(few).unionByName(both(least.select("entity", F.col("least").alias("name_id")))).unionByName(star)

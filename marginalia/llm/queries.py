@@ -56,7 +56,7 @@ def _entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return name_variants.variant_pairs(_entities(spark, sf))
+    return name_variants.variant_pairs(_entities(spark, sf), names=_t(spark, sf, "entity_names"))
 
 
 def p4_entities(spark: SparkSession, sf: str) -> DataFrame:

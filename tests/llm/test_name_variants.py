@@ -44,3 +44,12 @@ def test_aliases_and_empty(spark):
     rows = [(1, "Kemral Pradan Instruments", "O/K.md", "title"), (2, "Quite Other Words", None, "mention")]
     assert run(spark, rows, [("O/K.md", ["Quite Other Words"]), (None, ["x y"]), ("p", None)])[0] == [[1, 2]]
     assert run(spark, [])[0] == []
+
+
+def test_pairs_between_spellings_of_a_large_entity(spark):
+    text = {i: ["Ann Ode", "A. Ode", "Ann Odde"][i % 3] for i in range(30)}
+    members = spark.createDataFrame([(i, "e") for i in text] + [(40, "f"), (41, "f")], "name_id long, entity string")
+    names = spark.createDataFrame([*text.items(), (40, "B"), (41, "B")], "name_id long, name_text string")
+    got = [(r.name_a, r.name_b) for r in nv.variant_pairs(members, 10, names).collect()]
+    assert sorted(got) == sorted({(0, 1), (0, 2), (1, 2), (40, 41)} | {(i % 3, i) for i in range(3, 30)})
+    assert len(nv.variant_pairs(members, 10).collect()) == 29 + 1
