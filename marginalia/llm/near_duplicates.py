@@ -4,20 +4,24 @@ Exact: nothing is sampled and no link is lost. The steps:
 
 1. Each text becomes its set of hashed word shingles, its size and a signature of 512 bits (each shingle sets one).
    Texts with equal sets form a class; only one of them goes on.
-2. Texts meet where they share a rare shingle. With shingles ordered from the rarest, two sets with similarity t share
-   one among the first n - ceil(2t/(1+t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of the larger; shingles
-   of one text only meet nobody and are left out before any text is sent.
-3. The texts under a shingle form a signature tree: nodes hold the OR of the signatures, the range of sizes and the
-   largest number of shingles that share bits. A traversal of node pairs drops a pair if the sizes can't fit or if the
-   common bits allow too small an overlap; at the leaves the same bound is taken for each pair of texts. A shingle with
-   many texts is split into blocks of some 1,024, whose roots are paired first, in Spark; so no task holds a whole hot group.
-4. What is left is checked exactly on the two sets.
+2. The forest: a text enters it once for each of its rare tokens (shingles). With tokens ordered from the rarest, two sets
+   with similarity t share one among the first n - ceil(2t/(1+t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of
+   the larger; tokens of one text only meet nobody, and a text whose shared tokens are fewer than t n enters nowhere.
+   The entries, in token order, are cut into trees of some `TREE` entries, between two tokens.
+3. Each tree is bulk-loaded with a fan-out of `FAN`. A node holds the OR of its entries' token bitmaps and of their
+   signatures, the range of their sizes and the largest number of shingles that share bits. The dual traversal of a tree
+   with itself goes down from pairs of nodes to pairs of texts, a level at a time, and drops a pair of nodes whose sizes
+   can't fit, whose token bitmaps don't meet, or whose common bits allow too small an overlap. All candidates come from it.
+4. A token with more than `BLOCK` entries is cut into blocks by size, each a tree; pairs of their roots are taken in Spark
+   and the traversal goes on from each pair that is left in a task of its own. So no task holds a whole hot group.
+5. What is left is checked exactly on the two sets.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.components import components
 from marginalia.session import materialize, ready
 
-WORDS, BITS, BLOCK, LEAF = 5, 512, 1024, 64
+WORDS, BITS, BLOCK, TREE, FAN, FRONT = 5, 512, 8192, 4096, 8, 8192
 _WORD = re.compile(r"[^\W_]+")
 _LANES = BITS // 64
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -112,117 +116,126 @@ class _Texts:
         return index[common >= t / (1 + t) * (self.n[small] + self.n[large]) - 1e-9]
 
 
-def _traverse(x: _Texts, a: np.ndarray, b: np.ndarray | None, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Dual traversal of the signature trees over the places a and b (or a with itself): the pairs that may be similar."""
-
-    def tree(places: np.ndarray):
-        """Nodes from the leaves up: range of leaves, OR of signatures, least and largest size, largest excess, children."""
-        order = places[np.lexsort((x.sig[places, 0], x.n[places]))]
-        cuts = range(0, len(order), LEAF)
-        leaves = [order[c : c + LEAF] for c in cuts]
-        level = [((i, i + 1), np.bitwise_or.reduce(x.sig[l], 0), int(x.n[l].min()), int(x.n[l].max()), int(x.excess[l].max()), None) for i, l in enumerate(leaves)]
-        while len(level) > 1:
-            level = _pair_up(level)
-        return leaves, level[0]
-
-    la, ra = tree(a)
-    lb, rb = (la, ra) if b is None else tree(b)
-    stack = [(ra, rb)]
+class _Tree:
+    """A signature tree over some entries in a given order: levels of nodes, from the entries up to one root.
+
+    A node i covers the nodes FAN i to FAN i + FAN - 1 of the level below."""
+
+    def __init__(self, x: _Texts, entries: np.ndarray, token: np.ndarray):
+        """token: the number of each entry's token, counted within the tree; it sets one bit of the token bitmap."""
+        self.entries = entries
+        words = np.zeros((len(entries), _LANES), np.uint64)
+        bit = token % BITS
+        words[np.arange(len(entries)), bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+        n = x.n[entries]
+        self.levels = [(words, x.sig[entries], n, n, x.excess[entries])]
+        while len(self.levels[-1][2]) > 1:
+            self.grow()
+
+    def grow(self) -> None:
+        """One level more; above the root it is the root again."""
+        tok, sig, low, high, excess = self.levels[-1]
+        at = np.arange(0, len(low), FAN)
+        self.levels.append((np.bitwise_or.reduceat(tok, at), np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
+
+
+def _meet(a: tuple, b: tuple, p: np.ndarray, q: np.ndarray, t: float, counts: dict[str, int] | None) -> np.ndarray:
+    """The places of the pairs (p, q) of nodes of two levels under which two texts may be similar, by the nodes' bounds."""
+    (ta, sa, la, ha, ea), (tb, sb, lb, hb, eb) = a, b
+    sized = np.flatnonzero((ha[p] >= t * lb[q] - 1e-9) & (hb[q] >= t * la[p] - 1e-9))
+    met = sized[(ta[p[sized]] & tb[q[sized]]).any(1)]
+    i, j = p[met], q[met]
+    overlap = np.bitwise_count(sa[i] & sb[j]).sum(1) + np.minimum(ea[i], eb[j])
+    fit = met[overlap >= t / (1 + t) * (la[i] + lb[j]) - 1e-9]
+    if counts is not None:
+        for name, k in (("visited", len(p)), ("by_size", len(p) - len(sized)), ("by_tokens", len(sized) - len(met)), ("by_overlap", len(met) - len(fit))):
+            counts[name] = counts.get(name, 0) + k
+    return fit
+
+
+def traverse(x: _Texts, a: _Tree, b: _Tree | None, t: float, counts: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal of two trees, or of one with itself: the pairs of entries whose texts may be similar.
+
+    counts, if given, gets the number of node pairs visited and of those dropped by each bound."""
+    own, b = b is None, b or a
+    while len(a.levels) != len(b.levels):
+        min(a, b, key=lambda x: len(x.levels)).grow()
+    stack = [(len(a.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    grid, step = np.arange(FAN * FAN), max(1, FRONT // (FAN * FAN))
     while stack:
-        p, q = stack.pop()
-        if b is None and q[0][0] < p[0][0] and q[0][1] <= p[0][0]:
-            continue  # the mirrored pair is visited
-        if p[3] < t * q[2] - 1e-9 or q[3] < t * p[2] - 1e-9:
+        level, p, q = stack.pop()
+        if own and level == 0:
+            p, q = p[p < q], q[p < q]
+        fit = _meet(a.levels[level], b.levels[level], p, q, t, counts)
+        p, q = p[fit], q[fit]
+        if not level:
+            i, j = a.entries[p], b.entries[q]
+            hit = x.may(i, j, t)
+            yield i[hit], j[hit]
             continue
-        if int(np.bitwise_count(p[1] & q[1]).sum()) + min(p[4], q[4]) < t / (1 + t) * (p[2] + q[2]) - 1e-9:
-            continue
-        if p[5] is None and q[5] is None:
-            i, j = la[p[0][0]], lb[q[0][0]]
-            if b is None and p[0][0] == q[0][0]:
-                u, v = np.triu_indices(len(i), 1)
-                u, v = i[u], i[v]
-            else:
-                u, v = np.repeat(i, len(j)), np.tile(j, len(i))
-            hit = x.may(u, v, t)
-            if len(hit):
-                yield u[hit], v[hit]
-        elif p[5] is None or (q[5] is not None and q[0][1] - q[0][0] > p[0][1] - p[0][0]):
-            stack += [(p, c) for c in q[5]]
-        elif q[5] is None or p is not q:
-            stack += [(c, q) for c in p[5]]
-        else:
-            c, d = p[5]
-            stack += [(c, c), (c, d), (d, d)]
-
-
-def _pair_up(level: list) -> list:
-    out = []
-    for i in range(0, len(level), 2):
-        if i + 1 == len(level):
-            out.append(level[i])
-        else:
-            p, q = level[i], level[i + 1]
-            out.append(((p[0][0], q[0][1]), p[1] | q[1], min(p[2], q[2]), max(p[3], q[3]), max(p[4], q[4]), (p, q)))
-    return out
-
-
-def _emit(x: _Texts, pairs: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    if pairs:
-        a, b = (x.key[np.concatenate(side)] for side in zip(*pairs, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind)], names=["a", "b"])
-
-
-def _within(t: float):
-    """Candidate pairs of rows sorted by (sh, block): those of one group, however batches cut it."""
+        for k in range(0, len(p), step):
+            down = (p[k : k + step, None] * FAN + grid // FAN).ravel()
+            right = (q[k : k + step, None] * FAN + grid % FAN).ravel()
+            keep = (down < len(a.levels[level - 1][2])) & (right < len(b.levels[level - 1][2]))
+            if own:
+                keep &= down <= right
+            stack.append((level - 1, down[keep], right[keep]))
+
+
+def _trees(t: float):
+    """Candidate pairs of entries sorted by (sh, pb, qb): pb < 0 for tokens that share trees, else two blocks of a hot token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
             rest.append(batch)
+            held += batch.num_rows
+            if held < 2 * TREE:
+                continue
             whole = pa.Table.from_batches(rest).combine_chunks()
-            sh, block = (whole.column(c).to_numpy() for c in ("sh", "block"))
-            new = np.flatnonzero((sh[1:] != sh[:-1]) | (block[1:] != block[:-1])) + 1
-            if not len(new):
+            cuts = starts(whole)
+            if len(cuts) < 2:
                 continue
-            yield from groups(whole.slice(0, new[-1]), np.concatenate([[0], new]))
-            rest = whole.slice(new[-1]).to_batches()
+            yield from cells(whole.slice(0, cuts[-1]), cuts)
+            rest = whole.slice(cuts[-1]).to_batches()
+            held = sum(r.num_rows for r in rest)
         if rest:
             whole = pa.Table.from_batches(rest).combine_chunks()
-            yield from groups(whole, np.array([0, whole.num_rows]))
+            yield from cells(whole, np.append(starts(whole), whole.num_rows))
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        sh, pb, qb = (rows.column(c).to_numpy() for c in ("sh", "pb", "qb"))
+        return np.flatnonzero(np.concatenate([[True], (sh[1:] != sh[:-1]) | (pb[1:] != pb[:-1]) | (qb[1:] != qb[:-1])])[: len(sh)])
 
-    def groups(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def cells(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """cuts: where the cells of rows begin, and their end."""
         x = _Texts.of(*(rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("key", "n", "short", "sig")))
-        size = np.diff(cuts)
-        pairs = []
-        for k in np.unique(size[(size > 1) & (size <= LEAF)]):  # trees of one leaf, all of a size at once
-            starts = cuts[:-1][size == k]
-            u, v = np.triu_indices(int(k), 1)
-            step = max(1, 400_000 // len(u))
-            for i in range(0, len(starts), step):
-                s = starts[i : i + step, None]
-                a, b = (s + u).ravel(), (s + v).ravel()
-                hit = x.may(a, b, t)
-                pairs.append((a[hit], b[hit]))
-        for i in np.flatnonzero(size > LEAF):
-            pairs += _traverse(x, np.arange(cuts[i], cuts[i + 1]), None, t)
-        yield from _emit(x, pairs, rows.schema.field("key").type)
+        pb, qb, side = (rows.column(c).to_numpy() for c in ("pb", "qb", "side"))
+        kind = rows.schema.field("key").type
+        token = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        cold = np.flatnonzero(pb[cuts[:-1]] < 0)
+        tree = (cuts[:-1][cold] - (cuts[cold[0]] if len(cold) else 0)) // TREE  # cells of one tree, by where they begin
+        for group in np.split(cold, np.flatnonzero(np.diff(tree)) + 1) if len(cold) else ():
+            entries = np.concatenate([np.arange(cuts[c], cuts[c + 1]) for c in group])
+            yield from _emit(x, traverse(x, _Tree(x, entries, token[entries] - token[entries[0]]), None, t), kind)
+        for c in np.flatnonzero(pb[cuts[:-1]] >= 0):
+            entries = np.arange(cuts[c], cuts[c + 1])
+            entries = entries[np.lexsort((x.sig[entries, 0], x.n[entries]))]
+            one = lambda e: _Tree(x, e, np.zeros(len(e), np.int64))
+            if pb[cuts[c]] == qb[cuts[c]]:
+                yield from _emit(x, traverse(x, one(entries), None, t), kind)
+            elif 0 < side[entries].sum() < len(entries):
+                yield from _emit(x, traverse(x, one(entries[side[entries] == 0]), one(entries[side[entries] == 1]), t), kind)
 
     return run
 
 
-def _between(t: float):
-    """Candidate pairs between two blocks of a hot shingle; a row holds both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sides = [batch.column(c)[i].values for c in ("left", "right")]
-                both = pa.chunked_array(sides).combine_chunks()
-                x = _Texts.of(*(both.field(c) for c in ("key", "n", "short", "sig")))
-                pairs = list(_traverse(x, np.arange(len(sides[0])), np.arange(len(sides[0]), len(both)), t))
-                yield from _emit(x, pairs, both.type.field("key").type)
-
-    return run
+def _emit(x: _Texts, pairs: Iterator[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for a, b in pairs:
+        if len(a):
+            a, b = x.key[a], x.key[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind)], names=["a", "b"])
 
 
 def _bits(sig: str) -> list:
@@ -244,20 +257,24 @@ def similar_classes(sets: DataFrame, t: float) -> DataFrame:
     short = (F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - F.lit(1e-9)) + 1 - alone).cast("int")
     prefix = met.where(long > 0).select("key", "n", "sig", short.alias("n_short"), F.posexplode(F.slice("own", F.lit(1), long)).alias("at", "x"))
     posts = prefix.select(F.col("x.sh").alias("sh"), F.col("x.df").alias("df"), "key", "n", (F.col("at") < F.col("n_short")).alias("short"), "sig")
-    blocks = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
-    posts = materialize(posts.withColumn("block", F.when(F.col("df") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("key"), blocks).cast("int"))), "prefix-postings")
-    out = f"a {kind}, b {kind}"
-    inside = posts.repartition("sh", "block").sortWithinPartitions("sh", "block").select("sh", "block", "key", "n", "short", "sig").mapInArrow(_within(t), out)
-    hot = posts.where(F.col("df") > BLOCK).select("sh", "block", F.struct("key", "n", "short", "sig").alias("text"), "n", *_bits("sig"))
-    nodes = hot.groupBy("sh", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - sum(F.bit_count(F.col(f"b{i}")) for i in range(_LANES))).alias("excess"), *(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LANES)))
+    entry = ["key", "n", "short", "sig"]
+    cold = posts.where(F.col("df") <= BLOCK).select("sh", F.lit(-1).alias("pb"), F.lit(-1).alias("qb"), F.lit(0).alias("side"), *entry)
+    # a hot token's blocks: by size class, and by the key where a class has more than BLOCK entries
+    grade = F.floor(F.log("n") / F.lit(log(4 / 3))).cast("int")
+    hot = posts.where(F.col("df") > BLOCK).withColumn("grade", grade)
+    room = hot.groupBy("sh", "grade").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    hot = hot.join(room, ["sh", "grade"]).withColumn("block", F.col("grade") * 65_536 + F.pmod(F.xxhash64("key"), "parts").cast("int")).select("sh", "block", *entry)
+    hot = materialize(hot, "hot-entries")
+    nodes = hot.select("sh", "block", "n", *_bits("sig")).groupBy("sh", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - sum(F.bit_count(F.col(f"b{i}")) for i in range(_LANES))).alias("excess"), *(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LANES)))
     p, q = nodes.alias("p"), nodes.alias("q")
     common = sum(F.bit_count(F.col(f"p.b{i}").bitwiseAND(F.col(f"q.b{i}"))) for i in range(_LANES)) + F.least("p.excess", "q.excess")
     fits = (F.col("p.high") >= t * F.col("q.low")) & (F.col("q.high") >= t * F.col("p.low")) & (common >= t / (1 + t) * (F.col("p.low") + F.col("q.low")) - 1e-9)
-    node_pairs = p.join(q, (F.col("p.sh") == F.col("q.sh")) & (F.col("p.block") < F.col("q.block")) & fits).select(F.col("p.sh").alias("sh"), F.col("p.block").alias("pb"), F.col("q.block").alias("qb"))
-    held = hot.groupBy("sh", "block").agg(F.collect_list("text").alias("texts"))  # some 1,024 texts each
-    left = held.select("sh", F.col("block").alias("pb"), F.col("texts").alias("left"))
-    right = held.select("sh", F.col("block").alias("qb"), F.col("texts").alias("right"))
-    across = node_pairs.join(left, ["sh", "pb"]).join(right, ["sh", "qb"]).select("left", "right").mapInArrow(_between(t), out)
+    cells = p.join(q, (F.col("p.sh") == F.col("q.sh")) & (F.col("p.block") <= F.col("q.block")) & fits).select(F.col("p.sh").alias("sh"), F.col("p.block").alias("pb"), F.col("q.block").alias("qb"))
+    sides = cells.select("*", F.col("pb").alias("block"), F.lit(0).alias("side")).unionByName(cells.where("pb < qb").select("*", F.col("qb").alias("block"), F.lit(1).alias("side")))
+    crowd = sides.join(hot, ["sh", "block"]).select("sh", "pb", "qb", "side", *entry)
+    out = f"a {kind}, b {kind}"
+    inside = cold.repartition("sh").sortWithinPartitions("sh", "n").mapInArrow(_trees(t), out)
+    across = crowd.repartition("sh", "pb", "qb").sortWithinPartitions("sh", "pb", "qb").mapInArrow(_trees(t), out)
     maybe = inside.unionByName(across).distinct()
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))

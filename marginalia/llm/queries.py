@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.groups(_t(spark, sf, "notes"), t=0.8)
+    return near_duplicates.groups(_t(spark, sf, "notes"), t=0.5)  # the similarity of p3_found
 
 
 def _entities(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from marginalia.llm import near_duplicates as nd
@@ -39,8 +41,8 @@ def test_all_pairs(spark, monkeypatch, seed, t, block):
     assert sorted((r.a, r.b) for r in nd.near_duplicates(df, t=t).collect()) == brute(rows, t)
 
 
-def test_trees_over_many_leaves(spark, monkeypatch):
-    monkeypatch.setattr(nd, "LEAF", 4)
+def test_trees_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(nd, "FAN", 3)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = [(i, " ".join(base[:40] + rng.choices([f"x{j}" for j in range(90)], k=rng.choice([2, 20, 60])))) for i in range(120)]
@@ -48,6 +50,34 @@ def test_trees_over_many_leaves(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in nd.near_duplicates(df).collect()) == brute(rows, 0.5)
 
 
+def test_traversal_prunes_and_loses_nothing():
+    """On the notes of sf0.001, one tree over every shared token: most node pairs are dropped by each of the bounds."""
+    got = pq.read_table("/root/testdata/sf0.001/notes.parquet", columns=["note_id", "body"]).to_pandas().dropna().drop_duplicates("note_id")
+    sets = {k: s for k, t in zip(got.note_id, got.body, strict=True) if len(s := nd.shingles(t, 5, {}))}
+    held: dict[int, list[int]] = {}
+    for k, s in sets.items():
+        for h in s.tolist():
+            held.setdefault(h, []).append(k)
+    posts = [(h, k) for h, ks in sorted(held.items()) if len(ks) > 1 for k in sorted(ks, key=lambda k: len(sets[k]))]
+    x = nd._Texts(np.array([k for _, k in posts]), np.array([len(sets[k]) for _, k in posts]), np.ones(len(posts), bool), np.array([nd.signature(sets[k]).view(np.uint64) for _, k in posts]))
+    token = np.unique([h for h, _ in posts], return_inverse=True)[1]
+    counts: dict[str, int] = {}
+    found = {(min(x.key[i], x.key[j]), max(x.key[i], x.key[j])) for a, b in nd.traverse(x, nd._Tree(x, np.arange(len(posts)), token), None, 0.5, counts) for i, j in zip(a, b, strict=True)}
+    true = {(a, b) for a in sets for b in sets if a < b and (o := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - o) >= 0.5}
+    assert true and true <= found
+    assert min(counts["visited"], counts["by_size"], counts["by_tokens"], counts["by_overlap"]) > 0
+    assert counts["visited"] < len(posts) ** 2 / 20
+
+
+def test_uneven_trees():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(70)]
+    x = nd._Texts(np.arange(70), np.array([len(s) for s in sets]), np.ones(70, bool), np.array([nd.signature(s << 20).view(np.uint64) for s in sets]))
+    a, b = (nd._Tree(x, e, np.zeros(len(e), np.int64)) for e in (np.arange(3), np.arange(3, 70)))
+    found = {(i, j) for p, q in nd.traverse(x, a, b, 0.5) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+    assert {(i, j) for i in range(3) for j in range(3, 70) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))} <= found
+
+
 def test_copies(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(i, text) for i in range(12)] + [(50, text + " more"), (60, "too few words"), (61, None), (62, "")]
