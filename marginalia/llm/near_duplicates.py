@@ -5,13 +5,14 @@ Exact: nothing is sampled and no link is lost. The steps:
 1. Each text becomes its set of hashed word shingles, its size and a signature of 512 bits (each shingle sets one).
    Texts with equal sets form a class; only one of them goes on.
 2. The forest: a text enters it once for each of its rare tokens (shingles). With tokens ordered from the rarest, two sets
-   with similarity t share one among the first n - ceil(2t/(1+t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of
-   the larger; tokens of one text only meet nobody, and a text whose shared tokens are fewer than t n enters nowhere.
-   The entries, in token order, are cut into trees of some `TREE` entries, between two tokens.
+   with similarity t share one among the first n - ceil(t n) + 1 of each; tokens of one text only meet nobody, and a text
+   whose shared tokens are fewer than t n enters nowhere. The entries, in token order, are cut into trees of some `TREE`
+   entries, between two tokens.
 3. Each tree is bulk-loaded with a fan-out of `FAN`. A node holds the OR of its entries' token bitmaps and of their
-   signatures, the range of their sizes and the largest number of shingles that share bits. The dual traversal of a tree
-   with itself goes down from pairs of nodes to pairs of texts, a level at a time, and drops a pair of nodes whose sizes
-   can't fit, whose token bitmaps don't meet, or whose common bits allow too small an overlap. All candidates come from it.
+   signatures, the range of their sizes, the largest number of shingles that share bits and the largest number of tokens
+   that come after an entry's own. The dual traversal of a tree with itself goes down from pairs of nodes to pairs of
+   texts and drops a pair of nodes whose sizes can't fit, whose token bitmaps don't meet, or whose largest possible
+   overlap, by common bits and by the tokens left, is too small. All candidates come from it.
 4. A token with more than `BLOCK` entries is cut into blocks by size, each a tree; pairs of their roots are taken in Spark
    and the traversal goes on from each pair that is left in a task of its own. So no task holds a whole hot group.
 5. What is left is checked exactly on the two sets.
@@ -93,27 +94,17 @@ def shingle_sets(texts: DataFrame, key: str, text: str, words: int = WORDS) -> D
 
 
 class _Texts:
-    """Columns of some texts under shingles: key, size, whether the shingle lies in the shorter prefix, signature."""
+    """Columns of some entries of texts under tokens: key, size, how many of the text's shared tokens come after the
+    entry's, signature."""
 
-    def __init__(self, key, n, short, sig):
-        self.key, self.n, self.short = key, n, short
-        self.sig = sig
+    def __init__(self, key, n, rest, sig):
+        self.key, self.n, self.rest, self.sig = key, n, rest, sig
         self.excess = n - np.bitwise_count(sig).sum(1).astype(np.int64)
 
     @classmethod
-    def of(cls, key: pa.Array, n: pa.Array, short: pa.Array, sig: pa.Array) -> _Texts:
+    def of(cls, key: pa.Array, n: pa.Array, rest: pa.Array, sig: pa.Array) -> _Texts:
         bits = np.frombuffer(b"".join(sig.to_pylist()), np.uint64).reshape(-1, _LANES)
-        return cls(key.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), short.to_numpy(zero_copy_only=False).astype(bool), bits)
-
-    def may(self, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-        """Which of the pairs of places (a, b) can reach the similarity t by size, prefix and common bits."""
-        na, nb = self.n[a], self.n[b]
-        swap = (nb < na) | ((nb == na) & (self.key[b] < self.key[a]))
-        small, large = np.where(swap, b, a), np.where(swap, a, b)
-        keep = self.short[small] & (self.n[small] >= t * self.n[large] - 1e-9)
-        small, large, index = small[keep], large[keep], np.flatnonzero(keep)
-        common = np.bitwise_count(self.sig[small] & self.sig[large]).sum(1) + np.minimum(self.excess[small], self.excess[large])
-        return index[common >= t / (1 + t) * (self.n[small] + self.n[large]) - 1e-9]
+        return cls(key.to_numpy(zero_copy_only=False), *(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n, rest)), bits)
 
 
 class _Tree:
@@ -123,29 +114,30 @@ class _Tree:
 
     def __init__(self, x: _Texts, entries: np.ndarray, token: np.ndarray):
         """token: the number of each entry's token, counted within the tree; it sets one bit of the token bitmap."""
-        self.entries = entries
+        self.entries, self.token = entries, token
         words = np.zeros((len(entries), _LANES), np.uint64)
         bit = token % BITS
         words[np.arange(len(entries)), bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
         n = x.n[entries]
-        self.levels = [(words, x.sig[entries], n, n, x.excess[entries])]
+        self.levels = [(words, x.sig[entries], n, n, x.excess[entries], x.rest[entries])]
         while len(self.levels[-1][2]) > 1:
             self.grow()
 
     def grow(self) -> None:
         """One level more; above the root it is the root again."""
-        tok, sig, low, high, excess = self.levels[-1]
+        tok, sig, low, high, excess, rest = self.levels[-1]
         at = np.arange(0, len(low), FAN)
-        self.levels.append((np.bitwise_or.reduceat(tok, at), np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
+        self.levels.append((np.bitwise_or.reduceat(tok, at), np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at), np.maximum.reduceat(rest, at)))
 
 
 def _meet(a: tuple, b: tuple, p: np.ndarray, q: np.ndarray, t: float, counts: dict[str, int] | None) -> np.ndarray:
     """The places of the pairs (p, q) of nodes of two levels under which two texts may be similar, by the nodes' bounds."""
-    (ta, sa, la, ha, ea), (tb, sb, lb, hb, eb) = a, b
+    (ta, sa, la, ha, ea, ra), (tb, sb, lb, hb, eb, rb) = a, b
     sized = np.flatnonzero((ha[p] >= t * lb[q] - 1e-9) & (hb[q] >= t * la[p] - 1e-9))
     met = sized[(ta[p[sized]] & tb[q[sized]]).any(1)]
     i, j = p[met], q[met]
-    overlap = np.bitwise_count(sa[i] & sb[j]).sum(1) + np.minimum(ea[i], eb[j])
+    # two texts share no more than common bits and shingles that share bits allow; nor, if the token is the first they share, than come after it
+    overlap = np.minimum(np.bitwise_count(sa[i] & sb[j]).sum(1) + np.minimum(ea[i], eb[j]), 1 + np.minimum(ra[i], rb[j]))
     fit = met[overlap >= t / (1 + t) * (la[i] + lb[j]) - 1e-9]
     if counts is not None:
         for name, k in (("visited", len(p)), ("by_size", len(p) - len(sized)), ("by_tokens", len(sized) - len(met)), ("by_overlap", len(met) - len(fit))):
@@ -169,9 +161,8 @@ def traverse(x: _Texts, a: _Tree, b: _Tree | None, t: float, counts: dict[str, i
         fit = _meet(a.levels[level], b.levels[level], p, q, t, counts)
         p, q = p[fit], q[fit]
         if not level:
-            i, j = a.entries[p], b.entries[q]
-            hit = x.may(i, j, t)
-            yield i[hit], j[hit]
+            same = a.token[p] == b.token[q]
+            yield a.entries[p[same]], b.entries[q[same]]
             continue
         for k in range(0, len(p), step):
             down = (p[k : k + step, None] * FAN + grid // FAN).ravel()
@@ -210,7 +201,7 @@ def _trees(t: float):
 
     def cells(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """cuts: where the cells of rows begin, and their end."""
-        x = _Texts.of(*(rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("key", "n", "short", "sig")))
+        x = _Texts.of(*(rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("key", "n", "rest", "sig")))
         pb, qb, side = (rows.column(c).to_numpy() for c in ("pb", "qb", "side"))
         kind = rows.schema.field("key").type
         token = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
@@ -252,19 +243,17 @@ def similar_classes(sets: DataFrame, t: float) -> DataFrame:
     # of each text, its shingles that others have too, from the rarest; the others come first and meet nobody
     met = each.join(df, "sh").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("own"))
     met = met.join(sets.select("key", "n", "sig"), "key")  # one row a text, before its prefix is unfolded
-    alone = F.col("n") - F.size("own")
-    long = (F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1 - alone).cast("int")
-    short = (F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - F.lit(1e-9)) + 1 - alone).cast("int")
-    prefix = met.where(long > 0).select("key", "n", "sig", short.alias("n_short"), F.posexplode(F.slice("own", F.lit(1), long)).alias("at", "x"))
-    posts = prefix.select(F.col("x.sh").alias("sh"), F.col("x.df").alias("df"), "key", "n", (F.col("at") < F.col("n_short")).alias("short"), "sig")
-    entry = ["key", "n", "short", "sig"]
+    long = F.size("own") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1
+    # one row a text: its rarest tokens, up to where another text of its size or less may share the first one
+    prefix = materialize(met.where(long > 0).select("key", "n", "sig", F.size("own").alias("shared"), F.slice("own", F.lit(1), long.cast("int")).alias("own")), "prefixes")
+    posts = prefix.select("key", "n", "sig", "shared", F.posexplode("own").alias("at", "x")).select(F.col("x.sh").alias("sh"), F.col("x.df").alias("df"), "key", "n", (F.col("shared") - F.col("at") - 1).alias("rest"), "sig")
+    entry = ["key", "n", "rest", "sig"]
     cold = posts.where(F.col("df") <= BLOCK).select("sh", F.lit(-1).alias("pb"), F.lit(-1).alias("qb"), F.lit(0).alias("side"), *entry)
     # a hot token's blocks: by size class, and by the key where a class has more than BLOCK entries
     grade = F.floor(F.log("n") / F.lit(log(4 / 3))).cast("int")
     hot = posts.where(F.col("df") > BLOCK).withColumn("grade", grade)
     room = hot.groupBy("sh", "grade").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     hot = hot.join(room, ["sh", "grade"]).withColumn("block", F.col("grade") * 65_536 + F.pmod(F.xxhash64("key"), "parts").cast("int")).select("sh", "block", *entry)
-    hot = materialize(hot, "hot-entries")
     nodes = hot.select("sh", "block", "n", *_bits("sig")).groupBy("sh", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - sum(F.bit_count(F.col(f"b{i}")) for i in range(_LANES))).alias("excess"), *(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LANES)))
     p, q = nodes.alias("p"), nodes.alias("q")
     common = sum(F.bit_count(F.col(f"p.b{i}").bitwiseAND(F.col(f"q.b{i}"))) for i in range(_LANES)) + F.least("p.excess", "q.excess")

@@ -59,7 +59,7 @@ def test_traversal_prunes_and_loses_nothing():
         for h in s.tolist():
             held.setdefault(h, []).append(k)
     posts = [(h, k) for h, ks in sorted(held.items()) if len(ks) > 1 for k in sorted(ks, key=lambda k: len(sets[k]))]
-    x = nd._Texts(np.array([k for _, k in posts]), np.array([len(sets[k]) for _, k in posts]), np.ones(len(posts), bool), np.array([nd.signature(sets[k]).view(np.uint64) for _, k in posts]))
+    x = nd._Texts(np.array([k for _, k in posts]), np.array([len(sets[k]) for _, k in posts]), np.full(len(posts), 10**6), np.array([nd.signature(sets[k]).view(np.uint64) for _, k in posts]))
     token = np.unique([h for h, _ in posts], return_inverse=True)[1]
     counts: dict[str, int] = {}
     found = {(min(x.key[i], x.key[j]), max(x.key[i], x.key[j])) for a, b in nd.traverse(x, nd._Tree(x, np.arange(len(posts)), token), None, 0.5, counts) for i, j in zip(a, b, strict=True)}
@@ -72,7 +72,7 @@ def test_traversal_prunes_and_loses_nothing():
 def test_uneven_trees():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(70)]
-    x = nd._Texts(np.arange(70), np.array([len(s) for s in sets]), np.ones(70, bool), np.array([nd.signature(s << 20).view(np.uint64) for s in sets]))
+    x = nd._Texts(np.arange(70), np.array([len(s) for s in sets]), np.full(70, 10**6), np.array([nd.signature(s << 20).view(np.uint64) for s in sets]))
     a, b = (nd._Tree(x, e, np.zeros(len(e), np.int64)) for e in (np.arange(3), np.arange(3, 70)))
     found = {(i, j) for p, q in nd.traverse(x, a, b, 0.5) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
     assert {(i, j) for i in range(3) for j in range(3, 70) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))} <= found
