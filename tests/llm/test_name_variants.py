@@ -1,3 +1,7 @@
+import random
+import time
+from itertools import permutations
+
 from marginalia.llm import name_variants as nv
 
 NICK = [("Elizabeth", "Liz"), ("William", "Bill")]
@@ -53,3 +57,41 @@ def test_pairs_between_spellings_of_a_large_entity(spark):
     got = [(r.name_a, r.name_b) for r in nv.variant_pairs(members, 10, names).collect()]
     assert sorted(got) == sorted({(0, 1), (0, 2), (1, 2), (40, 41)} | {(i % 3, i) for i in range(3, 30)})
     assert len(nv.variant_pairs(members, 10).collect()) == 29 + 1
+
+
+def test_assignment_is_least():
+    rng = random.Random(3)
+    for rows, cols in [(1, 1), (2, 2), (3, 3), (3, 5), (5, 5), (4, 6)]:
+        for _ in range(40):
+            cost = [[float(rng.choice([0, 1, 2, 5, nv.FAR])) for _ in range(cols)] for _ in range(rows)]
+            total, chosen = nv.assign(cost)
+            assert len(set(chosen)) == rows and sum(cost[r][c] for r, c in enumerate(chosen)) == total
+            assert total == min(sum(cost[r][c] for r, c in enumerate(p)) for p in permutations(range(cols), rows))
+    assert nv.assign([]) == (0, [])
+
+
+def test_alignment_of_tokens():
+    assert nv.aligned([["bill", "william"], ["quin"]], ["quin", "william"]) == 1
+    assert nv.aligned([["a1", "b1"], ["b1", "c1"]], ["b1", "c1"]) == 2 and nv.aligned([["a1"], ["b1"]], ["a1", "c1"]) is None and nv.aligned([["a1"]], ["a1", "b1"]) is None
+    assert nv.abbreviates(["quin"], ["e", "b"], ["elizabeth", "quin"]) and nv.abbreviates(["quin"], ["e", "b"], ["beth", "elizabeth", "quin"])
+    assert not nv.abbreviates(["quin"], ["b", "e"], ["elizabeth", "quin"]) and not nv.abbreviates(["quin"], [], ["quin"]) and not nv.abbreviates(["quin", "x"], ["e"], ["elizabeth", "quin"])
+
+
+def test_long_names_take_no_longer():
+    parts = [[f"w{i}", *(f"w{i}v{k}" for k in range(6))] for i in range(12)]
+    began = time.time()
+    assert nv.aligned(parts, [f"w{i}v{i % 6}" for i in reversed(range(12))]) == 12
+    assert time.time() - began < 0.05
+
+
+def test_evidence_does_not_depend_on_the_size_of_the_table(spark):
+    """Slips are told from other names by shares: twenty times as many rows give the same entities."""
+    names = ["Kathryn Galmar"] * 2 + ["Kathrynn Galmar"] + ["Anna Dorvel"] * 3 + ["Anne Pelzim"] * 3 + ["Anne Dorvel"] + ["Lia Korben"] * 3 + ["Liaa Korben"] * 2 + ["Bo Xi", "Bob Xu"]
+
+    def entity_names(times):
+        groups, _ = run(spark, [(i, n, None, "mention") for i, n in enumerate(names * times)])
+        return sorted({tuple(sorted({names[i % len(names)] for i in g})) for g in groups})
+
+    once = entity_names(1)
+    assert once == entity_names(20)
+    assert ("Kathryn Galmar", "Kathrynn Galmar") in once and ("Lia Korben", "Liaa Korben") in once and ("Bo Xi",) in once and ("Anne Pelzim",) in once
