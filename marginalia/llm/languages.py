@@ -190,12 +190,12 @@ def fit(rows: list[tuple[str, str]], langs: list[str], rounds: int = 2) -> Model
 
 
 def sample(rows: DataFrame, key: str, text: str, code: Column, most: int) -> list[tuple[str, str]]:
-    """(code, text) of some `most` labelled rows, whole texts, the same ones each time; their number bounds what the driver holds."""
+    """(code, text) of some `most` labelled rows by a hash of the key, whole texts, the same ones each time; `most` bounds what the driver holds."""
     labelled = rows.withColumn("__code", code).where(F.col("__code").isNotNull() & F.col(text).isNotNull())
     n = labelled.count()
     if n > most:
         labelled = labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < int(1_000_003 * most / n))
-    return [(r[0], r[1]) for r in labelled.select("__code", text).limit(2 * most).collect()]
+    return [(r[0], r[1]) for r in labelled.select("__code", text).collect()]
 
 
 SCHEMA = "rec_id long, main string, para_no long, lang string, confidence double, letters long, sentences boolean"

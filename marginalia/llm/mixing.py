@@ -122,7 +122,10 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     copies = copies.where(F.col("start") + F.col("n_tokens") / 2 <= quota).withColumn("nth", F.floor(F.col("start") / block_tokens))
     blocks = {s: q // block_tokens + 1 for s, q in wanted.items()}
     slots = schedule(spark, wanted, sum(blocks.values()))
-    return copies.join(slots, ["source", "nth"], "left").select("slot", "start", "source", F.col("key").alias(key), "copy", "n_tokens")
+    # a block past its source's last slot goes to the end of the mix, so none is without a slot
+    names = sorted(wanted)
+    late = F.lit(1 << 40) + F.col("nth") * len(names) + _map({s: float(i) for i, s in enumerate(names)}, "long")
+    return copies.join(slots, ["source", "nth"], "left").select(F.coalesce("slot", late).alias("slot"), "start", "source", F.col("key").alias(key), "copy", "n_tokens")
 
 
 def shares(mixed: DataFrame, targets: DataFrame, stocked: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -98,8 +98,12 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncated(_t(spark, sf, "documents")))
 
 
+def p9_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_reasons(truncation.truncated(_t(spark, sf, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_rates, p9_reasons)
 }
 
 _COSINES = """

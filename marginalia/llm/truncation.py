@@ -149,9 +149,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     return materialize(some.mapInPandas(run, f"key {kind}, source string, {SCHEMA}"), "endings")
 
 
-def hidden_limits(measured: DataFrame, least: int = 8, factor: float = 5.0, around: int = 20) -> DataFrame:
+def hidden_limits(measured: DataFrame, least: int = 8, factor: float = 5.0, around: int = 20, keep: float = 0.4) -> DataFrame:
     """(source, encoding, limit, n): lengths that at least `least` open-ended texts of a source share under an encoding,
-    and `factor` times as many as their neighbours within `around` have on average. Null sources are one group."""
+    and `factor` times as many as their neighbours within `around` have on average. Null sources are one group. least is
+    the number below which a pile is no evidence, keep the share of a pile's texts that lie in no larger pile."""
     counted = measured.where("ending != 'whole'").select("source", F.posexplode("lengths").alias("e", "length")).groupBy("source", "e", "length").agg(F.count("*").alias("n"))
     near = counted.where(F.col("n") >= least).select("source", "e", F.col("length").alias("limit"), F.col("n").alias("at"))
     # neighbours by equi-join on blocks of lengths, so that no source is compared with itself as a whole
@@ -162,9 +163,12 @@ def hidden_limits(measured: DataFrame, least: int = 8, factor: float = 5.0, arou
     dist = F.abs(F.col("length") - F.col("limit"))
     rated = met.groupBy("source", "e", "limit", "at").agg(F.sum(F.when((dist > 3) & (dist <= around), F.col("n")).otherwise(0)).alias("beside"))
     found = rated.where(F.col("at") >= factor * F.greatest(F.lit(1.0), F.col("beside") / (2.0 * (around - 3))))
-    # the same texts also pile up a little under encodings that only resemble the field's: a limit needs 0.4 of the source's largest pile
-    most = found.groupBy(F.col("source").alias("s3")).agg(F.max("at").alias("most"))
-    found = found.join(most, F.col("source").eqNullSafe(F.col("s3"))).where(F.col("at") >= 0.4 * F.col("most"))
+    # the same texts also pile up a little under encodings that only resemble the field's: each text goes to the largest
+    # of its piles, and a pile that keeps too few of its texts is none; another limit of the same source has other texts
+    texts = measured.where("ending != 'whole'").select("key", F.col("source").alias("s4"), F.posexplode("lengths").alias("e4", "length"))
+    piled = texts.join(found, F.col("s4").eqNullSafe(F.col("source")) & (F.col("e4") == F.col("e")) & (F.col("length") == F.col("limit")))
+    own = piled.groupBy("key").agg(F.max_by(F.struct("source", "e", "limit", "at"), F.struct("at", -F.col("e"), -F.col("limit"))).alias("x")).select("x.*")
+    found = own.groupBy("source", "e", "limit", "at").agg(F.count("*").alias("kept")).where(F.col("kept") >= keep * F.col("at"))
     return found.select("source", F.element_at(F.array(*map(F.lit, ENCODINGS)), F.col("e") + 1).alias("encoding"), "limit", F.col("at").alias("n"))
 
 
@@ -200,14 +204,13 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     prose = (F.col("ends") > 0) & (F.col("ends") >= elsewhere - F.when(limited, 0).otherwise(1))
     known_kind = elsewhere > F.col("stops")
     stump = (F.col("last") != "") & F.col("known").isNull()
+    # a hidden limit is the first evidence, how the text ends the second
+    open_line = (F.col("ending") == "line") & (prose | ~known_kind)
     reason = (
-        F.when(F.col("ending") == "cut", F.when(F.col("marked"), "mark after an open end").otherwise("open sentence, code, link or row"))
+        F.when(limited & (F.col("ending").isin("cut", "item", "dots", "other") | open_line), F.concat(F.lit("at a limit, open "), F.when(F.col("ending") == "cut", "end").when(F.col("ending") == "other", "address, tag or heading").otherwise(F.col("ending"))))
+        .when(F.col("ending") == "cut", F.when(F.col("marked"), "mark after an open end").otherwise("open sentence, code, link or row"))
         .when((F.col("ending") == "line") & prose, "open line that begins like a sentence")
-        .when((F.col("ending") == "line") & limited & ~known_kind, "open line at a limit")
-        .when((F.col("ending") == "item") & limited, "list item at a limit")
         .when((F.col("ending") == "item") & stump, "list item that ends in no item's last word")
-        .when((F.col("ending") == "dots") & limited, "dots at a limit")
-        .when((F.col("ending") == "other") & limited, "line at a limit")
     )
     told = told.select(F.col("key"), "source", reason.alias("reason"), F.col("at_limit.encoding").alias("encoding"), F.col("at_limit.limit").alias("limit"))
     whole = m.where("ending = 'whole'").select("key", "source", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("int").alias("limit"))
@@ -215,6 +218,11 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 
 def truncation_rates(rows: DataFrame) -> DataFrame:
-    """(source, n_texts, n_cut, share) from truncated(); a null source is a row of its own."""
-    return rows.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"))
+    """(source, n_texts, n_cut, n_at_limit, share) from truncated(): n_at_limit of the cut ones lie at a hidden limit; a null source is a row of its own."""
+    at_limit = F.sum((F.col("cut") & F.col("limit").isNotNull()).cast("long")).alias("n_at_limit")
+    return rows.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("long")).alias("n_cut"), at_limit, F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"))
 
+
+def truncation_reasons(rows: DataFrame) -> DataFrame:
+    """(reason, encoding, n) from truncated(): on what evidence, and under which encoding's limit, rows count as cut."""
+    return rows.where("cut").groupBy("reason", "encoding").agg(F.count("*").alias("n"))

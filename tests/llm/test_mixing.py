@@ -47,3 +47,11 @@ def test_quotas():
 def test_empty(spark):
     docs, targets = tables(spark)
     assert mixing.mix(docs.where("false"), targets).count() == 0 and mixing.mix(docs, targets.where("false")).count() == 0
+
+
+def test_no_text_without_a_slot(spark):
+    """A source too small for the schedule's slack still gets a slot for each block."""
+    docs = spark.createDataFrame([(i, f"word{i} " * 400, "big") for i in range(300)] + [(1000 + i, f"rare{i} " * 40, "tiny") for i in range(3)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.9999, 2), ("tiny", 0.0001, 9)], "source string, target_share double, max_repeats int")
+    out = mixing.mix(docs, targets, block_tokens=8)
+    assert out.where("slot is null").count() == 0 and out.where("source = 'tiny'").count() > 0

@@ -49,7 +49,8 @@ def test_hidden_limits_and_cases(spark):
     got = {r.doc_id for r in out.where("cut").collect()}
     assert len(got & cut) / len(cut) > 0.97 and len(got & cut) / len(got) > 0.97
     rates = {r.source: r for r in tr.truncation_rates(out).collect()}
-    assert rates["mail"].n_cut == 0 and rates["form"].share > 0.4
+    assert rates["mail"].n_cut == rates["mail"].n_at_limit == 0 and rates["form"].share > 0.4 and rates["form"].n_at_limit > 0.9 * rates["form"].n_cut
+    assert sum(r.n for r in tr.truncation_reasons(out).collect()) == len(got)
     assert tr.truncated(df.where("false")).count() == 0
 
 
@@ -64,5 +65,15 @@ def test_open_lines_with_rare_beginnings(spark):
     rows += [(500, stop, "form")]  # it lies at the limit by chance
     rows += [(600 + i, f"Notably {some(4)}.", "mail") for i in range(10)] + [(700 + i, f"Notably {some(2 + i)}", "mail") for i in range(4)]
     out = {r.doc_id: r.reason for r in tr.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("cut").collect()}
-    assert {i for i, reason in out.items() if reason == "open line at a limit"} == set(range(20))
+    assert {i for i, reason in out.items() if reason == "at a limit, open line"} == set(range(20))
     assert set(out) == {*range(20), *range(700, 704)}
+
+
+def test_two_limits_of_a_source(spark):
+    """The smaller limit stands beside the larger one, as other texts lie at it."""
+    rng = random.Random(9)
+    long = lambda: " ".join(rng.choices("alpha béta gamma délta".split(), k=90))
+    rows = [(i, long()[:200].rstrip().ljust(200, "x"), "form") for i in range(100)] + [(200 + i, long()[:90].rstrip().ljust(90, "x"), "form") for i in range(12)]
+    rows += [(400 + i, long()[: rng.randint(20, 300)], "form") for i in range(60)]
+    found = {(r.encoding, r.limit) for r in tr.hidden_limits(tr.measure(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert found == {("chars", 200), ("chars", 90)}
