@@ -1,10 +1,12 @@
 """The k most similar vectors of every vector, by shifted Hilbert curves.
 
 Vectors are scaled to length 1 and, for each of several curves, projected on a few random orthogonal directions, shifted
-and put in Hilbert order. One range partitioning by (curve, key) brings each stretch of a curve to one task, which
-compares every vector with its `window` neighbours on either side by block products and keeps the best k. Keys go `FINE`
-bits a dimension below the curve's cells, so that many vectors in one cell lie in another order on each curve. The curves'
-results are merged and the k best stand, by the exact cosine in double precision.
+and put in Hilbert order: one range partitioning by (curve, place, key) of ids alone numbers every vector on every curve.
+The numbers cut the curves into stretches of `STRETCH` vectors; a stretch also gets the `window` vectors that follow it,
+so no window ends at a cut. A task compares each vector of its stretch with the `window` next ones by block products; the
+result serves both sides of a pair, and the best k stand for each. Keys go `FINE` bits a dimension below the curve's
+cells, so that many vectors in one cell lie in another order on each curve. The curves' results are merged and the k
+best stand, by the exact cosine in double precision.
 
 The work grows as vectors x curves x window: no pair of the whole collection is formed. Vectors that are equal up to
 scale are one point on the curves however many rows they fill, and are put back at the end, each row with the k rows
@@ -24,9 +26,11 @@ from pyspark.sql.window import Window
 
 from marginalia.session import materialize, ready
 
-CURVES, DIMS, BITS, FINE, WINDOW, SAMPLE, STRETCH, SEED = 14, 10, 3, 13, 2048, 4096, 16_384, 20240607
+CURVES, DIMS, BITS, FINE, WINDOW, SAMPLE, STRETCH, PART, SEED = 14, 10, 3, 13, 2048, 4096, 16_384, 262_144, 20240607
 #: Pairs whose exact cosines are computed at once; candidates a vector from which the best are told apart first.
 SLICE, CROWD = 65_536, 64
+#: Rows of a block product; pairs a task holds before it keeps the best k of each vector.
+BLOCK, HELD = 512, 2_000_000
 _GRID = np.array([-40.0, *(NormalDist().inv_cdf((i + 0.5) / 4096) for i in range(4096)), 40.0])
 _QUANTILES = np.array([0.0, *((i + 0.5) / 4096 for i in range(4096)), 1.0])
 
@@ -127,46 +131,97 @@ def clean(chunks: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     return fit.mapInArrow(run, f"key {kind}, vec array<float>, point binary").groupBy("key").agg(F.min(F.struct("vec", "point")).alias("x")).select("key", "x.vec", "x.point")
 
 
-def _search(width: int, k: int, window: int, least: float):
-    """The best k of each vector within `window` places, or some more, on its stretch of a curve."""
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sorted row's partition and its place there."""
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.num_rows
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n), pa.int64())], names=["curve", "key", "part", "at"])
+        at += n
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pairs(x: np.ndarray, ids: np.ndarray, own: int, k: int, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cos): for each place a its best k among the places at most `window`, or some more, away, where the
+    earlier of the two is one of the first `own`."""
+    short = x.astype(np.float32)
+    held = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    count = 0
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, cos = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((ids[b], -cos, a))
+        a, b, cos = a[order], b[order], cos[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, int)
+        keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < k
+        return a[keep], b[keep], cos[keep]
+
+    for i in range(0, own, BLOCK):
+        end, high = min(i + BLOCK, own), min(len(x), i + BLOCK + window)
+        near = short[i:end] @ short[i:high].T
+        good = near >= least - 1e-4
+        if np.count_nonzero(good) > CROWD * len(near) and near.shape[1] > k + 1:
+            # of a crowd, only those that may be among the best k of either side besides itself: single precision is off by less than 1e-5
+            low = np.partition(near, -k - 1, axis=1)[:, -k - 1, None] - 2e-5
+            some = near >= low
+            if len(near) > k + 1:
+                some |= near >= np.partition(near, -k - 1, axis=0)[-k - 1] - 2e-5
+            else:
+                some[:] = True
+            good &= some
+        a, b = np.divmod(np.flatnonzero(good.ravel()), near.shape[1])
+        keep = a < b
+        a, b = a[keep] + i, b[keep] + i
+        cos = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[a[j : j + SLICE]], x[b[j : j + SLICE]]) for j in range(0, len(a), SLICE))])
+        cos = np.round(cos, 12)
+        keep = cos >= least
+        a, b, cos = a[keep], b[keep], cos[keep]
+        held += [(a, b, cos), (b, a, cos)]
+        count += 2 * len(a)
+        if count > HELD:
+            held = [best()]
+            count = len(held[0][0])
+    return best()
+
+
+def _search(width: int, k: int, window: int, least: float, stretch: int):
+    """The best k of each vector on the curves of a stretch; rows (to, g, curve, key, vec) come sorted by to and g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            to = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
+            if rest and batch.num_rows and rest[-1].column(0)[0].as_py() != to[0]:
+                yield from one(rest)
+                rest = []
+            at = 0
+            for c in cuts.tolist():
+                yield from one([*rest, batch.slice(at, c - at)])
+                rest, at = [], c
+            if at < batch.num_rows:
+                rest.append(batch.slice(at))
+        if rest:
+            yield from one(rest)
+
+    def one(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(got).combine_chunks()
         kind = rows.schema.field("key").type
-        curve, key = (rows.column(c).to_numpy() for c in ("curve", "key"))
-        place = np.array(rows.column("place").to_pylist(), dtype=bytes)
-        raw = _matrix(rows.column("vec").combine_chunks() if rows.column("vec").num_chunks != 1 else rows.column("vec").chunk(0), width)
+        to, g, curve, key = (rows.column(c).to_numpy() for c in ("to", "g", "curve", "key"))
+        raw = _matrix(rows.column("vec").chunk(0), width)
         for c in np.unique(curve):
-            own = np.flatnonzero(curve == c)
-            own = own[np.lexsort((key[own], place[own]))]
-            x, ids = raw[own].astype(np.float64), key[own]
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            short = x.astype(np.float32)
-            for i in range(0, len(x), 512):
-                low, high = max(0, i - window), min(len(x), i + 512 + window)
-                near = short[i : i + 512] @ short[low:high].T
-                good = near >= least - 1e-4
-                if np.count_nonzero(good) > CROWD * len(near) and near.shape[1] > k + 1:
-                    # of a crowd, only those that may be among the best k besides the vector itself: single precision is off by less than 1e-5
-                    good &= near >= np.partition(near, -k - 1, axis=1)[:, -k - 1, None] - 2e-5
-                a, b = np.nonzero(good)
-                a, b = a + i, b + low
-                keep = a != b
-                a, b = a[keep], b[keep]
-                cos = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[a[j : j + SLICE]], x[b[j : j + SLICE]]) for j in range(0, len(a), SLICE))])
-                cos = np.round(cos, 12)
-                keep = cos >= least
-                a, b, cos = a[keep], b[keep], cos[keep]
-                order = np.lexsort((ids[b], -cos, a))
-                a, b, cos = a[order], b[order], cos[order]
-                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, int)
-                rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-                best = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a[best]], kind), pa.array(ids[b[best]], kind), pa.array(cos[best], pa.float64())], names=["a", "b", "cos"])
+            of = np.flatnonzero(curve == c)
+            of = of[np.argsort(g[of])]
+            ids = key[of]
+            a, b, cos = _pairs(_units(raw[of]), ids, int((g[of] // stretch == to[of]).sum()), k, window, least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], kind), pa.array(ids[b], kind), pa.array(cos, pa.float64())], names=["a", "b", "cos"])
 
     return run
 
@@ -184,17 +239,11 @@ def nearest(chunks: DataFrame, key: str = "chunk_id", vec: str = "vec", k: int =
     some = [r.vec for r in points.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()]
     if not some:
         return chunks.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double, rank int")
-    base = np.array(some, np.float64)
-    base /= np.abs(base).max(1, keepdims=True)
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    fitted = Curves(base, curves, dims, bits)
+    fitted = Curves(_units(np.array(some)), curves, dims, bits)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1), width).astype(np.float64)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys = fitted.keys(x)
+            keys = fitted.keys(_units(_matrix(b.column(1), width)))
             flat = pa.array([r.tobytes() for r in keys.reshape(-1, keys.shape[2])], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, curves), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["key", "vec", "places"])
@@ -202,9 +251,18 @@ def nearest(chunks: DataFrame, key: str = "chunk_id", vec: str = "vec", k: int =
     first = reps.where("nth = 1").select("key")
     distinct = points.join(first, "key", "left_semi").select("key", "vec")
     placed = materialize(distinct.mapInArrow(place, f"key {kind}, vec array<float>, places array<binary>"), "placed")
-    stretches = max(1, -(-placed.count() * curves // STRETCH))
-    spread = placed.select("key", "vec", F.posexplode("places").alias("curve", "place")).repartitionByRange(stretches, "curve", "place")
-    found = spread.select("curve", "place", "key", "vec").mapInArrow(_search(width, k, window, least), f"a {kind}, b {kind}, cos double")
+    stretch = max(STRETCH, window)
+    parts = max(1, -(-placed.count() * curves // PART))
+    lined = placed.select("key", F.posexplode("places").alias("curve", "place")).repartitionByRange(parts, "curve", "place", "key").sortWithinPartitions("curve", "place", "key")
+    lined = materialize(lined.select("curve", "key").mapInArrow(_number, f"curve int, key {kind}, part int, at long"), "places")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = lined.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = lined.join(base, "part").groupBy("key").agg(F.collect_list(F.struct((F.col("base") + F.col("at")).alias("g"), "curve")).alias("x"))  # a number a curve
+    sent = placed.select("key", "vec").join(numbered, "key").select("key", "vec", F.explode("x").alias("x")).select("x.g", "x.curve", "key", "vec")
+    home = F.floor(F.col("g") / stretch)
+    ahead = F.array(home, home - 1)  # the first of a stretch are also what follows the one before
+    sent = sent.select(F.explode(F.when((F.col("g") % stretch < window) & (home > 0), ahead).otherwise(F.array(home))).alias("to"), "g", "curve", "key", "vec")
+    found = sent.repartition("to").sortWithinPartitions("to", "g").mapInArrow(_search(width, k, window, least, stretch), f"a {kind}, b {kind}, cos double")
     best = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("far"), "b"))), 1, k).alias("x"))  # at most k x curves a vector
     pairs = best.select("a", F.explode("x").alias("y")).select("a", "y.b", (-F.col("y.far")).alias("cos"))
     # from points back to rows: the others of the own point come first, then those of the near points, lowest keys first

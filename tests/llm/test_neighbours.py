@@ -65,3 +65,18 @@ def test_bytes_begin_with_the_key_of_fewer_bits():
     cells = np.random.default_rng(2).integers(0, 1 << 16, (500, 4))
     order = nb.hilbert_bytes(cells, 16)
     assert (nb.hilbert_keys(cells >> 12, 4) == order[:, 0].astype(int) * 256 + order[:, 1]).all()
+
+
+def test_no_window_ends_at_a_cut(spark, monkeypatch):
+    """Stretches of 40 give what one stretch gives; pairs held are cut back to the best on the way."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((20, 96))
+    df = spark.createDataFrame([(i, [float(z) for z in centres[i % 20] + 0.4 * rng.standard_normal(96)]) for i in range(500)], "chunk_id long, vec array<float>")
+    monkeypatch.setattr(nb, "BLOCK", 1)
+    found = []
+    for stretch, held, part in ((100_000, 10**6, 10**6), (40, 50, 300)):
+        monkeypatch.setattr(nb, "STRETCH", stretch)
+        monkeypatch.setattr(nb, "HELD", held)
+        monkeypatch.setattr(nb, "PART", part)
+        found.append(sorted((r.a, r.b, r["rank"]) for r in nb.nearest(df, curves=2, window=40).collect()))
+    assert found[0] == found[1] and len(found[0]) > 500
