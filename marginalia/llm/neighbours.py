@@ -103,11 +103,26 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Rows of equal length as binary values, without a copy of each."""
+    size = rows.shape[1] * rows.itemsize
+    ends = pa.array(np.arange(0, len(rows) * size + 1, size), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """The float rows of binary values that are all of one length."""
+    if not len(column):
+        return np.empty((0, width), np.float32)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], "<f4", len(column) * width, int(ends[0])).reshape(-1, width)
+
+
 def clean(chunks: DataFrame, key: str, vec: str, width: int) -> DataFrame:
-    """(key, vec, point) of the vectors of `width` finite numbers that are not all zero, each key once.
+    """(key, vec, point) of the vectors of `width` finite numbers that are not all zero, each key once; vec as bytes.
 
     point is equal for vectors that agree in five decimals once scaled to length 1. Of rows that share a key the one with
-    the least vector stands."""
+    the least bytes stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -121,14 +136,12 @@ def clean(chunks: DataFrame, key: str, vec: str, width: int) -> DataFrame:
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             grid = np.round(unit * 1e5).astype(np.int32)
             point = [xxhash.xxh128_digest(r.tobytes()) for r in grid]
-            flat = pa.array(raw.ravel(), pa.float32())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(raw) * width + 1, width), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), lists, pa.array(point, pa.binary())], names=["key", "vec", "point"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), _bytes(raw.astype("<f4")), pa.array(point, pa.binary())], names=["key", "vec", "point"])
 
     ready()
     kind = chunks.schema[key].dataType.simpleString()
     fit = chunks.where(F.col(key).isNotNull() & (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull())).select(F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("vec"))
-    return fit.mapInArrow(run, f"key {kind}, vec array<float>, point binary").groupBy("key").agg(F.min(F.struct("vec", "point")).alias("x")).select("key", "x.vec", "x.point")
+    return fit.mapInArrow(run, f"key {kind}, vec binary, point binary").groupBy("key").agg(F.min(F.struct("vec", "point")).alias("x")).select("key", "x.vec", "x.point")
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +161,9 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pairs(x: np.ndarray, ids: np.ndarray, own: int, k: int, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(x: np.ndarray, ids: np.ndarray, own: int, k: int, window: int, least: float, block: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, cos): for each place a its best k among the places at most `window`, or some more, away, where the
-    earlier of the two is one of the first `own`."""
+    earlier of the two is one of the first `own`; no more than `most` pairs and a block's are held at once."""
     short = x.astype(np.float32)
     held = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
     count = 0
@@ -163,8 +176,8 @@ def _pairs(x: np.ndarray, ids: np.ndarray, own: int, k: int, window: int, least:
         keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < k
         return a[keep], b[keep], cos[keep]
 
-    for i in range(0, own, BLOCK):
-        end, high = min(i + BLOCK, own), min(len(x), i + BLOCK + window)
+    for i in range(0, own, block):
+        end, high = min(i + block, own), min(len(x), i + block + window)
         near = short[i:end] @ short[i:high].T
         good = near >= least - 1e-4
         if np.count_nonzero(good) > CROWD * len(near) and near.shape[1] > k + 1:
@@ -185,13 +198,13 @@ def _pairs(x: np.ndarray, ids: np.ndarray, own: int, k: int, window: int, least:
         a, b, cos = a[keep], b[keep], cos[keep]
         held += [(a, b, cos), (b, a, cos)]
         count += 2 * len(a)
-        if count > HELD:
+        if count > most:
             held = [best()]
             count = len(held[0][0])
     return best()
 
 
-def _search(width: int, k: int, window: int, least: float, stretch: int):
+def _search(width: int, k: int, window: int, least: float, stretch: int, block: int, most: int):
     """The best k of each vector on the curves of a stretch; rows (to, g, curve, key, vec) come sorted by to and g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +228,12 @@ def _search(width: int, k: int, window: int, least: float, stretch: int):
         rows = pa.Table.from_batches(got).combine_chunks()
         kind = rows.schema.field("key").type
         to, g, curve, key = (rows.column(c).to_numpy() for c in ("to", "g", "curve", "key"))
-        raw = _matrix(rows.column("vec").chunk(0), width)
+        raw = _vectors(rows.column("vec").chunk(0), width)
         for c in np.unique(curve):
             of = np.flatnonzero(curve == c)
             of = of[np.argsort(g[of])]
             ids = key[of]
-            a, b, cos = _pairs(_units(raw[of]), ids, int((g[of] // stretch == to[of]).sum()), k, window, least)
+            a, b, cos = _pairs(_units(raw[of]), ids, int((g[of] // stretch == to[of]).sum()), k, window, least, block, most)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], kind), pa.array(ids[b], kind), pa.array(cos, pa.float64())], names=["a", "b", "cos"])
 
     return run
@@ -239,18 +252,18 @@ def nearest(chunks: DataFrame, key: str = "chunk_id", vec: str = "vec", k: int =
     some = [r.vec for r in points.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()]
     if not some:
         return chunks.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double, rank int")
-    fitted = Curves(_units(np.array(some)), curves, dims, bits)
+    fitted = Curves(_units(np.array([np.frombuffer(v, "<f4") for v in some])), curves, dims, bits)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = fitted.keys(_units(_matrix(b.column(1), width)))
+            keys = fitted.keys(_units(_vectors(b.column(1), width)))
             flat = pa.array([r.tobytes() for r in keys.reshape(-1, keys.shape[2])], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, curves), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["key", "vec", "places"])
 
     first = reps.where("nth = 1").select("key")
     distinct = points.join(first, "key", "left_semi").select("key", "vec")
-    placed = materialize(distinct.mapInArrow(place, f"key {kind}, vec array<float>, places array<binary>"), "placed")
+    placed = materialize(distinct.mapInArrow(place, f"key {kind}, vec binary, places array<binary>"), "placed")
     stretch = max(STRETCH, window)
     parts = max(1, -(-placed.count() * curves // PART))
     lined = placed.select("key", F.posexplode("places").alias("curve", "place")).repartitionByRange(parts, "curve", "place", "key").sortWithinPartitions("curve", "place", "key")
@@ -262,7 +275,7 @@ def nearest(chunks: DataFrame, key: str = "chunk_id", vec: str = "vec", k: int =
     home = F.floor(F.col("g") / stretch)
     ahead = F.array(home, home - 1)  # the first of a stretch are also what follows the one before
     sent = sent.select(F.explode(F.when((F.col("g") % stretch < window) & (home > 0), ahead).otherwise(F.array(home))).alias("to"), "g", "curve", "key", "vec")
-    found = sent.repartition("to").sortWithinPartitions("to", "g").mapInArrow(_search(width, k, window, least, stretch), f"a {kind}, b {kind}, cos double")
+    found = sent.repartition("to").sortWithinPartitions("to", "g").mapInArrow(_search(width, k, window, least, stretch, BLOCK, HELD), f"a {kind}, b {kind}, cos double")
     best = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("far"), "b"))), 1, k).alias("x"))  # at most k x curves a vector
     pairs = best.select("a", F.explode("x").alias("y")).select("a", "y.b", (-F.col("y.far")).alias("cos"))
     # from points back to rows: the others of the own point come first, then those of the near points, lowest keys first
