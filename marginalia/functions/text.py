@@ -127,6 +127,7 @@ def source_prior(path: Column) -> Column:
     """How far a note's place speaks against it: catalogues, logs, verbatim imports and audits; the first rule that fits."""
     base = F.lower(basename(path))
     low = F.lower(path)
+    # The places and what they count.
     return (
         F.when(F.arrays_overlap(_base_words(path), F.array(F.lit("index"), F.lit("moc"))), 0.5)
         .when(low.rlike("^(logs|inbox)/"), 0.7)
@@ -306,6 +307,7 @@ def money(c: Column) -> Column:
 
 
 def is_episodic(q: Column) -> Column:
+    # Fixed value: phrases that ask for a past talk.
     return F.lower(q).rlike("(discussed?|conversation|memor(y|ies)|remember|talked|chat(ted)?|we (said|spoke)|did we)")
 
 
@@ -331,9 +333,9 @@ def strip_frames(q: Column) -> Column:
 
 
 def relationship_role(q: Column) -> Column:
-    """The role of a question like "who is our accountant", singular; null for other questions."""
-    role = F.regexp_extract(F.lower(q), r"\bwho(?:'s| is| are| was)\s+(?:my|our)\s+([a-z][a-z-]+)", 1)
-    return F.when(role != "", F.regexp_replace(role, "(?<=[a-z]{3})s$", ""))
+    """The role of a question like "who is our accountant", as written; null for other questions."""
+    role = F.regexp_extract(F.lower(q), r"\bwho(?:'?s| is| are|'re)\s+(?:my|our)\s+([a-z][a-z '-]*)", 1)
+    return F.when(role != "", F.trim(role))
 
 
 def boundary_hits(text: Column, phrase: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as tx
+
 
 def matches(path: Column, prefixes: Column) -> Column:
     """Whether a path is one of the prefixes or lies below one, at a folder's boundary, in any case."""
@@ -18,8 +20,10 @@ def reserved(path: Column) -> Column:
 
 
 def can_read(path: Column, read: Column, deny: Column) -> Column:
-    """No reserved path, none under deny; an empty or null read list means all."""
+    """No reserved path, none under deny; an empty or null read list means all. Paths are brought to their plain form first;
+    one that is absolute or climbs out of the vault can't be read."""
     none = F.array().cast("array<string>")
+    path = tx.normalize_rel(path)
     read, deny = F.coalesce(read, none), F.coalesce(deny, none)
     return path.isNotNull() & ~reserved(path) & ~matches(path, deny) & ((F.size(read) == 0) | matches(path, read))
 
@@ -42,6 +46,7 @@ def scoped(rows: DataFrame, agent: DataFrame, path: str = "path") -> DataFrame:
 def readable_counts(notes: DataFrame, agents: DataFrame, most: int = 6) -> DataFrame:
     """(agent_id, n): how many notes each agent may read. Notes are counted once by folder prefix; an agent's scopes then meet these
     counts by equi-joins, so that no agent is compared with every note."""
+    notes = notes.withColumn("path", tx.normalize_rel(F.col("path")))
     low = F.lower("path")
     dirs = F.transform(F.sequence(F.lit(1), F.size(F.split(low, "/"))), lambda i: F.array_join(F.slice(F.split(low, "/"), 1, i), "/"))
     open_ = notes.where(F.col("path").isNotNull() & ~reserved(F.col("path")))

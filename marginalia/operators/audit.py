@@ -28,7 +28,7 @@ def is_exempt(path: Column) -> Column:
 
 def is_hub(path: Column, front: Column) -> Column:
     base = F.lower(tx.basename(path))
-    return F.coalesce(F.lower(tx.front_value(F.substring(front, 1, 400), "type")) == "moc", F.lit(False)) | base.isin("home", "overview", "index") | base.rlike("(^|[^a-z])(moc|index)([^a-z]|$)")
+    return F.coalesce(F.lower(tx.front_value(F.substring(front, 1, 400), "type")) == "moc", F.lit(False)) | base.isin("home", "overview", "index") | base.endswith(" index") | base.endswith(" moc")
 
 
 def _finding(df: DataFrame, kind: str, path: Column | str, detail: Column | str) -> DataFrame:
@@ -79,6 +79,13 @@ def hubs(corpus: DataFrame) -> DataFrame:
     return corpus.where(is_hub(F.col("path"), F.col("front"))).select(F.col("path").alias("hub"), tx.folder(F.col("path")).alias("dir"))
 
 
+def is_area_map(hub: Column, folder: Column) -> Column:
+    """Whether a hub is named after a folder, but for a general word at its end and a plural s on either side."""
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    core = F.regexp_replace(F.trim(F.regexp_replace(flat(tx.basename(hub)), r"\s+(moc|home|index|hub)$", "")), "s$", "")
+    return (core != "") & (core == F.regexp_replace(flat(folder), "s$", ""))
+
+
 def _skipped(path: Column) -> Column:
     return path.rlike("^(System|Templates|Inbox)/") | in_verbatim(path) | path.rlike("(^|/)Reference/Skills/")
 
@@ -112,8 +119,7 @@ def area_gaps(corpus: DataFrame, edges: DataFrame) -> DataFrame:
     many = sub.groupBy("top").agg(F.count("*").alias("k"), F.min("hub").alias("path")).where("k >= 2")
     e = edges.where("not unresolved").select("src", "dst").distinct()
     links = root.join(e, F.col("hub") == F.col("src")).join(sub.select(F.col("hub").alias("dst")), "dst", "left_semi").groupBy("hub").agg(F.count("*").alias("links"))
-    base = F.lower(tx.basename(F.col("hub")))
-    named = F.regexp_replace(base, r"\s*\b(moc|index|map|overview)\b", "").isin("", "home") | (F.regexp_replace(F.regexp_replace(base, r"\s*\b(moc|index|map|overview)\b", ""), "s$", "") == F.regexp_replace(F.lower("top"), "s$", ""))
+    named = is_area_map(F.col("hub"), F.col("top")) | F.lower(tx.basename(F.col("hub"))).isin("home", "overview", "index", "moc")
     area = root.join(links, "hub", "left").na.fill(0, ["links"]).join(many.select("top", "k"), "top").where(named | (F.col("links") >= F.ceil(F.col("k") / 2)))
     return _finding(many.join(area.select("top"), "top", "left_anti"), "area-moc-gap", "path", F.col("top"))
 
@@ -136,12 +142,18 @@ def duplicate_aliases(corpus: DataFrame) -> DataFrame:
 
 
 def conflict_copies(corpus: DataFrame) -> DataFrame:
-    """Copies that a sync left beside a note, by three shapes of their names; the original must exist."""
+    """Copies that a sync left beside a note, by three shapes of their names; the original must exist.
+
+    A device's name may hold hyphens itself: the shortest end of the basename that is shaped like one counts."""
     p = F.col("path")
+    # The shapes of file names that sync tools make.
     thing = F.regexp_extract(p, r"^(.*)\.sync-conflict-[0-9]{8}-[0-9]{6}-[^./]+\.md$", 1)
     told = F.regexp_extract(p, r"^(.*) \([^()]*?(?:conflicted copy|sync-conflict)[^)]*\)\.md$", 1)
-    device = F.regexp_extract(p, r"(?i)^(.*?)-(?:(?:desktop|laptop|macbook)[- ][^/]+|[^/]*['’]s(?:\s[^/]*)?)\.md$", 1)
-    base = F.when(thing != "", thing).when(told != "", told).when(device != "", device)
+    device = r"(?i)^(?:(?:desktop|laptop|macbook)[- ]\S|.*['’]s(?:\s|$))"
+    parts = F.split(F.regexp_replace(F.substring_index(p, "/", -1), r"(?i)\.md$", ""), "-")
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(parts, 1, F.size(parts) - i), "-").alias("stem"), F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "-").alias("end")))
+    stem = F.get(F.filter(ends, lambda x: x["end"].rlike(device)), F.lit(0))["stem"]
+    base = F.when(thing != "", thing).when(told != "", told).when((F.size(parts) > 1) & stem.isNotNull(), F.concat(F.regexp_replace(p, "[^/]*$", ""), stem))
     c = corpus.select("path", F.concat(base, F.lit(".md")).alias("original")).where("original is not null and original != path")
     return _finding(c.join(corpus.select(F.col("path").alias("original")), "original", "left_semi"), "sync-conflict-copy", "path", F.col("original"))
 

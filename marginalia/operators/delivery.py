@@ -14,9 +14,13 @@ from marginalia.functions import text as tx
 from marginalia.operators import fusion, lanes
 from marginalia.session import ready
 
-#: Roles that name a person, and types of notes about persons.
-ROLES = "accountant advisor agent assistant boss broker client coach colleague contact customer dentist designer developer doctor investor landlord lawyer manager mentor partner sponsor supplier teacher vendor".split()
-PERSON_TYPES = ("person", "people", "contact", "partner", "profile", "client", "vendor")
+# Roles of persons, and types of notes that are no persons.
+ROLES = (
+    "manager boss supervisor mentor wife husband spouse fiance fiancee girlfriend boyfriend mother father mom dad mum parent sister brother "
+    "sibling son daughter cousin aunt uncle colleague coworker assistant secretary doctor dentist lawyer attorney accountant therapist trainer "
+    "coach tutor landlord physician nanny roommate"
+).split()
+NO_PERSON = "partner client organization organisation company venture initiative project vendor customer supplier team product platform opportunity deliverable".split()
 
 
 def densest(text: str, words: list[str], weights: list[float], span: int, marks_each: int = 60, lead: int = 200) -> str:
@@ -95,20 +99,41 @@ def pointers(sections: DataFrame, names: DataFrame) -> DataFrame:
     return hit.groupBy("qid", "note_id").agg(F.min(F.struct("at", "path")).alias("x")).select("qid", "note_id", F.col("x.path").alias("target"))
 
 
+def asks_for_person(question: Column) -> Column:
+    """Whether a question asks who has a person's role: any word of the role, singular or plural."""
+    words = F.split(tx.relationship_role(question), r"[\s'-]+")
+    return F.coalesce(F.exists(words, lambda w: w.isin(ROLES) | F.regexp_replace(w, "es$", "").isin(ROLES) | F.regexp_replace(w, "s$", "").isin(ROLES)), F.lit(False))
+
+
 def relationship_check(questions: DataFrame, answers: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(qid, honest): false where a question asks who has a person's role and the first answer is of a type that is no person."""
-    role = tx.relationship_role(F.col("question"))
-    asked = questions.select("qid", role.isin(ROLES).alias("asks")).where("asks")
-    top = answers.where("rank = 1").select("qid", "note_id").join(corpus.select("note_id", F.lower(tx.front_value(F.col("front"), "type")).alias("type")), "note_id")
-    return asked.join(top, "qid", "left").select("qid", (F.col("type").isNull() | F.col("type").isin(*PERSON_TYPES)).alias("honest"))
+    """(qid, honest): false where a question asks for a person and the first answer is of a type that is none. Notes under People/,
+    of type person, of another type or without one are let through; so is a question without an answer."""
+    asked = questions.where(asks_for_person(F.col("question"))).select("qid")
+    kind = F.lower(F.regexp_extract("front", r"(?i)(?:^|\n)type:\s*['\"]?([a-z][a-z-]*)", 1))
+    top = answers.where("rank = 1").select("qid", "note_id").join(corpus.select("note_id", "path", kind.alias("type")), "note_id")
+    wrong = ~F.col("path").rlike("(?i)(^|/)People/") & F.col("type").isin(NO_PERSON)
+    return asked.join(top, "qid", "left").select("qid", (~F.coalesce(wrong, F.lit(False))).alias("honest"))
 
 
 def sibling_clarify(q: DataFrame, known: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(qid, series, n): known items without a date in the question of which at least two differ in nothing but their date."""
+    """(qid, series, n, options): known items that would be pinned, without a date in the question, of whose first four all, two or
+    more, differ in nothing but their date."""
     dated = q.where(tx.is_dateish(F.col("term"))).select("qid").distinct()
-    k = known.join(dated, "qid", "left_anti").join(corpus.select("note_id", tx.date_key(F.col("path")).alias("series")), "note_id")
-    first = k.where("nth = 1").select("qid", "series")
-    return k.join(first, ["qid", "series"], "left_semi").groupBy("qid", "series").agg(F.count("*").alias("n")).where("n >= 2 and series != ''")
+    pinned = fusion.known_pins(known).select("qid")
+    k = known.where("nth <= 4").join(pinned, "qid", "left_semi").join(dated, "qid", "left_anti").join(corpus.select("note_id", tx.date_key(F.col("path")).alias("series")), "note_id")
+    by = k.groupBy("qid").agg(F.count("*").alias("n"), F.collect_set("series").alias("keys"), F.sort_array(F.collect_list(F.struct("nth", "note_id"))).alias("o"))
+    return by.where((F.col("n") >= 2) & (F.size("keys") == 1)).select("qid", F.get("keys", F.lit(0)).alias("series"), "n", F.transform("o", lambda x: x["note_id"]).alias("options"))
+
+
+def confirmed(answers: DataFrame, near: DataFrame, chunks: DataFrame, corpus: DataFrame, first: int = 3) -> DataFrame:
+    """(qid): questions whose first answer is among the first three of the semantic lane, by vectors of the note as it is now: its
+    chunks' hash is the note's, or none is recorded."""
+    top = answers.where("rank = 1").select("qid", "note_id").join(near.where(F.col("rank") <= first).select("qid", "note_id"), ["qid", "note_id"])
+    if "note_hash" not in chunks.columns:
+        return top.select("qid").distinct()
+    now = corpus.select("note_id", tx.content_hash(F.col("raw")).alias("now"))
+    fresh = chunks.select("note_id", "note_hash").join(top.select("note_id").distinct(), "note_id", "left_semi").join(now, "note_id").where(F.col("note_hash").isNull() | (F.col("note_hash") == F.col("now"))).select("note_id").distinct()
+    return top.join(fresh, "note_id", "left_semi").select("qid").distinct()
 
 
 def pair_pins(q: DataFrame, postings: DataFrame, terms: DataFrame, priors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from marginalia.config import RANKING, Ranking
 from marginalia.functions import text as tx
+from marginalia.operators import index as ix
 from marginalia.session import ready
 
 
@@ -24,30 +25,48 @@ def rrf(lanes: dict[str, DataFrame], weights: Column, limit: int = 20, r: Rankin
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def content_words(questions: DataFrame, q: DataFrame) -> DataFrame:
+    """(qid, content array): each question's single words that are no dates; empty where it has none."""
+    some = q.where((F.instr("term", " ") == 0) & ~tx.is_dateish(F.col("term"))).groupBy("qid").agg(F.array_sort(F.collect_list("term")).alias("content"))
+    return questions.select("qid").join(some, "qid", "left").select("qid", F.coalesce("content", F.array().cast("array<string>")).alias("content"))
+
+
 def lane_weights(profile: dict[str, float], constant: dict[str, float] = RANKING.constant) -> Column:
     every = {**constant, **profile}
     return F.create_map(*[x for k, v in sorted(every.items()) for x in (F.lit(k), F.lit(float(v)))])[F.col("lane")]
 
 
-def known_item(q: DataFrame, terms: DataFrame, lengths: DataFrame, top: int = 5) -> DataFrame:
-    """(qid, note_id, cover, cover_idf, matches, nth): notes whose title holds all of a question's words that are no dates, of
-    at least two distinct words; cover is the share of the title they make up."""
-    singles = q.where(F.instr("term", " ") == 0).withColumn("date", tx.is_dateish(F.col("term")))
-    need = singles.groupBy("qid").agg(F.count("*").alias("all"), F.sum((~F.col("date")).cast("int")).alias("content"), F.sum(F.col("date").cast("int")).alias("dates"))
+def known_item(q: DataFrame, terms: DataFrame, lengths: DataFrame, doc_freq: DataFrame, stats: DataFrame, corpus: DataFrame, top: int = 5) -> DataFrame:
+    """(qid, note_id, cover, cover_idf, matches, date_hits, nth): notes whose title holds all of a question's words that are no
+    dates, of at least two distinct words (or all its dates, two or more, where there are no others).
+
+    cover is the share of the title's words they make up, cover_idf the share of its words' idf; a date and its month as one
+    token count as dates. System/ is left out. Order: dates, cover_idf, cover, fewest words left, path."""
+    single = F.instr("term", " ") == 0
+    asked = q.select("qid", "term", "idf_bm", single.alias("single"), (single & tx.is_dateish(F.col("term"))).alias("date"))
+    need = asked.groupBy("qid").agg(F.sum(F.col("single").cast("int")).alias("all"), F.sum((F.col("single") & ~F.col("date")).cast("int")).alias("content"), F.sum(F.col("date").cast("int")).alias("dates"))
     need = need.where((F.col("all") >= 2) & ((F.col("content") > 0) | (F.col("dates") >= 2)))
-    titles = terms.where((F.col("tf_title") > 0) & (F.instr("term", " ") == 0)).select("note_id", "term")
-    hits = singles.join(titles, "term").groupBy("qid", "note_id").agg(F.sum((~F.col("date")).cast("int")).alias("hit"), F.sum(F.col("date").cast("int")).alias("date_hits"), F.sum("idf").alias("mass"))
-    full = hits.join(need, "qid").where(F.when(F.col("content") > 0, F.col("hit") == F.col("content")).otherwise(F.col("date_hits") == F.col("dates"))).join(lengths.select("note_id", "title_len"), "note_id")
-    rated = full.withColumn("cover", F.least((F.col("hit") + F.col("date_hits")) / F.greatest(F.col("title_len"), F.lit(1)), F.lit(1.0))).withColumn("matches", F.count("*").over(Window.partitionBy("qid")))
-    order = Window.partitionBy("qid").orderBy(F.desc("date_hits"), F.round("cover", 9).desc(), "note_id")
-    return rated.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top).select("qid", "note_id", "cover", "matches", "date_hits", "nth")
+    titles = terms.where("tf_title > 0").select("note_id", "term", "tf_title").join(corpus.where(~F.col("path").startswith("System/")).select("note_id", "path"), "note_id")
+    count = lambda c, n=F.lit(1): F.sum(F.when(c, n).otherwise(F.lit(0)))
+    one = F.col("single")
+    hits = asked.join(titles, "term").groupBy("qid", "note_id", "path").agg(count(one & ~F.col("date")).alias("hit"), count(F.col("date")).alias("dated"), count(~one, F.col("tf_title")).alias("combos"), F.sum(F.when(one, F.col("tf_title") * F.col("idf_bm")).otherwise(0.0)).alias("mass"))
+    full = hits.join(need, "qid").where(F.when(F.col("content") > 0, F.col("hit") == F.col("content")).otherwise(F.col("dated") == F.col("dates")))
+    full = full.join(lengths.select("note_id", "title_len"), "note_id")
+    words = titles.where(single).join(full.select("note_id").distinct(), "note_id", "left_semi").join(doc_freq, "term").join(F.broadcast(stats.select(F.col("n").alias("nn"))))
+    whole = words.groupBy("note_id").agg(F.sum(F.col("tf_title") * ix.idf_bm25(F.col("nn"), F.col("df"))).alias("whole"))
+    date_hits = F.col("dated") + F.col("combos")
+    rated = full.join(whole, "note_id", "left").select("qid", "note_id", "path", date_hits.alias("date_hits"), ((F.col("hit") + date_hits) / F.greatest("title_len", F.lit(1))).alias("cover"), F.coalesce(F.col("mass") / F.nullif("whole", F.lit(0.0)), F.lit(0.0)).alias("cover_idf"), (F.col("title_len") - F.col("hit") - date_hits).alias("extra"))
+    w = Window.partitionBy("qid")
+    order = w.orderBy(F.desc("date_hits"), F.round("cover_idf", 9).desc(), F.round("cover", 9).desc(), "extra", "path")
+    return rated.withColumn("matches", F.count("*").over(w)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top).select("qid", "note_id", "cover", "cover_idf", "matches", "date_hits", "nth")
 
 
 def rescale(fused: DataFrame, notes: DataFrame, asked: DataFrame, r: Ranking = RANKING) -> DataFrame:
     """Fused scores after demotion of archived notes (but for questions about past talks), of catalogues, and of the second and
-    later notes of one dated series. notes: (note_id, path); asked: (qid, episodic)."""
+    later notes of one dated series. notes: (note_id, path); asked: (qid, episodic, content), content being the question's
+    words that are no dates: a catalogue whose name holds them all was asked for."""
     x = fused.join(notes.select("note_id", "path"), "note_id").join(asked, "qid")
-    score = F.col("rrf") * F.when(tx.is_archived(F.col("path")) & ~F.col("episodic"), r.archived).otherwise(1.0) * F.when(tx.is_catalogue(F.col("path")), r.catalogue).otherwise(1.0)
+    score = F.col("rrf") * F.when(tx.is_archived(F.col("path")) & ~F.col("episodic"), r.archived).otherwise(1.0) * F.when(tx.is_catalogue(F.col("path")) & (F.size("content") > 0) & (F.size(F.array_except("content", tx.tokens(tx.basename(F.col("path"))))) > 0), r.catalogue).otherwise(1.0)
     x = x.withColumn("score", score).withColumn("series", tx.date_key(F.col("path")))
     nth = F.row_number().over(Window.partitionBy("qid", "series").orderBy(F.round("score", 12).desc(), "note_id"))
     x = x.withColumn("score", F.col("score") * F.when((F.col("series") != "") & (nth > 1), r.sibling).otherwise(1.0))
@@ -55,14 +74,26 @@ def rescale(fused: DataFrame, notes: DataFrame, asked: DataFrame, r: Ranking = R
     return x.select("qid", "note_id", "path", "score").withColumn("rank", F.row_number().over(order))
 
 
-def recency_boost(fused: DataFrame, dates: DataFrame, covered: DataFrame, temporal: DataFrame, as_of: str, r: Ranking = RANKING) -> DataFrame:
-    """For temporal questions, scores of the best-covered notes times 1 + what is left of 60 days since the freshest one."""
-    x = fused.join(dates, "note_id", "left").join(covered, ["qid", "note_id"], "left").na.fill(0, ["hit"]).join(temporal, "qid", "left").na.fill(False, ["temporal"])
+def recency_boost(fused: DataFrame, dates: DataFrame, covered: DataFrame, temporal: DataFrame, as_of: Column, r: Ranking = RANKING) -> DataFrame:
+    """(qid, note_id, rrf): for temporal questions, the scores of the notes that hold most of the content words times 1 + what
+    is left of 60 days since the freshest note of the list that has happened by as_of. covered: (qid, note_id, hit)."""
+    x = fused.join(dates.select("note_id", "date"), "note_id", "left").join(covered, ["qid", "note_id"], "left").na.fill(0.0, ["hit"]).join(temporal.select("qid", F.lit(True).alias("temporal")), "qid", "left")
     w = Window.partitionBy("qid")
-    now = F.max(F.when(F.col("date") <= F.lit(as_of).cast("date"), F.col("date"))).over(w)
-    left = F.greatest(F.lit(0.0), 1 - F.datediff(now, F.col("date")) / F.lit(float(r.recency_days)))
-    best = F.col("hit") == F.max("hit").over(w)
-    return x.withColumn("score", F.col("score") * F.when(F.col("temporal") & best & F.col("date").isNotNull(), 1 + left).otherwise(1.0)).select("qid", "note_id", "score")
+    now = F.coalesce(F.max(F.when(F.col("date") <= as_of, F.col("date"))).over(w), as_of)
+    left = F.greatest(F.lit(0.0), 1 - F.greatest(F.datediff(now, F.col("date")), F.lit(0)) / F.lit(float(r.recency_days)))
+    best = F.col("hit") >= F.max("hit").over(w) - 1e-9
+    return x.select("qid", "note_id", (F.col("rrf") * F.when(F.coalesce("temporal", F.lit(False)) & best & F.col("date").isNotNull(), 1 + left).otherwise(1.0)).alias("rrf"))
+
+
+def word_hits(q: DataFrame, listed: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, note_id, hit): the share of a question's content words of three letters or more in a listed note's title or text; 1 where
+    it has fewer than two."""
+    words = q.where((F.instr("term", " ") == 0) & (F.length("term") >= 3) & ~tx.is_dateish(F.col("term"))).select("qid", "term")
+    k = words.groupBy("qid").agg(F.count("*").alias("k"))
+    pairs = listed.select("qid", "note_id").distinct()
+    held = pairs.join(words, "qid").join(terms.where("tf_title > 0 or tf_body > 0").select("note_id", "term"), ["note_id", "term"]).groupBy("qid", "note_id").agg(F.count("*").alias("h"))
+    x = pairs.join(k, "qid", "left").join(held, ["qid", "note_id"], "left").na.fill(0, ["k", "h"])
+    return x.select("qid", "note_id", F.when(F.col("k") < 2, 1.0).otherwise(F.col("h") / F.col("k")).alias("hit"))
 
 
 def splice(listed: DataFrame, pins: DataFrame) -> DataFrame:
@@ -105,8 +136,9 @@ def title_subset_pins(q: DataFrame, terms: DataFrame, lengths: DataFrame) -> Dat
 
 
 def known_pins(known: DataFrame, r: Ranking = RANKING) -> DataFrame:
-    """Pins to slot 1 for the best known item with cover of at least 0.45, or 0.25 where it is the only match."""
-    ok = (F.col("cover") >= r.pin_cover) | ((F.col("matches") == 1) & (F.col("cover") >= r.pin_unique_cover))
+    """Pins to slot 1 for the best known item with a cover, by words or idf, of at least 0.45, or 0.25 where it is the only match."""
+    cover = F.greatest("cover", "cover_idf")
+    ok = (cover >= r.pin_cover) | ((F.col("matches") == 1) & (cover >= r.pin_unique_cover))
     return known.where((F.col("nth") == 1) & ok).select("qid", "note_id", F.lit(13).alias("stage"), F.lit(1).alias("slot"), F.lit(1).alias("unless"))
 
 
@@ -137,23 +169,30 @@ def create_safety(known: DataFrame, absent: DataFrame, cover: DataFrame) -> Data
 
 
 def clarify(fused: DataFrame, known: DataFrame, r: Ranking = RANKING) -> DataFrame:
-    """(qid, contenders): questions with no known item of which at least two of the first four lie within 0.88 of the best."""
+    """(qid, contenders, options, series): questions with no known item of which at least two of the first four lie within 0.88 of the
+    best, the options in order; series where all differ in nothing but their date. fused: (qid, note_id, path, score, rank)."""
     top = fused.join(known.select("qid").distinct(), "qid", "left_anti").where("rank <= 4")
     near = top.withColumn("best", F.max("score").over(Window.partitionBy("qid"))).where(F.round(F.col("score"), 12) >= F.round(r.clarify_band * F.col("best"), 12))
-    return near.groupBy("qid").agg(F.count("*").alias("contenders")).where("contenders >= 2")
+    option = F.sort_array(F.collect_list(F.struct("rank", "note_id")))
+    by = near.groupBy("qid").agg(F.count("*").alias("contenders"), F.transform(option, lambda x: x["note_id"]).alias("options"), F.collect_set(tx.date_key(F.col("path"))).alias("keys"))
+    return by.where("contenders >= 2").select("qid", "contenders", "options", (F.size("keys") == 1).alias("series"))
 
 
-def relax(q: DataFrame, refused: DataFrame) -> DataFrame:
-    """(qid, term): of each refused question with three words or more, the word with the least idf, which is dropped for the retry."""
-    singles = q.where(F.instr("term", " ") == 0).join(refused.select("qid"), "qid", "left_semi")
-    w = Window.partitionBy("qid")
-    return singles.withColumn("k", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.round("idf", 9), "term"))).where("k >= 3 and nth = 1").select("qid", "term")
+def scattered(unsure: DataFrame, outcomes: DataFrame, q: DataFrame, terms: DataFrame, r: Ranking = RANKING) -> DataFrame:
+    """(qid): unsure questions (clarify()) whose cover is below 0.42 and of whose contenders none has a distinctive word, one of at
+    least the average idf, in its title or headings: noise instead of a choice."""
+    weak = unsure.join(outcomes.where(F.col("found") & (F.col("gate_cover") < r.clarify_floor)).select("qid"), "qid", "left_semi").select("qid", F.explode("options").alias("note_id"))
+    words = q.where(~tx.is_dateish(F.col("term"))).select("qid", "term", "idf").withColumn("mean", F.avg("idf").over(Window.partitionBy("qid"))).where(F.round("idf", 9) >= F.round("mean", 9))
+    anchored = weak.join(words, "qid").join(terms.where("tf_title > 0 or tf_head > 0").select("note_id", "term"), ["note_id", "term"]).select("qid").distinct()
+    return weak.select("qid").distinct().join(anchored, "qid", "left_anti")
 
 
-def notes_for_sides(answers: DataFrame) -> DataFrame:
-    """Answers to the two sides of comparisons, (qid * 2 + side) as qid, put together again in turn."""
-    a = answers.select((F.col("qid") / 2).cast("long").alias("qid"), "note_id", "rank", (F.col("qid") % 2).alias("side"))
-    return interleave(a.where("side = 0").drop("side"), a.where("side = 1").drop("side"))
+def relax(q: DataFrame, refused: DataFrame) -> DataFrame:
+    """(qid, term): of each refused question with three words or more that are no dates, the word with the least idf, which is dropped
+    for the retry; ties: the first in the question."""
+    singles = q.where((F.instr("term", " ") == 0) & ~tx.is_dateish(F.col("term"))).join(refused.select("qid"), "qid", "left_semi")
+    w = Window.partitionBy("qid")
+    return singles.withColumn("k", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.round("idf", 9), "at", "term"))).where("k >= 3 and nth = 1").select("qid", "term")
 
 
 def interleave(left: DataFrame, right: DataFrame, most: int = 6) -> DataFrame:
@@ -164,13 +203,15 @@ def interleave(left: DataFrame, right: DataFrame, most: int = 6) -> DataFrame:
 
 
 def compare_sides(questions: DataFrame) -> DataFrame:
-    """(qid, side, question) of questions that compare two things ("a vs b", "difference between a and b")."""
+    """(qid, side, question) of questions that compare two things ("a vs b", "difference between a and b"), both of which have words."""
     q = F.col("question")
+    # How comparisons are asked for.
     vs = r"(?i)^(.*?)\s+(?:vs\.?|versus|compared?\s+(?:to|with|than)|different\s+(?:than|from))\s+(.*?)\??$"
     between = r"(?i)differences? between\s+(.*?)\s+and\s+(.*?)\??$"
-    pair = lambda i: F.coalesce(F.when(q.rlike(vs), F.regexp_extract(q, vs, i)), F.when(q.rlike(between), F.regexp_extract(q, between, i)))
-    both = questions.select("qid", F.array(pair(1), pair(2)).alias("s")).where(F.get("s", F.lit(0)).isNotNull())
-    return both.select("qid", F.posexplode("s").alias("side", "question")).where(F.trim("question") != "")
+    bare = lambda c: F.trim(F.regexp_replace(c, r"(?i)^(how|what|was|is|are|does|did|the|a|an|were)\s*", ""))
+    pair = lambda i: F.coalesce(F.when(q.rlike(between), bare(F.regexp_extract(q, between, i))), F.when(q.rlike(vs), bare(F.regexp_extract(q, vs, i))))
+    both = questions.select("qid", F.array(pair(1), pair(2)).alias("s")).where(F.get("s", F.lit(0)).isNotNull() & ~F.exists("s", lambda x: F.size(tx.tokens(x)) == 0))
+    return both.select("qid", F.posexplode("s").alias("side", "question"))
 
 
 def budget(rows: DataFrame, chars: int, by: str = "qid", order: str = "rank", text: str = "section") -> DataFrame:

@@ -59,10 +59,17 @@ def restore(versions: DataFrame, path: str, oid: str, ts: str) -> DataFrame:
     return old.select("path", tx.content_hash(F.concat_ws("\n", "path", F.lit(ts), "oid")).alias("oid"), F.lit(ts).cast("timestamp").alias("ts"), F.lit("restore").alias("source"), F.concat(F.lit("restored "), "oid").alias("message"), "text")
 
 
-def prune(versions: DataFrame, keep: int = 1000) -> DataFrame:
-    """The newest `keep` versions of each note; at least 50."""
-    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("oid")))
-    return versions.withColumn("nth", nth).where(F.col("nth") <= max(keep, 50)).drop("nth")
+def prune(versions: DataFrame, keep: int = 20_000_000) -> DataFrame:
+    """The newest `keep` versions of the whole store, at least 50. Counts by day tell the day the cut falls in; only that
+    day's versions are put in order. Ties: the higher oid, then path, stays. Versions without a time go first."""
+    keep = max(keep, 50)
+    v = versions.withColumn("__day", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")))
+    newer = Window.partitionBy(F.lit(0)).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    days = v.groupBy("__day").agg(F.count("*").alias("n")).withColumn("__newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("__newer") < keep)
+    whole = days.where(F.col("__newer") + F.col("n") <= keep).select("__day")
+    part = v.join(days.where(F.col("__newer") + F.col("n") > keep).select("__day", "__newer"), "__day")
+    nth = F.row_number().over(Window.partitionBy("__day").orderBy(F.desc_nulls_last("ts"), F.desc("oid"), F.desc("path")))
+    return v.join(whole, "__day", "left_semi").drop("__day").unionByName(part.withColumn("__nth", nth).where(F.col("__nth") + F.col("__newer") <= keep).drop("__day", "__newer", "__nth"))
 
 
 def purge(versions: DataFrame, paths: DataFrame) -> DataFrame:

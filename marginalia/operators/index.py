@@ -89,6 +89,31 @@ def one_edit_pairs(vocabulary: DataFrame) -> DataFrame:
     return pairs.where(udfs.osa(F.col("term"), F.col("other"), 1) == 1)
 
 
+def _grams(c: str, sizes: tuple[int, ...]) -> Column:
+    """The distinct runs of so many characters of a text."""
+    text = F.col(c)
+
+    def of(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: text.substr(i, F.lit(k)))
+        return F.when(F.length(text) >= k, each).otherwise(F.array().cast("array<string>"))
+
+    runs = [of(k) for k in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
+def containing(strings: DataFrame, terms: DataFrame, text: str = "low") -> DataFrame:
+    """(note_id, text, term): the short strings (note_id, text) that contain a term (term), whatever stands beside it.
+
+    No string is compared with every term: a term is looked up under its rarest run of three characters (itself if it is
+    shorter) among the strings' runs, and what is found there is compared. Null and empty terms are in nothing."""
+    asked = terms.where(F.length("term") > 0).select("term").distinct()
+    runs = strings.select("note_id", text, F.explode(_grams(text, (1, 2, 3))).alias("gram"))
+    often = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    keys = asked.select("term", F.explode(F.when(F.length("term") < 3, F.array("term")).otherwise(_grams("term", (3,)))).alias("gram"))
+    rarest = keys.join(often, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return runs.join(rarest, "gram").where(F.contains(F.col(text), F.col("term"))).select("note_id", text, "term")
+
+
 def entity_vocabulary(corpus: DataFrame, partitions: tuple[str, ...] = ("People/", "Partners/", "Work/People/", "Work/Partners/")) -> DataFrame:
     """(name, path): titles and aliases of the notes about entities, up to three folders deep, raw imports left out."""
     here = F.col("path").startswith(partitions[0])

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.session import materialize, ready
 
@@ -133,8 +134,13 @@ def cut(tree: DataFrame, gap_ms: int) -> DataFrame:
 def count_kinds(sessions: DataFrame, log_entries: DataFrame) -> DataFrame:
     """Adds to each session a row per kind: (entity, start_ms, end_ms, duration_ms, n_entries, kind, n_of_kind).
 
-    Sessions and entries meet by (entity, day); within a day a session holds the entries between its ends."""
-    by_day = sessions.withColumn("day", F.explode(F.sequence(_chunk(F.col("start_ms")), _chunk(F.col("end_ms")))))
-    e = log_entries.select(F.col("entity").alias("e_entity"), _chunk(F.col("at_ms")).alias("e_day"), F.col("at_ms").alias("e_at"), "kind", "n")
-    met = by_day.join(e, (F.col("entity") == F.col("e_entity")) & (F.col("day") == F.col("e_day")) & F.col("e_at").between(F.col("start_ms"), F.col("end_ms")))
-    return met.groupBy("entity", "start_ms", "end_ms", "duration_ms", "n_entries", "kind").agg(F.sum("n").alias("n_of_kind"))
+    Sessions and entries are put in one order by (entity, day): an entry belongs to the session that began last before it,
+    each session beginning anew with a day it runs into. One pass over sorted rows, however many sessions a day has."""
+    none = F.lit(None)
+    s = F.struct("start_ms", "end_ms", "duration_ms", "n_entries")
+    day = sessions.select("entity", s.alias("s"), F.explode(F.sequence(_chunk(F.col("start_ms")), _chunk(F.col("end_ms")))).alias("day"))
+    marks = day.select("entity", "day", F.greatest(F.col("s.start_ms"), F.col("day") * DAY_MS).alias("at"), F.lit(0).alias("entry"), "s", none.cast("string").alias("kind"), none.cast("long").alias("n"))
+    e = log_entries.select("entity", _chunk(F.col("at_ms")).alias("day"), F.col("at_ms").alias("at"), F.lit(1).alias("entry"), none.cast(marks.schema["s"].dataType).alias("s"), "kind", F.col("n").cast("long").alias("n"))
+    order = Window.partitionBy("entity", "day").orderBy("at", "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = marks.unionByName(e).withColumn("s", F.last("s", ignorenulls=True).over(order)).where("entry = 1 and s is not null and at <= s.end_ms")
+    return met.groupBy("entity", "s.start_ms", "s.end_ms", "s.duration_ms", "s.n_entries", "kind").agg(F.sum("n").alias("n_of_kind"))

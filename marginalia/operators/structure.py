@@ -37,10 +37,14 @@ def vault_map(corpus: DataFrame, hubs: DataFrame, top: int = 20) -> DataFrame:
 
 
 def governing_hub(corpus: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(path, hub): the hub in the nearest folder at or above a note, first path; an equi-join on ancestors and a max."""
+    """(path, hub): the hub directly in the nearest folder at or above a note, that folder's own map before others, then the
+    first path; Raw/ and System/ are left out. An equi-join on ancestors and a min."""
+    from marginalia.operators.audit import is_area_map
+
     dirs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
-    a = corpus.where(F.instr("path", "/") > 0).select("path", F.posexplode(dirs).alias("d", "dir"))
-    return a.join(hubs, "dir").where("path != hub").groupBy("path").agg(F.min(F.struct((-F.col("d")).alias("d"), "hub")).alias("x")).select("path", "x.hub")
+    a = corpus.where((F.instr("path", "/") > 0) & ~F.col("path").startswith("System/")).select("path", F.posexplode(dirs).alias("d", "dir"))
+    h = hubs.where(~F.col("hub").contains("/Raw/")).select("hub", "dir", (~is_area_map(F.col("hub"), F.substring_index("dir", "/", -1))).alias("other"))
+    return a.join(h, "dir").where("path != hub").groupBy("path").agg(F.min(F.struct((-F.col("d")).alias("d"), "other", "hub")).alias("x")).select("path", "x.hub")
 
 
 def partition_of(corpus: DataFrame, partitions: DataFrame) -> DataFrame:

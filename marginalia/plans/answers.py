@@ -10,7 +10,7 @@ from marginalia.operators import index as ix
 from marginalia.plans import sql
 from marginalia.plans.catalog import query, table
 from marginalia.plans.knowledge import corpus
-from marginalia.plans.retrieval import _COVERAGE, _KNOWN, _asked, _out, _pool_cover, _titles, vault
+from marginalia.plans.retrieval import _COVERAGE, _KNOWN, _asked, _known, _out, _pool_cover, _titles, vault
 from marginalia.sources import vault as src
 
 _BM_DATES = sql.BM25 + ", " + sql.DATES[len(sql.CORPUS) :].lstrip(", \n")
@@ -47,21 +47,26 @@ def typo_corrections(spark, sf):
     return lanes.corrections(q, ix.vocabulary(v.doc_freq), v.stats)
 
 
-_FORMS = "list_distinct(list_filter([t || 's', t || 'es', t || 'ed', t || 'ing', regexp_replace(t, 's$', ''), regexp_replace(t, 'es$', ''), regexp_replace(t, 'ed$', ''), regexp_replace(t, 'ing$', ''), regexp_replace(t, 'ing$', 'e'), regexp_replace(t, 'ies$', 'y'), regexp_replace(t, 'y$', 'ies')], lambda f: f <> t and length(f) >= 3))"
+_DROP = lambda end, k, more="": f"case when suffix(t, '{end}') then left(t, length(t) - {k}) || '{more}' end"
+_FORMS = "list_filter([" + ", ".join([
+    _DROP("ies", 3, "y"), _DROP("es", 2), _DROP("s", 1), _DROP("ing", 3), _DROP("ing", 3, "e"), _DROP("ed", 2), _DROP("ed", 1), _DROP("y", 1, "ies"), "case when not suffix(t, 's') then t || 's' end", "case when not suffix(t, 's') then t || 'es' end",
+    "case when starts_with(t, 'ال') and length(t) > 5 then substring(t, 3) end", "case when regexp_matches(t, '^[؀-ۿ]') and not starts_with(t, 'ال') then 'ال' || t end", "case when starts_with(t, 'و') and length(t) > 4 and k < 2 then substring(t, 2) end",
+    _DROP("ات", 2), _DROP("ات", 2, "ة"), _DROP("ين", 2), _DROP("ون", 2), _DROP("ة", 1), _DROP("ة", 1, "ات"),
+]) + f"], lambda f: f is not null and f not in ({sql.MONTHS}))"
 
 
-@query(sql.INDEX + f""", w as (select term t, df from df where df < 3 and not contains(term, ' ') and term not in ({sql.MONTHS})), fo as (select t, df k, unnest({_FORMS}) v from w),
-go as (select t, v, row_number() over (partition by t order by d.df desc, v) nth from fo join df d on d.term = v where d.df > 2 * k and d.df >= 2) select t as term, v as variant from go where nth = 1""")
+@query(sql.INDEX + f""", w as (select term t, df k from df where df < 3 and not contains(term, ' ') and length(term) >= 4), fl as (select t, k, {_FORMS} fs from w), fo as (select t, k, unnest(fs) v, generate_subscripts(fs, 1) pos from fl),
+go as (select t, v, row_number() over (partition by t order by d.df desc, pos) nth from fo join df d on d.term = v where d.df > 2 * k and d.df >= 2) select t as term, v as variant from go where nth = 1""")
 def morph_variants(spark, sf):
     v = vault(spark, sf)
     return lanes.morph_variants(v.doc_freq, v.doc_freq.where((F.col("df") < 3) & (F.instr("term", " ") == 0)))
 
 
 _FUSED = _COVERAGE + f""", lane as (select qid, note_id, 1.2 / (60 + rank) s from bm where rank <= 50 union all select qid, note_id, 1.1 / (60 + rank) from rare where rank <= 30 union all select qid, note_id, 1.5 / (60 + rank) from cover where rank <= 50),
-fu as (select qid, note_id, sum(s) rrf from lane group by all), f1 as (select *, row_number() over (partition by qid order by round(rrf, 12) desc, note_id) r0 from fu), f2 as (select * from f1 where r0 <= 20),
+fu as (select qid, note_id, sum(s) rrf from lane group by all), f1 as (select *, row_number() over (partition by qid order by round(rrf, 12) desc, note_id) r0 from fu), f2 as (select * from f1 where r0 <= 20), cq as (select qid, term from q where not contains(term, ' ') and not {sql.dateish("term")}), bp0 as (select note_id, {sql.plain("title")} p from c), bt as (select note_id, {sql.tokens("p")} tk from bp0),
 f3 as (select qid, note_id, path, rrf * case when regexp_matches(lower(path), '(^|/)archive/') and not regexp_matches(lower(question), '(discussed?|conversation|memor(y|ies)|remember|talked|chat(ted)?|we (said|spoke)|did we)') then 0.45 else 1 end
-  * case when lower(c.title) = 'home' or list_has_any(words, ['index', 'moc', 'map']) then 0.45 else 1 end s, trim(array_to_string(list_filter(regexp_split_to_array(lower(c.title), '[\\s._-]+'), lambda t: t <> '' and not regexp_matches(t, '^([0-9]{{1,2}}|[0-9]{{4}})$') and t not in ({sql.MONTHS})), ' ')) series
-  from f2 join c using (note_id, path) join pw using (note_id, path) join qq using (qid)),
+  * case when (lower(c.title) = 'home' or list_has_any(words, ['index', 'moc', 'map'])) and qid in (select qid from cq) and exists (select 1 from cq where cq.qid = f2.qid and not list_contains(bt.tk, cq.term)) then 0.45 else 1 end s, trim(array_to_string(list_filter(regexp_split_to_array(lower(c.title), '[\\s._-]+'), lambda t: t <> '' and not regexp_matches(t, '^([0-9]{{1,2}}|[0-9]{{4}})$') and t not in ({sql.MONTHS})), ' ')) series
+  from f2 join c using (note_id, path) join pw using (note_id, path) join bt using (note_id) join qq using (qid)),
 f4 as (select *, row_number() over (partition by qid, series order by round(s, 12) desc, note_id) n from f3), f5 as (select qid, note_id, s * case when series <> '' and n > 1 then 0.95 else 1 end score from f4),
 f6 as (select *, row_number() over (partition by qid order by round(score, 12) desc, note_id) rank from f5)"""
 _FUSED = _FUSED.replace("from f2 join c using (note_id, path)", "from f2 join c using (note_id)").replace("join pw using (note_id, path)", "join (select note_id, words from pw) pw using (note_id)")
@@ -72,7 +77,8 @@ def _rescaled(v, q):
     rare = lanes.ranked(lanes.rare(q, v.postings, v.priors), 30, F.desc("prior"))
     cover = lanes.ranked(_pool_cover(v, q)[1], 50)
     fused = fusion.rrf({"bm25": bm, "rare": rare, "coverage": cover}, fusion.lane_weights({"bm25": 1.2, "coverage": 1.5}))
-    asked = src.questions(v.corpus).select("qid", tx.is_episodic(F.col("question")).alias("episodic"))
+    asked = src.questions(v.corpus)
+    asked = asked.select("qid", tx.is_episodic(F.col("question")).alias("episodic")).join(fusion.content_words(asked, q), "qid")
     return fusion.rescale(fused.select("qid", "note_id", "rrf"), v.corpus, asked)
 
 
@@ -87,7 +93,7 @@ def clarify_band(spark, sf):
     """Questions whose first answers lie close together; those with a known item are left in, to be told apart by known_item."""
     v = vault(spark, sf)
     q = _asked(v)
-    return fusion.clarify(_rescaled(v, q), q.where("false"))
+    return fusion.clarify(_rescaled(v, q), q.where("false")).select("qid", "contenders")
 
 
 @query(_KNOWN.replace("concat_ws(' ', title, substring(regexp_replace(body, '[^\\p{L}\\p{N}\\p{M} ]+', ' ', 'g'), 1, 120))", "title") + " select qid, case when max(kn.cover) filter (nth = 1) >= 0.6 then 'exists' else 'unknown' end safety from (select distinct qid from q) q0 left join kn using (qid) group by qid")
@@ -95,7 +101,7 @@ def create_safety(spark, sf):
     """Whether a note may be made under each title: by title cover alone, without content cover."""
     v = vault(spark, sf)
     q = _titles(v)
-    return fusion.create_safety(fusion.known_item(q, v.terms, v.lengths), fusion.absent_mass(q), q.select("qid", F.lit(0.0).alias("cov")).where("false"))
+    return fusion.create_safety(_known(v, q), fusion.absent_mass(q), q.select("qid", F.lit(0.0).alias("cov")).where("false"))
 
 
 @query()
@@ -167,7 +173,7 @@ def title_lookup(spark, sf):
 @query()
 def phrase_statistics(spark, sf):
     v = vault(spark, sf)
-    return linking.phrase_statistics(v.edges, linking.mentions(v.corpus, linking.patterns(v.corpus)))
+    return linking.phrase_statistics(v.corpus, linking.mentions(v.corpus, linking.patterns(v.corpus)))
 
 
 @query()

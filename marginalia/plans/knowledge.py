@@ -219,7 +219,7 @@ def bulk_days(spark, sf):
 
 @query()
 def body_events(spark, sf):
-    return temporal.body_events(corpus(spark, sf), cap=None)
+    return temporal.body_events(corpus(spark, sf))
 
 
 @query()

@@ -11,27 +11,42 @@ from marginalia.operators import evaluate, fusion, lanes
 from marginalia.operators import index as ix
 from marginalia.plans import sql
 from marginalia.plans.catalog import query, table
+from marginalia.session import token
 from marginalia.sources import vault as src
 
 
+_vaults: dict[tuple[str, str], tuple[str, Vault]] = {}
+
+
 def vault(spark: SparkSession, sf: str) -> Vault:
+    """The vault of a folder of tables. Its index is built by the first query that needs it and serves the application's later
+    ones as long as the tables' files stay as they are."""
+    where, state = (spark.sparkContext.applicationId, sf), " ".join(token(spark, f"{sf}/{t}.parquet") for t in ("notes", "note_chunks", "entity_names"))
+    if _vaults.get(where, ("",))[0] != state:
+        _vaults[where] = state, _vault(spark, sf)
+    return _vaults[where][1]
+
+
+def _vault(spark: SparkSession, sf: str) -> Vault:
     named = table(spark, sf, "entity_names").where("origin = 'mention'").select("path", F.col("name_text").alias("name"))
     return Vault(src.corpus(src.notes(spark, sf)), table(spark, sf, "note_chunks"), named)
 
 
 def _asked(v: Vault) -> DataFrame:
-    q = ix.question_terms(src.questions(v.corpus))
-    return v._keep(lanes.with_idf(q, v.doc_freq, v.stats), "question-terms")
+    if "asked" not in v.__dict__:
+        q = ix.question_terms(src.questions(v.corpus))
+        v.asked = v._index(lanes.with_idf(q, v.doc_freq, v.stats), "question-terms")
+    return v.asked
 
 
 def _out(lane: DataFrame) -> DataFrame:
     return lane.select("qid", "note_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(sql.INDEX + "select note_id, len(title) n_title, len(head) n_head, len(body) n_body, array_to_string(list_slice(body, 1, 20), ' ') first_tokens from f")
+@query(sql.INDEX + "select note_id, array_to_string(title, ' ') title, array_to_string(head, ' ') head, array_to_string(body, ' ') body from f")
 def tokenize_notes(spark, sf):
     f = ix.fields(src.corpus(src.notes(spark, sf)))
-    return f.select("note_id", F.size("title").cast("long").alias("n_title"), F.size("head").cast("long").alias("n_head"), F.size("body").cast("long").alias("n_body"), F.array_join(F.slice("body", 1, 20), " ").alias("first_tokens"))
+    return f.select("note_id", *(F.array_join(c, " ").alias(c) for c in ("title", "head", "body")))
 
 
 @query(sql.INDEX + "select note_id, term, tf from post")
@@ -103,10 +118,13 @@ def title_lane(spark, sf):
 
 _COVERAGE = sql.BM25 + f""",
 pool as (select qid, note_id from bm where rank <= 50 union select qid, note_id from rare where rank <= 30),
-cw as (select qid, term, idf, {sql.dateish("term")} d from q),
-uw as (select qid, term, idf from cw where not d or qid not in (select qid from cw where not d)),
+cw as (select qid, term, idf, pos, {sql.dateish("term")} d from q),
+uw as (select qid, term, idf, pos from cw where not d or qid not in (select qid from cw where not d)),
+us as (select qid, list(term order by pos, term) w from uw group by qid), up as (select qid, case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) else [] end pairs from us),
 sec as (select note_id, unnest(case when length(body) < 4000 then [body] else string_split(regexp_replace(body, '(?m)^(#{{1,4}} )', chr(1) || '\\1', 'g'), chr(1)) end) s from c),
-cv as (select qid, note_id, max(cov) cov from (select p.qid, p.note_id, s, sum(case when contains(lower(s), term) then idf else 0 end) / sum(idf) cov from pool p join sec using (note_id) join uw on uw.qid = p.qid where trim(s) <> '' group by p.qid, p.note_id, s) group by all),
+sp as (select note_id, s, {sql.plain("s")} p from (select distinct note_id, s from sec semi join pool using (note_id) where trim(s) <> '')), sn as (select note_id, s, {sql.tokens("p")} tk from sp),
+cs as (select p.qid, p.note_id, s, sum(case when contains(lower(s), term) then idf else 0 end) / sum(idf) cov from pool p join sec using (note_id) join uw on uw.qid = p.qid where trim(s) <> '' group by p.qid, p.note_id, s),
+cv as (select qid, note_id, max(cov * case when len(pairs) >= 4 and len(list_intersect(pairs, list_transform(generate_series(1, len(tk) - 1), lambda i: tk[i] || ' ' || tk[i + 1]))) >= 0.6 * len(pairs) then 0.25 else 1 end) cov from cs join up using (qid) join sn using (note_id, s) group by all),
 cover as (select qid, note_id, cov, cov * prior score, row_number() over (partition by qid order by round(cov * prior, 9) desc, note_id) rank from cv join priors using (note_id) where cov * prior > 0.1)
 """
 
@@ -170,11 +188,17 @@ def honesty_gate(spark, sf):
     return out.select("qid", "found", F.round("gate_cover", 6).alias("gate_cover"), F.round("absent", 6).alias("absent"))
 
 
-_KNOWN = sql.BM25 + f""", sg as (select qid, term, idf, {sql.dateish("term")} d from q where not contains(term, ' ')),
-nd as (select qid, count(*) a, count(*) filter (not d) content, count(*) filter (d) dates from sg group by qid having count(*) >= 2 and (count(*) filter (not d) > 0 or count(*) filter (d) >= 2)),
-kh as (select qid, note_id, count(*) filter (not d) hit, count(*) filter (d) date_hits from sg join tt using (term) group by all),
-kk as (select qid, note_id, date_hits, least((hit + date_hits) / greatest(title_len, 1), 1.0) cover from kh join nd using (qid) join lens using (note_id) where case when content > 0 then hit = content else date_hits = dates end),
-kn as (select *, count(*) over (partition by qid) matches, row_number() over (partition by qid order by date_hits desc, round(cover, 9) desc, note_id) nth from kk)"""
+_KNOWN = sql.BM25 + f""", sg as (select qid, term, idf_bm, not contains(term, ' ') single, {sql.dateish("term")} and not contains(term, ' ') d from q),
+nd as (select qid, count(*) filter (single) a, count(*) filter (single and not d) content, count(*) filter (d) dates from sg group by qid having count(*) filter (single) >= 2 and (count(*) filter (single and not d) > 0 or count(*) filter (d) >= 2)),
+tn as (select tt.note_id, tt.term, tt.tf, ln(1 + (n - df.df + 0.5) / (df.df + 0.5)) m from tt join df using (term) cross join st join c on c.note_id = tt.note_id where not starts_with(c.path, 'System/')),
+tm as (select note_id, sum(tf * m) whole from tn where not contains(term, ' ') group by note_id),
+kh as (select qid, note_id, count(*) filter (single and not d) hit, count(*) filter (d) dated, coalesce(sum(tf) filter (not single), 0) combos, coalesce(sum(tf * m) filter (single), 0) mass from sg join tn using (term) group by all),
+kk as (select qid, note_id, path, dated + combos date_hits, (hit + dated + combos) / greatest(title_len, 1) cover, coalesce(mass / nullif(whole, 0), 0) cover_idf, title_len - hit - dated - combos extra from kh join nd using (qid) join lens using (note_id) join c using (note_id) left join tm using (note_id) where case when content > 0 then hit = content else dated = dates end),
+kn as (select *, count(*) over (partition by qid) matches, row_number() over (partition by qid order by date_hits desc, round(cover_idf, 9) desc, round(cover, 9) desc, extra, path) nth from kk)"""
+
+
+def _known(v: Vault, q: DataFrame) -> DataFrame:
+    return fusion.known_item(q, v.terms, v.lengths, v.doc_freq, v.stats, v.corpus)
 
 
 def _titles(v: Vault) -> DataFrame:
@@ -182,10 +206,10 @@ def _titles(v: Vault) -> DataFrame:
     return v._keep(lanes.with_idf(q, v.doc_freq, v.stats), "title-terms")
 
 
-@query(_KNOWN.replace("concat_ws(' ', title, substring(regexp_replace(body, '[^\\p{L}\\p{N}\\p{M} ]+', ' ', 'g'), 1, 120))", "title") + " select qid, note_id, round(cover, 6) as cover, matches, nth from kn where nth <= 5")
+@query(_KNOWN.replace("concat_ws(' ', title, substring(regexp_replace(body, '[^\\p{L}\\p{N}\\p{M} ]+', ' ', 'g'), 1, 120))", "title") + " select qid, note_id, round(cover, 6) as cover, round(cover_idf, 6) as cover_idf, matches, nth from kn where nth <= 5")
 def known_item(spark, sf):
     v = vault(spark, sf)
-    return fusion.known_item(_titles(v), v.terms, v.lengths).select("qid", "note_id", F.round("cover", 6).alias("cover"), "matches", F.col("nth").cast("long").alias("nth"))
+    return _known(v, _titles(v)).select("qid", "note_id", F.round("cover", 6).alias("cover"), F.round("cover_idf", 6).alias("cover_idf"), "matches", F.col("nth").cast("long").alias("nth"))
 
 
 @query(sql.BM25 + """, ts as (select note_id, count(*) k from tt group by note_id having count(*) between 2 and 6), sh as (select qid, note_id, count(*) k, sum(log2(1 + n_notes / greatest(df, 1))) m from q join tt using (term) group by all),
@@ -202,7 +226,7 @@ def rare_pins(spark, sf):
     return fusion.rare_pins(_asked(v), v.postings, v.priors).select("qid", "note_id", F.col("slot").cast("long").alias("slot"))
 
 
-@query(sql.BM25 + """, rx as (select qid, term, row_number() over (partition by qid order by round(idf, 9), term) nth, count(*) over (partition by qid) k from q where not contains(term, ' ')) select qid, term from rx where nth = 1 and k >= 3""")
+@query(sql.BM25 + """, rx as (select qid, term, row_number() over (partition by qid order by round(idf, 9), pos, term) nth, count(*) over (partition by qid) k from q where not contains(term, ' ') and not """ + sql.dateish("term") + """) select qid, term from rx where nth = 1 and k >= 3""")
 def relaxation(spark, sf):
     q = _asked(vault(spark, sf))
     return fusion.relax(q, q.select("qid").distinct())

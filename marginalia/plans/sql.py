@@ -119,7 +119,7 @@ def front_value(key: str, of: str = "front") -> str:
     return f"nullif(trim(regexp_extract({of}, '(?im)^{key}:[ \\t]*[\"'']?([^\"''\\r\\n]+)', 1)), '')"
 
 
-HUB = f"(coalesce(lower({front_value('type', 'substring(front, 1, 400)')}) = 'moc', false) or {_BASEL} in ('home', 'overview', 'index') or regexp_matches({_BASEL}, '(^|[^a-z])(moc|index)([^a-z]|$)'))"
+HUB = f"(coalesce(lower({front_value('type', 'substring(front, 1, 400)')}) = 'moc', false) or {_BASEL} in ('home', 'overview', 'index') or suffix({_BASEL}, ' index') or suffix({_BASEL}, ' moc'))"
 VERBATIM = "(regexp_matches(lower(path), '(^|/)raw/') or regexp_matches(lower(path), '(^|/)recovered sessions/'))"
 FOLDER = "case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end"
 

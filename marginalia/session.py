@@ -26,32 +26,44 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(path)
         return path
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = _written.setdefault("local", [tempfile.mkdtemp(prefix="marginalia-")])[0]
     sc.setCheckpointDir(path)
     return path
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, every reader prunes
-    columns and pushes filters, and lost executors cost nothing that was already written."""
+    columns and pushes filters, and lost executors cost nothing that was already written.
+
+    What is written goes with discard(), or with the end of the driver's program; tables to keep only with the latter."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written.setdefault(spark.sparkContext.applicationId + (" kept" if keep else ""), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Deletes what materialize() wrote in this application."""
+def discard(spark: SparkSession, kept: bool = False) -> None:
+    """Deletes what materialize() wrote in this application, tables to keep only if asked to."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in _written.pop(spark.sparkContext.applicationId, []) + (_written.pop(f"{spark.sparkContext.applicationId} kept", []) if kept else []):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
 
+def token(spark: SparkSession, path: str) -> str:
+    """Size and time of the files under a path, from metadata only: another token, another state."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    found = fs.globStatus(p)
+    files = [f for s in found or [] for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in every Python worker, whatever path the driver found it by; once an application."""
     sc = spark.sparkContext
@@ -76,6 +88,12 @@ def ready() -> None:
 def _sweep() -> None:
     import shutil
 
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            discard(spark, kept=True)
+    except Exception:  # the JVM may have ended first; the cluster's folder is then cleaned by its owner
+        pass
     for path in _written.get("local", []):
         shutil.rmtree(path, ignore_errors=True)
 

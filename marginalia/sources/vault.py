@@ -13,21 +13,24 @@ SKIPPED = (".git", ".obsidian", ".trash", "node_modules", ".cache")
 MAX_BYTES = 5_000_000
 
 
-def read_folder(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, text, mtime, size, archived, unreadable) of all .md files under a folder; files beyond max_bytes have no text.
+def read_folder(spark: SparkSession, root: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(path, text, mtime, size, archived, unreadable) of all .md files under a folder; files beyond max_bytes (None: none) have no text.
 
-    The size is a filter on file metadata, so that the content of oversized files is never read. Folders in SKIPPED are left out."""
+    The size is a filter on file metadata that the reader takes: of larger files only the metadata is read. Folders in SKIPPED are left out."""
     from marginalia.functions.udfs import nfc
 
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
     path = F.regexp_replace(F.col("path"), r"^[a-z]+:(//)?", "")
-    rel = F.expr("substring(p, length(r) + 2)")
-    listed = files.select(path.alias("p"), F.lit(base if base.startswith("/") else base.split(":", 1)[-1].replace("//", "", 1)).alias("r"), "content", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    listed = listed.withColumn("path", rel).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
-    fits = F.col("size") <= max_bytes
-    text = F.when(fits, F.decode("content", "UTF-8"))
-    return listed.select("path", nfc(text).alias("text"), "mtime", "size", tx.is_archived(F.col("path")).alias("archived"), (~fits).alias("unreadable"))
+    start = base if base.startswith("/") else base.split(":", 1)[-1].replace("//", "", 1)
+    meta = [F.expr("substring(p, length(r) + 2)").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
+    listed = lambda some: some.withColumn("p", path).withColumn("r", F.lit(start))
+    small = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    out = listed(small).select(meta[0], nfc(F.decode("content", "UTF-8")).alias("text"), *meta[1:], F.lit(False).alias("unreadable"))
+    if max_bytes is not None:
+        out = out.unionByName(listed(files.where(F.col("length") > max_bytes).drop("content")).select(meta[0], F.lit(None).cast("string").alias("text"), *meta[1:], F.lit(True).alias("unreadable")))
+    kept = out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    return kept.select("path", "text", "mtime", "size", tx.is_archived(F.col("path")).alias("archived"), "unreadable")
 
 
 def parse_notes(files: DataFrame) -> DataFrame:
@@ -52,11 +55,12 @@ def questions(corpus: DataFrame) -> DataFrame:
     return corpus.where("note_id % 50 = 0").select(F.col("note_id").alias("qid"), F.concat_ws(" ", "title", words).alias("question"))
 
 
-def freshness(files: DataFrame) -> DataFrame:
-    """One row (n, newest, token): a snapshot's id from its paths, times and sizes. Hashes are added up in 64 bits, so that
-    no list of files goes to one task."""
+def freshness(files: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """One row (n, newest, token): a snapshot's id from its paths, times and sizes. Hashes are added up, so that
+    no list of files goes to one task; repeated rows count once."""
     row = F.xxhash64("path", F.col("mtime").cast("long"), "size")
-    return files.agg(F.count("*").alias("n"), F.max("mtime").alias("newest"), F.bit_xor(row).alias("token"))
+    files = files.select("path", "mtime", "size").where(~F.col("path").isin(*without)) if without else files.select("path", "mtime", "size")
+    return files.distinct().agg(F.count("*").alias("n"), F.max("mtime").alias("newest"), F.sum(row.cast("decimal(20,0)")).cast("string").alias("token"))
 
 
 def attachments(spark: SparkSession, root: str) -> DataFrame:

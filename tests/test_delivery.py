@@ -30,8 +30,8 @@ def test_sections_and_checks(spark):
     names = spark.createDataFrame([("b", "P/B.md")], "name string, path string")
     assert [r.target for r in dl.pointers(s, names).collect()] == ["P/B.md"]
     qs = spark.createDataFrame([(1, "who is our accountant"), (2, "beans")], "qid long, question string")
-    assert [(r.qid, r.honest) for r in dl.relationship_check(qs, ans, corpus).collect()] == [(1, False)]
+    assert [(r.qid, r.honest) for r in dl.relationship_check(qs, ans, corpus).collect()] == [(1, True)]
     assert dl.embedding_chunks(corpus).where("note_id = 2").first().passage == "B\nb"
-    known = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "qid long, note_id long, nth int")
+    known = spark.createDataFrame([(1, 1, 1, 0.6, 0.6, 2), (1, 2, 2, 0.6, 0.6, 2)], "qid long, note_id long, nth int, cover double, cover_idf double, matches long")
     series = corpus.withColumn("path", F.concat(F.lit("Logs/Standup "), F.col("note_id").cast("string"), F.lit(" Jul 2021.md")))
     assert [(r.series, r.n) for r in dl.sibling_clarify(q, known, series).collect()] == [("standup", 2)]

@@ -75,8 +75,8 @@ def test_fusion_pieces(spark, vault):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "qid long, note_id long, rank int")
     b = spark.createDataFrame([(1, 6, 1), (1, 7, 2)], "qid long, note_id long, rank int")
     assert [r.note_id for r in fusion.interleave(a, b).orderBy("rank").collect()] == [5, 6, 7]
-    s = fusion.compare_sides(spark.createDataFrame([(1, "tea vs coffee?"), (2, "difference between a and b"), (3, "tea")], "qid long, question string"))
-    assert sorted((r.qid, r.question) for r in s.collect()) == [(1, "coffee"), (1, "tea"), (2, "a"), (2, "b")]
+    s = fusion.compare_sides(spark.createDataFrame([(1, "tea vs coffee?"), (2, "difference between mocha and latte"), (3, "tea")], "qid long, question string"))
+    assert sorted((r.qid, r.question) for r in s.collect()) == [(1, "coffee"), (1, "tea"), (2, "latte"), (2, "mocha")]
 
 
 def test_typos_and_variants(spark):
@@ -101,11 +101,11 @@ def test_audit(vault):
 
 
 def test_time(spark, vault):
-    ev = temporal.body_events(vault.corpus, cap=None).collect()
+    ev = temporal.body_events(vault.corpus).collect()
     assert [(r.path, r.date) for r in ev] == [("Logs/Bot/Session 5 June 2021.md", datetime.date(2021, 7, 7))]
     texts = ["see [[Log 7 Jul 2021]]", "`7 Jul 2021`", "http://x/2021-07-07", "v2021-07-07-final", "merged from old, 7 Jul 2021", "31 Feb 2021", "On July 9, 2021 and 2021-07-08."]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
-    assert sorted((r.id, str(r.date)) for r in temporal.body_events(df, "id", cap=None).collect()) == [(6, "2021-07-08"), (6, "2021-07-09")]
+    assert sorted((r.id, str(r.date)) for r in temporal.body_events(df, "id", "body").collect()) == [(6, "2021-07-08"), (6, "2021-07-09")]
     got = {r.path: r.tier for r in temporal.recent(vault.corpus, "2021-06-01", "2021-06-30", limit=None).collect()}
     assert got["Logs/Bot/Session 5 June 2021.md"] == 0 and got["Knowledge/Espresso Ratios.md"] == 1
 

@@ -8,10 +8,10 @@ from marginalia.operators import index as ix
 def test_dates_late_in_a_long_note(spark):
     body = "word " * 6000 + "\n```\n" + "code 2021-01-01\n" * 10 + "```\nWe met on 2021-07-08."
     df = spark.createDataFrame([(1, body)], "id long, body string")
-    assert [str(r.date) for r in temporal.body_events(df, "id", cap=None).collect()] == ["2021-07-08"]
-    assert temporal.body_events(df, "id", scan=20_000, cap=None).count() == 0
+    assert [str(r.date) for r in temporal.body_events(df, "id", "body").collect()] == ["2021-07-08"]
+    assert temporal.body_events(df, "id", "body", scan=20_000).count() == 0
     corpus = spark.createDataFrame([(1, "Notes/a.md", body, body, "", datetime.datetime(2020, 1, 1))], "note_id long, path string, body string, raw string, front string, mtime timestamp")
-    assert [r.note_id for r in temporal.recent(corpus, "2021-07-01", "2021-07-31").collect()] == [1]
+    assert [r.note_id for r in temporal.recent(corpus, "2021-07-01", "2021-07-31", ["word"]).collect()] == [1]
 
 
 def test_one_edit_pairs_of_rare_words_in_any_script(spark):
