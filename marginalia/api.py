@@ -51,6 +51,10 @@ class Vault:
     def doc_freq(self) -> DataFrame:
         return self._index(ix.doc_freq(self.terms), "doc-freq")
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return self._index(ix.vocabulary(self.doc_freq), "vocabulary")
+
     @cached_property
     def postings(self) -> DataFrame:
         return self.terms.where("tf_body > 0").select("note_id", "term", F.col("tf_body").alias("tf"))
@@ -71,7 +75,7 @@ class Vault:
         """(qid, term, n, at, df, idf, ...): words of no note are replaced by their correction, or else by an inflection of theirs."""
         q = ix.question_terms(questions.select("qid", tx.strip_frames(F.substring("question", 1, 4000)).alias("question")))
         q = self._keep(lanes.with_idf(q, self.doc_freq, self.stats), "question-terms")
-        fixed = lanes.corrections(q, ix.vocabulary(self.doc_freq), self.stats).select("qid", "term", F.col("correction").alias("new"))
+        fixed = lanes.corrections(q, self.vocabulary, self.stats).select("qid", "term", F.col("correction").alias("new"))
         rare = q.where((F.col("df") < 3) & (F.instr("term", " ") == 0))
         varied = lanes.morph_variants(self.doc_freq, rare)
         x = q.select("qid", "term", "n", "at").join(fixed, ["qid", "term"], "left").join(varied, "term", "left")
@@ -133,7 +137,7 @@ class Vault:
         rare = lanes.ranked(lanes.rare(q, self.postings, self.priors), k.rare_depth, F.desc("prior"))
         pool = keep(lanes.pool((bm.drop("rank"), k.lane_depth), (title.drop("rank"), 30), (rare.select("qid", "note_id", "score"), k.rare_depth)), "pool")
         cov = keep(lanes.coverage(q, pool, self.corpus, self.priors), "coverage")
-        prox = keep(lanes.proximity(q, pool, self.fields), "proximity")
+        prox = keep(lanes.proximity(q, pool, self.terms), "proximity")
         ts = lanes.ts_match(q, pool, self.terms, prox, self.priors)
         adj, back = self.links
         seeds = fusion.rrf({"title": title, "bm25": bm}, fusion.lane_weights(k.topical), 10)

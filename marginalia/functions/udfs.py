@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,26 +103,36 @@ def yaml_json(front: Column) -> Column:
 
 def line_diff(before: str | None, after: str | None, most_cells: int = 4_000_000) -> list[tuple[str, str]]:
     """Lines as (" ", "-", "+") and text by the longest common subsequence, deletions first where either would do; beyond
-    most_cells all lines of the one are deleted and all of the other added."""
+    most_cells all lines of the one are deleted and all of the other added. Equal lines at the head need no table; the
+    table of the rest is filled a row at a time."""
     a, b = (before.split("\n") if before else []), (after.split("\n") if after else [])
     if len(a) * len(b) > most_cells:
         return [("-", x) for x in a] + [("+", x) for x in b]
-    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            rows[i][j] = rows[i + 1][j + 1] + 1 if a[i] == b[j] else max(rows[i + 1][j], rows[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((" ", a[i]))
-            i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
-            out.append(("-", a[i]))
-            i += 1
-        else:
-            out.append(("+", b[j]))
-            j += 1
-    return out + [("-", x) for x in a[i:]] + [("+", x) for x in b[j:]]
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    out = [(" ", x) for x in a[:k]]
+    a, b = a[k:], b[k:]
+    if a and b:
+        number: dict[str, int] = {}
+        left, right = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (a, b))
+        rows = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+        for i in range(len(a) - 1, -1, -1):
+            row = np.maximum(rows[i + 1, :-1], np.where(right == left[i], rows[i + 1, 1:] + 1, 0))
+            rows[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append((" ", a[i]))
+                i, j = i + 1, j + 1
+            elif rows[i + 1, j] >= rows[i, j + 1]:
+                out.append(("-", a[i]))
+                i += 1
+            else:
+                out.append(("+", b[j]))
+                j += 1
+        a, b = a[i:], b[j:]
+    return out + [("-", x) for x in a] + [("+", x) for x in b]
 
 
 def diff(before: Column, after: Column) -> Column:

@@ -190,3 +190,19 @@ def health(findings: DataFrame, notes: DataFrame) -> DataFrame:
     w = findings.agg(F.coalesce(F.sum(F.when(F.col("kind").isin(*INTEGRITY), F.lit(1.0)).otherwise(0.1)), F.lit(0.0)).alias("w"))
     n = notes.agg(F.count("*").alias("n"))
     return w.join(n).select(F.least(F.greatest(F.round(100 - 100 * F.col("w") / F.greatest("n", F.lit(1))), F.lit(40.0)), F.lit(100.0)).cast("int").alias("score"))
+
+
+# Groups of findings as they are shown, with their weight.
+CARDS = (
+    ("links", "warn", ("broken-wikilink",)), ("format", "notice", ("missing-frontmatter", "invalid-frontmatter", "unknown-type", "invalid-status")), ("copies", "warn", ("sync-conflict-copy", "duplicate-alias")),
+    ("wiring", "notice", ("orphan-note", "moc-gap", "hub-gap", "area-moc-gap")), ("dates", "notice", ("dated-note-drift",)),
+)
+
+
+def health_cards(findings: DataFrame) -> DataFrame:
+    """(card, weight, n): findings by group, warnings first, then notices, then groups without any (weight ok)."""
+    cards = findings.sparkSession.createDataFrame([(c, w, k, i) for i, (c, w, kinds) in enumerate(CARDS) for k in kinds], "card string, weight string, kind string, at int")
+    n = findings.groupBy("kind").agg(F.count("*").alias("n"))
+    by = cards.join(n, "kind", "left").na.fill(0, ["n"]).groupBy("card", "weight", "at").agg(F.sum("n").alias("n"))
+    weight = F.when(F.col("n") == 0, "ok").otherwise(F.col("weight"))
+    return by.select("card", weight.alias("weight"), "n", "at").orderBy(F.array_position(F.array(*map(F.lit, ("warn", "notice", "ok"))), F.col("weight")), "at").drop("at")

@@ -78,6 +78,51 @@ def best_sections(q: DataFrame, pool: DataFrame, corpus: DataFrame, k: int = 3)
     return top.select("qid", "note_id", "nth", "score", tx.cap_section(cut).alias("section"))
 
 
+# What a question asks for, and the headings under which it stands.
+INTENTS = (
+    (r"follow|commit|next|pending|todo|action|open item|agreed", r"action|next step|open|follow|todo|commit|agreed"),
+    (r"cost|price|pricing|budget|commercial|monthly|fee", r"commercial|budget|pricing|cost|p&l|deliverable"),
+    (r"decision|decide|verdict|chose|why", r"decision|verdict|diagnosis|why"),
+)
+
+
+def best_section(q: DataFrame, pool: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, note_id, heading, section): of each pooled note the section that answers best: 4 for each unit of idf of the words in it
+    and 1.5 units for each in its heading (below the top level), 4 units where the heading is what the question asks for, and
+    up to 6 for words per kilobyte. The second and third best that reach 0.55 of it follow; over 3,600 characters the densest
+    3,200 stay. A note under 4,000 characters is its own section."""
+    words = q.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("at", "term", "idf"))).alias("w"))
+    met = pool.select("qid", "note_id").join(lanes.sections(corpus, pool), "note_id").join(words, "qid")
+    low, head = F.lower("section"), F.lower(F.regexp_extract("section", "^#{1,4} ([^\\n]+)", 1))
+    met = met.withColumn("low", low).withColumn("head", F.when(F.col("section").startswith("# "), "").otherwise(head)).withColumn("asked", F.array_join(F.transform("w", lambda x: x["term"]), " "))
+    times = lambda x: (F.length("low") - F.length(F.replace(F.col("low"), x["term"], F.lit("")))) / F.length(x["term"])
+    walk = F.aggregate("w", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("o")), lambda s, x: F.struct((s["d"] + F.when(F.contains(F.col("low"), x["term"]), x["idf"]).otherwise(0.0) + F.when(F.contains(F.col("head"), x["term"]), 1.5).otherwise(0.0)).alias("d"), (s["o"] + times(x)).alias("o")))
+    intent = F.lit(0.0)
+    for ask, here in INTENTS:
+        intent = F.when(F.col("asked").rlike(ask) & F.col("head").rlike(here), 4.0).otherwise(intent)
+    score = 4 * (F.col("x.d") + intent) + F.least(F.col("x.o") / F.greatest(F.length("section") / 1024, F.lit(0.3)), F.lit(6.0))
+    rated = met.withColumn("x", walk).withColumn("score", score)
+    w = Window.partitionBy("qid", "note_id")
+    top = rated.withColumn("nth", F.row_number().over(w.orderBy(F.round("score", 9).desc(), "section_no"))).where("nth <= 3").withColumn("best", F.max("score").over(w)).where((F.col("nth") == 1) | (F.col("score") >= 0.55 * F.col("best")))
+    joined = top.groupBy("qid", "note_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "section"))), lambda x: x["section"]), "\n\n").alias("s"), F.first("w").alias("w"))
+    cut = F.when(F.length("s") > 3600, window(F.col("s"), F.transform("w", lambda x: x["term"]), F.transform("w", lambda x: x["idf"]), 3200)).otherwise(F.col("s"))
+    return joined.select("qid", "note_id", F.nullif(F.regexp_extract("s", "^#{1,4} ([^\\n]+)", 1), F.lit("")).alias("heading"), tx.cap_section(F.trim(cut)).alias("section"))
+
+
+def guidance(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(qid, anchor, advice): for questions that ask to build something, the first answer and how to go on from it."""
+    asked = questions.where(F.lower("question").rlike(r"\b(build|create|draft|write|prepare|plan|design|full (brief|context|picture))\b")).select("qid")
+    return asked.join(answers.where("rank = 1").select("qid", F.col("path").alias("anchor")), "qid").withColumn("advice", F.lit("Read the anchor and the notes around it in full before you write; name what they leave open."))
+
+
+def reusable_vectors(passages: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, missing): passages (note_id, nth, passage) with the vector an earlier build has for the same text, and those to be
+    embedded now. old: (hash, vec), the hash being content_hash of the passage; equal texts share a vector."""
+    p = passages.withColumn("hash", tx.content_hash(F.col("passage")))
+    known = old.where("vec is not null").groupBy("hash").agg(F.first("vec").alias("vec"))
+    return p.join(known, "hash"), p.join(known.select("hash"), "hash", "left_anti")
+
+
 def deliver(answers: DataFrame, sections: DataFrame, results: int = 5, chars: int = 14_000) -> DataFrame:
     """(qid, rank, nth, note_id, section): the sections of the first results in order until the characters are spent."""
     x = answers.where(F.col("rank") <= results).select("qid", "note_id", "rank").join(sections, ["qid", "note_id"]).withColumn("order", F.struct("rank", "nth"))
@@ -164,7 +209,7 @@ def entity_pins(entity_lane: DataFrame) -> DataFrame:
     return lanes.ranked(entity_lane, 1).select("qid", "note_id", F.lit(12).alias("stage"), F.lit(5).alias("slot"), F.lit(5).alias("unless"))
 
 
-def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int = 80, cap: int | None = 40) -> list[tuple[str, str]]:
+def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int | None = 80, cap: int | None = 40) -> list[tuple[str, str]]:
     """(heading, text) chunks for embedding: a small body's paragraphs packed up to 1,400 characters; a larger one by its headings,
     parts of at most 80 characters dropped, long parts in windows, at most `cap`."""
 
@@ -185,19 +230,19 @@ def chunks_of(body: str, small: int = 3000, most: int = 1400, least: int = 80, c
         return [("", w) for w in windows(body)]
     out = []
     for part in re.split(r"(?m)^(?=#{1,4} )", body):
-        if len(part.strip()) > least:
+        if len(part.strip()) > (least or 0):
             head = re.match(r"#{1,4} +([^\n]+)", part)
             out += [(head[1].strip() if head else "", w) for w in windows(part)]
     return out[:cap]
 
 
-def embedding_chunks(corpus: DataFrame, cap: int | None = 40) -> DataFrame:
+def embedding_chunks(corpus: DataFrame, cap: int | None = 40, least: int | None = 80) -> DataFrame:
     """(note_id, path, nth, heading, passage): each note's chunks with the line that goes before them for an embedding.
 
-    The definition takes the first 40 chunks of a large note; cap=None takes all."""
+    The definition takes the first 40 chunks of a large note and drops parts of up to 80 characters; None takes all."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: [{"heading": h, "text": t} for h, t in chunks_of(b, cap=cap)])
+        return s.map(lambda b: [{"heading": h, "text": t} for h, t in chunks_of(b, cap=cap, least=least)])
 
     ready()
     c = corpus.select("note_id", "path", "title", F.posexplode(F.pandas_udf(run, "array<struct<heading:string,text:string>>")(F.col("body"))).alias("nth", "x"))

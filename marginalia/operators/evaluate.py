@@ -50,6 +50,56 @@ def contaminated(scenarios: DataFrame, doc_freq: DataFrame) -> DataFrame:
     return t.join(doc_freq.select("term"), "term", "left_semi").select("id").distinct()
 
 
+def more_scenarios(corpus: DataFrame, adjacency: DataFrame, freshest: int = 60) -> DataFrame:
+    """(id, family, question, target, target2, group, accept) of the families that rest on several notes, asked of every eligible
+    note whose id is divisible by 50: temporal (the freshest notes that share three words of its title), compare (with the next
+    such note of its folder), ambiguous (three or more dated siblings), clean (a title no other note shares), richness (a note
+    with three links or more and its neighbours)."""
+    c = eligible(corpus)
+    words = F.filter(tx.tokens(F.col("title")), lambda w: ~F.contains(w, F.lit(" ")) & ~tx.is_dateish(w))
+    c = c.select("note_id", "path", "title", "mtime", words.alias("w"), tx.date_key(F.col("path")).alias("series"), tx.top_folder(F.col("path")).alias("top"))
+    asked = c.where("note_id % 50 = 0")
+    fresh = c.where("mtime is not null").orderBy(F.desc("mtime"), "path").limit(freshest)
+    near = fresh.where(F.size("w") >= 2).select("note_id", F.slice("w", 1, 3).alias("key"))
+    group = near.join(fresh.select(F.col("note_id").alias("other"), F.col("w").alias("ow")), F.size(F.array_except("key", "ow")) == 0).groupBy("note_id", "key").agg(F.sort_array(F.collect_list("other")).alias("group"))
+    none = F.lit(None).cast("bigint")
+    nobody = F.array().cast("array<bigint>")
+    out = lambda d, family, question, accept, target=F.col("note_id"), two=none, g=nobody: d.select("note_id", F.lit(family).alias("family"), question.alias("question"), target.alias("target"), two.alias("target2"), g.alias("group"), F.lit(accept).alias("accept"))
+    temporal = out(group, "temporal", F.concat(F.lit("latest on "), F.array_join("key", " ")), "recent-group", g=F.col("group"))
+    both = asked.where(F.size("w") >= 1).withColumn("two", F.lead(F.struct("note_id", "w")).over(Window.partitionBy("top").orderBy("path"))).where("two is not null and top != ''")
+    first = lambda w: F.array_join(F.slice(w, 1, 2), " ")
+    compare = out(both, "compare", F.concat(F.lit("how does "), first(F.col("w")), F.lit(" compare to "), first(F.col("two.w")), F.lit("?")), "both-top5", two=F.col("two.note_id"))
+    sib = c.where(F.size(F.split("series", " ")) >= 2).groupBy("series").agg(F.count("*").alias("k"), F.slice(F.sort_array(F.collect_list("note_id")), 1, 6).alias("group"), F.min("note_id").alias("note_id"))
+    ambiguous = out(sib.where("k >= 3"), "ambiguous", F.concat(F.lit("what do we know about "), F.col("series")), "clarify-or-multi", g=F.col("group"))
+    clean = out(asked.where(F.size("w") >= 3).join(sib.where("k = 1").select("series"), "series", "left_semi"), "clean", F.array_join("w", " "), "top1-noclarify")
+    ids = c.select("note_id", "path")
+    links = adjacency.join(ids.select(F.col("path").alias("src"), "note_id"), "src").join(ids.select(F.col("path").alias("dst"), F.col("note_id").alias("other")), "dst").groupBy("note_id").agg(F.slice(F.sort_array(F.collect_set("other")), 1, 6).alias("cluster"))
+    rich = out(asked.join(links.where(F.size("cluster") >= 3), "note_id"), "richness", F.concat(F.lit("build a full brief on "), F.array_join("w", " ")), "cluster", g=F.col("cluster"))
+    every = temporal.unionByName(compare).unionByName(ambiguous).unionByName(clean).unionByName(rich)
+    return every.select((-(F.col("note_id") * 8 + F.array_position(F.array(*map(F.lit, ("temporal", "compare", "ambiguous", "clean", "richness"))), F.col("family")))).alias("id"), "family", "question", "target", "target2", "group", "accept")
+
+
+def grade_rules(scenarios: DataFrame, answers: DataFrame, outcomes: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(id, family, pass) by each scenario's accept rule: not-in-brain, top1, top3, top5, top1-noclarify, both-top5, clarify-or-multi,
+    recent-group, cluster (target among three, 60 % of the group among answers and context) and paraphrase (found, among five).
+
+    answers: (id, note_id, rank); outcomes: (id, found, clarify); context: (id, note_id). An unknown rule is null."""
+    top = answers.where("rank <= 8").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "note_id"))), lambda x: x["note_id"]).alias("p"))
+    x = scenarios.join(top, "id", "left").join(outcomes.select("id", "found", (F.size("clarify") > 0).alias("choice")), "id", "left")
+    x = x.join(context.groupBy("id").agg(F.collect_set("note_id").alias("more")), "id", "left") if context is not None else x.withColumn("more", F.array().cast("array<bigint>"))
+    x = x.withColumn("p", F.coalesce("p", F.array().cast("array<bigint>"))).withColumn("more", F.coalesce("more", F.array().cast("array<bigint>"))).na.fill(False, ["found", "choice"])
+    first = lambda k: F.slice("p", 1, k)
+    among = lambda k, c="target": F.coalesce(F.array_contains(first(k), F.col(c)), F.lit(False))
+    shared = lambda a: F.size(F.array_intersect(a, F.col("group")))
+    rule = F.col("accept")
+    ok = F.when(rule == "not-in-brain", ~F.col("found"))
+    for k in (1, 3, 5):
+        ok = ok.when(rule == f"top{k}", among(k))
+    ok = ok.when(rule == "top1-noclarify", among(1) & ~F.col("choice")).when(rule == "both-top5", among(5) & among(5, "target2")).when(rule == "clarify-or-multi", F.col("choice") | (shared(first(5)) >= 2))
+    ok = ok.when(rule == "recent-group", shared(first(5)) >= 1).when(rule == "cluster", among(3) & (shared(F.array_union("p", "more")) >= 0.6 * F.size("group"))).when(rule == "paraphrase", F.col("found") & among(5))
+    return x.select("id", "family", ok.alias("pass"))
+
+
 def grade(scenarios: DataFrame, answers: DataFrame, outcomes: DataFrame, top: int = 3) -> DataFrame:
     """(id, family, pass): a target among the first three; for negatives, a refusal. answers: (id, note_id, rank); outcomes: (id, found)."""
     hit = answers.where(F.col("rank") <= top).join(scenarios.select("id", "target"), "id").where("note_id = target").select("id", F.lit(True).alias("hit")).distinct()
@@ -75,18 +125,63 @@ def rank_histogram(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy(F.when(r == 1, "1").when(r <= 3, "2-3").when(r <= 5, "4-5").when(r <= 20, "6-20").otherwise("20+").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def percentiles(times: DataFrame, value: str, points: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
-    """(point, value): the entry at place floor(n * p / 100) of the sorted values, counted from 0. Values are put together,
-    range-partitioned and numbered within partitions, so that no task sorts them all."""
-    by = times.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
+def places(values: DataFrame, value: str, at: dict[str, Column]) -> DataFrame:
+    """(point, value): the entries at given places of the sorted values, counted from 0; a place is a column of n, how many there
+    are. Values are put together, range-partitioned and numbered within partitions, so that no task sorts them all."""
+    by = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
     by = materialize(by.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "sorted-values")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
     base = by.groupBy("part").agg(F.sum("k").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     run = by.withColumn("upto", F.sum("k").over(within)).join(base, "part").withColumn("upto", F.col("upto") + F.col("base"))
-    n = by.agg(F.sum("k").alias("n"))
-    at = n.select(F.explode(F.array(*map(F.lit, points))).alias("point"), "n").withColumn("place", F.floor(F.col("n") * F.col("point") / 100))
-    return run.join(F.broadcast(at), F.col("upto") > F.col("place")).groupBy("point").agg(F.min("v").alias("value"))
+    n = by.agg(F.sum("k").alias("n")).where("n is not null")
+    wanted = n.select(F.explode(F.array(*[F.struct(F.lit(p).alias("point"), c.cast("long").alias("place")) for p, c in at.items()])).alias("x")).select("x.*")
+    return run.join(F.broadcast(wanted), F.col("upto") > F.col("place")).groupBy("point").agg(F.min("v").alias("value"))
+
+
+def percentiles(times: DataFrame, value: str, points: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """(point, value): the entry at place floor(n * p / 100) of the sorted values, counted from 0."""
+    found = places(times, value, {str(p): F.floor(F.col("n") * p / 100) for p in points})
+    return found.select(F.col("point").cast("int").alias("point"), "value")
+
+
+def token_costs(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """One row a group (by, n, median, mean, p90): the entry at floor(n / 2) of the sorted values, the rounded mean, the entry at
+    floor(0.9 n). Groups hold one row a question; their values are put in order by a window, not gathered."""
+    w = Window.partitionBy(by)
+    x = rows.where(F.col(value).isNotNull()).withColumn("at", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
+    pick = lambda place: F.max(F.when(F.col("at") == place, F.col(value)))
+    return x.groupBy(by).agg(F.count("*").alias("n"), pick(F.floor(F.col("n") / 2)).alias("median"), F.floor(F.avg(value) + 0.5).cast("long").alias("mean"), pick(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9))).alias("p90"))
+
+
+def cost_arms(ranked: DataFrame, gold: DataFrame, corpus: DataFrame, snippet: int = 4000, reads: int = 5) -> DataFrame:
+    """(qid, arm, tokens): what three ways of reading cost in tokens of four characters: `snippets` of the ranked notes until a right
+    one is met, at most five; the first five notes `whole`; the right notes alone (`oracle`). ranked: (qid, note_id, rank); gold: (qid, note_id)."""
+    tok = lambda n: F.ceil(n / 4).cast("long")
+    size = corpus.select("note_id", F.length("raw").alias("n"))
+    r = ranked.where(F.col("rank") <= reads).select("qid", "note_id", "rank").join(size, "note_id")
+    hit = r.join(gold.select("qid", "note_id").distinct(), ["qid", "note_id"]).groupBy("qid").agg(F.min("rank").alias("first"))
+    cut = r.join(hit, "qid", "left").where(F.col("rank") <= F.coalesce("first", F.lit(reads))).groupBy("qid").agg(F.sum(tok(F.least(F.col("n"), F.lit(snippet)))).alias("tokens"))
+    whole = r.groupBy("qid").agg(F.sum(tok(F.col("n"))).alias("tokens"))
+    oracle = gold.select("qid", "note_id").distinct().join(size, "note_id").groupBy("qid").agg(F.sum(tok(F.col("n"))).alias("tokens"))
+    arm = lambda d, name: d.select("qid", F.lit(name).alias("arm"), "tokens")
+    return arm(cut, "snippets").unionByName(arm(whole, "whole")).unionByName(arm(oracle, "oracle"))
+
+
+def context_useful(answers: DataFrame, context: DataFrame, truth: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """One row (probes, useful): of the questions whose target comes first and that have a context, how many contexts hold a true
+    neighbour of the target. answers: (qid, path, rank); context: (qid, path); truth: (qid, path); adjacency: (src, dst) of paths."""
+    first = answers.where("rank = 1").select("qid", "path").join(truth.select("qid", "path"), ["qid", "path"]).join(context.select("qid").distinct(), "qid", "left_semi")
+    good = first.join(adjacency, F.col("path") == F.col("src")).select("qid", F.col("dst").alias("path")).join(context.select("qid", "path"), ["qid", "path"], "left_semi").select("qid").distinct().withColumn("ok", F.lit(1))
+    return first.join(good, "qid", "left").agg(F.count("*").alias("probes"), F.count("ok").alias("useful"))
+
+
+def filing_score(decisions: DataFrame, cases: DataFrame) -> DataFrame:
+    """(mode, n, passed): labelled filing cases (id, mode, expected) by where they went (id, path): typed notes to the expected
+    partition, explicit ones to the Inbox, sensitive ones to theirs. A case without a decision is not passed."""
+    top = tx.top_folder(F.col("path"))
+    ok = F.coalesce(top == F.when(F.col("mode") == "explicit", "Inbox").otherwise(F.col("expected")), F.lit(False))
+    return cases.join(decisions.select("id", "path"), "id", "left").groupBy("mode").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("passed"))
 
 
 def keyword_baseline(queries: DataFrame, postings: DataFrame, top: int = 5) -> DataFrame:
@@ -97,8 +192,10 @@ def keyword_baseline(queries: DataFrame, postings: DataFrame, top: int = 5) -> D
 
 
 def taxonomy(ranks: DataFrame) -> DataFrame:
-    """(id, class) of failed questions by the rank their target has, null if none: near-rank up to 10, deep, miss."""
-    return ranks.select("id", F.when(F.col("rank").isNull(), "miss").when(F.col("rank") <= 10, "near-rank").otherwise("deep").alias("class"))
+    """(id, class) of failed questions: doubled-key where another right one has the same question, equivalent where the first answer
+    has the target's text, near-rank up to 10, else miss. ranks: (id, rank, same_question, same_text), rank null if not found."""
+    c = F.when(F.coalesce("same_question", F.lit(False)), "doubled-key").when(F.coalesce("same_text", F.lit(False)), "equivalent").when(F.col("rank") <= 10, "near-rank").otherwise("miss")
+    return ranks.select("id", c.alias("class"))
 
 
 def threshold_sweep(scores: DataFrame, steps: int = 20) -> DataFrame:

@@ -208,7 +208,7 @@ def compare_sides(questions: DataFrame) -> DataFrame:
     # How comparisons are asked for.
     vs = r"(?i)^(.*?)\s+(?:vs\.?|versus|compared?\s+(?:to|with|than)|different\s+(?:than|from))\s+(.*?)\??$"
     between = r"(?i)differences? between\s+(.*?)\s+and\s+(.*?)\??$"
-    bare = lambda c: F.trim(F.regexp_replace(c, r"(?i)^(how|what|was|is|are|does|did|the|a|an|were)\s*", ""))
+    bare = lambda c: F.trim(F.regexp_replace(c, r"(?i)^(how|what|was|is|are|does|did|the|a|an|were)\b\s*", ""))
     pair = lambda i: F.coalesce(F.when(q.rlike(between), bare(F.regexp_extract(q, between, i))), F.when(q.rlike(vs), bare(F.regexp_extract(q, vs, i))))
     both = questions.select("qid", F.array(pair(1), pair(2)).alias("s")).where(F.get("s", F.lit(0)).isNotNull() & ~F.exists("s", lambda x: F.size(tx.tokens(x)) == 0))
     return both.select("qid", F.posexplode("s").alias("side", "question"))

@@ -79,14 +79,19 @@ def build(corpus: DataFrame, named: DataFrame | None = None) -> DataFrame:
     return resolve(candidates(corpus, named), corpus)
 
 
-def rebuild(old_edges: DataFrame, old_notes: DataFrame, corpus: DataFrame, named: DataFrame | None = None) -> DataFrame:
+def rebuild(old_edges: DataFrame, old_notes: DataFrame, corpus: DataFrame, named: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
     """Edges after a change: links are extracted again only from notes whose hash is new or changed; the links of the others
-    are taken from old_edges and resolved again, so that a target that came or went shows. old_notes: (path, hash)."""
+    are taken from old_edges and resolved again, so that a target that came or went shows. old_notes: (path, hash).
+    Notes that could not be read this time (unreadable: path) keep the edges they had."""
     now = corpus.withColumn("hash", tx.content_hash(F.col("raw")))
     same = now.join(old_notes, ["path", "hash"], "left_semi").select("path")
     fresh = candidates(now.join(same, "path", "left_anti"), None if named is None else named.join(same, "path", "left_anti"))
     kept = old_edges.join(same.withColumnRenamed("path", "src"), "src", "left_semi").select("src", F.col("dst").alias("to_text"), "rel", "source", (~F.col("unresolved") & (F.col("source") != "wikilink")).alias("soft"))
-    return resolve(fresh.unionByName(kept), corpus)
+    out = resolve(fresh.unionByName(kept), corpus)
+    if unreadable is None:
+        return out
+    lost = unreadable.select(F.col("path").alias("src")).distinct()
+    return out.join(lost, "src", "left_anti").unionByName(old_edges.select(out.columns).join(lost, "src", "left_semi"))
 
 
 def backlinks(edges: DataFrame) -> DataFrame:

@@ -87,3 +87,34 @@ def upsert(notes: DataFrame, writes: DataFrame, today: str) -> DataFrame:
     ok = F.col("new").isNotNull() & (F.col("text").isNull() | (F.col("base_hash") == tx.content_hash(F.col("text"))))
     pick = lambda a, b: F.when(ok, a).otherwise(b)
     return x.select("path", pick(F.col("new"), F.col("text")).alias("text"), F.when(F.col("text").isNull(), F.col("by")).otherwise(F.col("created_by")).alias("created_by"), pick(F.col("by"), F.col("updated_by")).alias("updated_by"), pick(F.lit(today).cast("date"), F.col("updated")).alias("updated"))
+
+
+def refused(notes: DataFrame, writes: DataFrame) -> DataFrame:
+    """(path, agent, reason): the writes that upsert() does not take: those whose base_hash is not the note's as it is, and of several
+    to one path all but the one that stands."""
+    first = writes.groupBy("path").agg(F.min(F.struct("text", "base_hash", "agent")).alias("w"))
+    x = writes.join(first, "path").join(notes.select("path", tx.content_hash(F.col("text")).alias("now")), "path", "left")
+    stale = F.col("now").isNotNull() & ~F.col("base_hash").eqNullSafe(F.col("now"))
+    later = ~F.struct("text", "base_hash", "agent").eqNullSafe(F.col("w"))
+    return x.where(stale | later).select("path", "agent", F.when(stale, "the note has changed since it was read").otherwise("another write to the note came first").alias("reason"))
+
+
+def append_notes(notes: DataFrame, additions: DataFrame, today: str) -> DataFrame:
+    """Notes after texts (path, text, agent) were put at their ends, in order of agent and text; notes that don't exist are left out."""
+    more = additions.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("agent", "text"))).alias("a"))
+    x = notes.join(more, "path", "left")
+    put = F.concat(F.regexp_replace("text", r"\s+$", ""), F.array_join(F.transform("a", lambda y: F.concat(F.lit("\n\n"), y["text"])), ""), F.lit("\n"))
+    had = F.col("a").isNotNull()
+    return x.select("path", F.when(had, put).otherwise(F.col("text")).alias("text"), "created_by", F.when(had, F.element_at("a", -1)["agent"]).otherwise(F.col("updated_by")).alias("updated_by"), F.when(had, F.lit(today).cast("date")).otherwise(F.col("updated")).alias("updated"))
+
+
+def move_notes(notes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Notes after moves (old, new): a path that is taken refuses the move, as do two moves to one path. graph.repoint() rewrites links."""
+    sole = moves.groupBy("new").agg(F.count("*").alias("k"), F.min("old").alias("old")).where("k = 1").join(notes.select(F.col("path").alias("new")), "new", "left_anti").select("old", "new")
+    return notes.join(sole.withColumnRenamed("old", "path"), "path", "left").withColumn("path", F.coalesce("new", "path")).drop("new")
+
+
+def archive_notes(notes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Notes after some were moved under Archive/, where they are not there already."""
+    gone = paths.select(F.col("path").alias("old")).distinct().where(~tx.is_archived(F.col("old")))
+    return move_notes(notes, gone.select("old", F.concat(F.lit("Archive/"), "old").alias("new")))

@@ -24,11 +24,14 @@ def _marked(c: str) -> Column:
     return F.transform(c, lambda t, i: F.struct(F.lit(c).alias("field"), t.alias("term"), i.alias("pos")))
 
 
-def terms(fields: DataFrame) -> DataFrame:
-    """(note_id, term, tf_title, tf_head, tf_body, first_pos): a row per note and term over all fields."""
+def terms(fields: DataFrame, cap: int = RANKING.position_cap) -> DataFrame:
+    """(note_id, term, tf_title, tf_head, tf_body, first_pos, positions): a row per note and term over all fields, with the sorted
+    places in the body, at most `cap` of them; tf_body above cap tells that there are more."""
     each = fields.select("note_id", F.explode(F.concat(_marked("title"), _marked("head"), _marked("body"))).alias("x")).select("note_id", "x.*")
     n = lambda f: F.sum((F.col("field") == f).cast("long"))
-    return each.groupBy("note_id", "term").agg(n("title").alias("tf_title"), n("head").alias("tf_head"), n("body").alias("tf_body"), F.min(F.when(F.col("field") == "body", F.col("pos"))).alias("first_pos"))
+    at = F.sort_array(F.collect_list(F.when(F.col("field") == "body", F.col("pos"))))
+    by = each.groupBy("note_id", "term").agg(n("title").alias("tf_title"), n("head").alias("tf_head"), n("body").alias("tf_body"), at.alias("at"))
+    return by.select("note_id", "term", "tf_title", "tf_head", "tf_body", F.get("at", F.lit(0)).alias("first_pos"), F.slice("at", 1, cap).alias("positions"))
 
 
 def postings(fields: DataFrame) -> DataFrame:
@@ -36,13 +39,6 @@ def postings(fields: DataFrame) -> DataFrame:
     return fields.select("note_id", F.explode("body").alias("term")).groupBy("note_id", "term").agg(F.count("*").alias("tf"))
 
 
-def positions(fields: DataFrame, wanted: DataFrame, cap: int = RANKING.position_cap) -> DataFrame:
-    """(note_id, term, positions, saturated) of the terms in `wanted` (term): sorted body positions, at most cap of each."""
-    each = fields.select("note_id", F.posexplode("body").alias("pos", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    got = each.groupBy("note_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    return got.select("note_id", "term", F.slice("p", 1, cap).alias("positions"), (F.size("p") > cap).alias("saturated"))
-
-
 def doc_freq(terms: DataFrame) -> DataFrame:
     """(term, df): in how many notes a term stands, in any field."""
     return terms.groupBy("term").agg(F.count("*").alias("df"))

@@ -44,7 +44,7 @@ def typo_corrections(spark, sf):
     v = vault(spark, sf)
     s = evaluate.scenarios(v.corpus).where("family = 'typo'").select(F.col("id").alias("qid"), "question")
     q = v._keep(lanes.with_idf(ix.question_terms(s), v.doc_freq, v.stats), "typo-terms")
-    return lanes.corrections(q, ix.vocabulary(v.doc_freq), v.stats)
+    return lanes.corrections(q, v.vocabulary, v.stats)
 
 
 _DROP = lambda end, k, more="": f"case when suffix(t, '{end}') then left(t, length(t) - {k}) || '{more}' end"
@@ -88,20 +88,23 @@ def rescaled_fusion(spark, sf):
     return _rescaled(v, _asked(v)).select("qid", "note_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
-@query(_FUSED + ", cl as (select qid, score, max(score) over (partition by qid) best from f6 where rank <= 4) select qid, count(*) contenders from cl where round(score, 12) >= round(0.88 * best, 12) group by qid having count(*) >= 2")
+@query(_FUSED + _KNOWN[len(sql.BM25) :] + ", cl as (select qid, score, max(score) over (partition by qid) best from f6 where rank <= 4 and qid not in (select qid from kn)) select qid, count(*) contenders from cl where round(score, 12) >= round(0.88 * best, 12) group by qid having count(*) >= 2")
 def clarify_band(spark, sf):
-    """Questions whose first answers lie close together; those with a known item are left in, to be told apart by known_item."""
+    """Questions with no known item whose first answers lie close together."""
     v = vault(spark, sf)
     q = _asked(v)
-    return fusion.clarify(_rescaled(v, q), q.where("false")).select("qid", "contenders")
+    return fusion.clarify(_rescaled(v, q), _known(v, q)).select("qid", "contenders")
 
 
-@query(_KNOWN.replace("concat_ws(' ', title, substring(regexp_replace(body, '[^\\p{L}\\p{N}\\p{M} ]+', ' ', 'g'), 1, 120))", "title") + " select qid, case when max(kn.cover) filter (nth = 1) >= 0.6 then 'exists' else 'unknown' end safety from (select distinct qid from q) q0 left join kn using (qid) group by qid")
+_TITLED = "concat_ws(' ', title, substring(regexp_replace(body, '[^\\p{L}\\p{N}\\p{M} ]+', ' ', 'g'), 1, 120))"
+
+
+@query((_COVERAGE + _KNOWN[len(sql.BM25) :]).replace(_TITLED, "title") + ", cc as (select qid, max(cov) c from cover group by qid) select qid, case when max(kn.cover) filter (nth = 1) >= 0.6 then 'exists' when max(c) >= 0.4 then 'probable' else 'unknown' end safety from (select distinct qid from q) q0 left join kn using (qid) left join cc using (qid) group by qid")
 def create_safety(spark, sf):
-    """Whether a note may be made under each title: by title cover alone, without content cover."""
+    """Whether a note may be made under each title: by title cover, else by what the notes' sections cover of it."""
     v = vault(spark, sf)
     q = _titles(v)
-    return fusion.create_safety(_known(v, q), fusion.absent_mass(q), q.select("qid", F.lit(0.0).alias("cov")).where("false"))
+    return fusion.create_safety(_known(v, q), fusion.absent_mass(q), _pool_cover(v, q)[1])
 
 
 @query()
@@ -122,7 +125,7 @@ def answer_evidence(spark, sf):
 
 @query()
 def embedding_chunks(spark, sf):
-    return delivery.embedding_chunks(corpus(spark, sf), cap=None)
+    return delivery.embedding_chunks(corpus(spark, sf), cap=None, least=None)
 
 
 _MOVED = f"(regexp_matches(path, '(^|/)Quarantine\\b') or regexp_matches(lower(split_part(path, '/', -1)), '-[^/]*(macbook|imac|desktop|laptop|[''’]s )'))"
@@ -200,9 +203,16 @@ def edge_summary(spark, sf):
     return vault(spark, sf).edges.groupBy("rel", "source", "unresolved").agg(F.count("*").alias("n"))
 
 
-@query(sql.GRAPH + "select src, dst, rel, source, unresolved from edges")
+_CHANGED = "b as (select * replace (case when note_id % 10 = 4 then body || chr(10) || 'See [[Home]] and [[No such note]].' else body end as body) from b0 where note_id % 10 <> 9),\n"
+
+
+@query(sql.GRAPH.replace("with b as (", "with b0 as (", 1).replace("c as (select *,", _CHANGED + "c as (select *,", 1).replace("and path is not null and trim(name_text)", "and path is not null and path not in (select path from b0 where note_id % 10 = 9) and trim(name_text)") + "select src, dst, rel, source, unresolved from edges")
 def rebuilt_edges(spark, sf):
-    """The graph after every tenth note changed, its links extracted again only from those."""
+    """The graph after a tenth of the notes got new links and another tenth went: links are taken again from changed notes only,
+    and all are resolved against what is left. The SQL builds it anew."""
     v = vault(spark, sf)
-    old = v.corpus.select("path", F.when(F.expr("note_id % 10 = 4"), F.lit("old")).otherwise(tx.content_hash(F.col("raw"))).alias("hash"))
-    return graph.rebuild(v.edges, old, v.corpus, v.named)
+    old = v.corpus.select("path", tx.content_hash(F.col("raw")).alias("hash"))
+    more = F.when(F.expr("note_id % 10 = 4"), F.lit("\nSee [[Home]] and [[No such note]].")).otherwise("")
+    now = v.corpus.where("note_id % 10 != 9").withColumn("body", F.concat("body", more)).withColumn("raw", F.concat("raw", more))
+    gone = v.corpus.where("note_id % 10 = 9").select("path")
+    return graph.rebuild(v.edges.join(gone.withColumnRenamed("path", "src"), "src", "left_anti"), old, now, v.named.join(gone, "path", "left_anti"))

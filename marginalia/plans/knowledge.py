@@ -224,7 +224,7 @@ def body_events(spark, sf):
 
 @query()
 def recent_notes(spark, sf):
-    return temporal.recent(corpus(spark, sf), "2021-06-01", "2021-06-30", limit=None)
+    return temporal.recent(corpus(spark, sf), "2021-06-01", "2021-06-30", None, None, now="2021-06-30")
 
 
 @query("""with w as (select path, max(at_ms) as last from action_log where lower(trim(action_kind)) in ('write', 'append', 'move', 'archive', 'remember') and path is not null group by path),
@@ -259,11 +259,17 @@ def change_capture(spark, sf):
     return history.changes(head, disk).select("path", "change")
 
 
-@query(_CDC + " select path, 1::bigint as added, 0::bigint as deleted from hd join dk using (path) where before <> after")
+@query(sql.CORPUS + """, l as (select path, note_id % 3 k, note_id % 5 a, case when raw = '' then [] else string_split(raw, chr(10)) end l from c),
+r as (select path, a, len(l) n, list_concat(list_slice(l, k + 1, len(l)), list_transform(generate_series(1, a), lambda i: 'added line ' || i::varchar)) r from l)
+select path, a added, (n - case when array_to_string(r, chr(10)) = '' then 0 else len(r) - a end)::bigint as deleted from r where n > 0 or a > 0""")
 def diff_statistics(spark, sf):
+    """Every note against a version of it that lacks up to two lines at its head and has up to four new ones at its end."""
     c = corpus(spark, sf)
-    edited = c.where("note_id % 10 = 7").select("path", F.col("raw").alias("before"), F.concat("raw", F.lit("\nadded")).alias("after"))
-    return history.diff_stat(history.diff_lines(edited))
+    lines = F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(F.split("raw", "\n"))
+    more = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.col("a")), lambda i: F.concat(F.lit("added line "), i.cast("string")))
+    x = c.select("path", "raw", F.expr("int(note_id % 3)").alias("k"), F.expr("int(note_id % 5)").alias("a"), lines.alias("l"))
+    after = F.array_join(F.concat(F.slice("l", F.col("k") + 1, F.greatest(F.size("l"), F.lit(1))), more), "\n")
+    return history.diff_stat(history.diff_lines(x.select("path", F.col("raw").alias("before"), after.alias("after"))))
 
 
 @query(sql.CORPUS + f"""select note_id, {sql.front_value('type')} as type, {sql.front_value('status')} status, {sql.front_value('updated')} updated, regexp_matches(raw, '(?s)^---\\r?\\n.*?\\r?\\n---') as has_front from c""")
@@ -304,21 +310,11 @@ def entity_vocabulary(spark, sf):
     return ix.entity_vocabulary(corpus(spark, sf))
 
 
-_WORDS = [("kitten", "sitting"), ("ca", "abc"), ("abcd", "acbd"), ("flaw", "lawn"), ("", "abc"), ("same", "same"), ("recieve", "receive"), ("teh", "the")]
-
-
-@query("select * from (values " + ", ".join(f"('{a}', '{b}', {d})" for (a, b), d in zip(_WORDS, (3, 3, 1, 2, 3, 0, 1, 1), strict=True)) + ") t(a, b, d)")
+@query("select given_name, nickname, least(damerau_levenshtein(lower(given_name), lower(nickname)), 4) d from nicknames")
 def edit_distances(spark, sf):
-    return spark.createDataFrame(_WORDS, "a string, b string").select("a", "b", udfs.osa(F.col("a"), F.col("b"), 3).alias("d"))
-
-
-_PERIODS = [("what did I do last 3 days", "2026-07-12", "2026-07-16"), ("last 2 months", "2026-05-16", "2026-07-16"), ("notes of last month", "2026-06-14", "2026-07-16"), ("yesterday", "2026-07-14", "2026-07-15"), ("today please", "2026-07-15", "2026-07-16"), ("the past week", "2026-07-08", "2026-07-16"), ("lately", "2026-07-01", "2026-07-16"), ("the budget", None, None)]
-
-
-@query("select * from (values " + ", ".join(f"('{q}', {f'date {a!r}' if a else 'null::date'}, {f'date {b!r}' if b else 'null::date'})" for q, a, b in _PERIODS) + ") t(q, d_from, d_to)")
-def period_parsing(spark, sf):
-    df = spark.createDataFrame([(q,) for q, _, _ in _PERIODS], "q string").withColumn("p", temporal.period(F.col("q"), F.lit("2026-07-15").cast("date")))
-    return df.select("q", F.col("p.from").alias("d_from"), F.col("p.to").alias("d_to"))
+    """Edits between names and their short forms, 4 for more than three."""
+    n = table(spark, sf, "nicknames")
+    return n.select("given_name", "nickname", udfs.osa(F.lower("given_name"), F.lower("nickname"), 3).alias("d"))
 
 
 @query("with s as (select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double)) v from embeddings where label is not null) select least(greatest(floor(v / 8 * 20), 0), 20)::int as bucket, count(*) n from s group by 1")

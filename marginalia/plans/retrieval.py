@@ -56,7 +56,7 @@ def postings_tf(spark, sf):
 
 @query(sql.INDEX + "select note_id, term, coalesce(tt.tf, 0) tf_title, coalesce(ht.tf, 0) tf_head, coalesce(post.tf, 0) tf_body from keys left join tt using (note_id, term) left join ht using (note_id, term) left join post using (note_id, term)")
 def field_terms(spark, sf):
-    return ix.terms(ix.fields(src.corpus(src.notes(spark, sf)))).drop("first_pos")
+    return ix.terms(ix.fields(src.corpus(src.notes(spark, sf)))).drop("first_pos", "positions")
 
 
 @query(sql.INDEX + "select term, df, round(greatest(least(log2(n / df) / 3, 3.0), 0.5), 6) idf_clamped, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) idf_bm25 from df cross join st")
@@ -146,7 +146,7 @@ def coverage_lane(spark, sf):
 def proximity_lane(spark, sf):
     v = vault(spark, sf)
     q = _asked(v)
-    return _out(lanes.ranked(lanes.proximity(q, _pool_cover(v, q)[0], v.fields), 50))
+    return _out(lanes.ranked(lanes.proximity(q, _pool_cover(v, q)[0], v.terms), 50))
 
 
 @query()
@@ -154,7 +154,7 @@ def tsmatch_lane(spark, sf):
     v = vault(spark, sf)
     q = _asked(v)
     pool = _pool_cover(v, q)[0]
-    return _out(lanes.ranked(lanes.ts_match(q, pool, v.terms, lanes.proximity(q, pool, v.fields), v.priors), 50))
+    return _out(lanes.ranked(lanes.ts_match(q, pool, v.terms, lanes.proximity(q, pool, v.terms), v.priors), 50))
 
 
 @query(sql.BM25 + """, sp as (select qid, note_id, case when contains(lower(title), term) then 4 * idf else 1.5 * idf end s from q join c on contains(lower(path), term) union all select qid, note_id, idf from q join post using (term)),
@@ -287,18 +287,13 @@ def trigram_index(spark, sf):
     return v.select("df", F.explode("trigrams").alias("gram")).groupBy("gram").agg(F.count("*").alias("terms"), F.sum("df").alias("notes"))
 
 
-@query(sql.INDEX + """, w as (select term, df from df where length(term) between 6 and 24 and regexp_matches(term, '^[a-z]+$') and df >= 5), d as (select term, unnest(list_distinct(list_concat([term], list_transform(generate_series(1, length(term)), lambda i: substring(term, 1, i - 1) || substring(term, i + 1))))) k from w)
-select distinct a.term, b.term as other from d a join d b using (k) where a.term < b.term and damerau_levenshtein(a.term, b.term) = 1""")
-def typo_neighbours(spark, sf):
-    from marginalia.functions import udfs
-
-    w = vault(spark, sf).doc_freq.where((F.length("term").between(6, 24)) & F.col("term").rlike("^[a-z]+$") & (F.col("df") >= 5))
-    d = w.select("term", F.explode(F.array_distinct(tx.deletes1(F.col("term")))).alias("k"))
-    pairs = d.join(d.select(F.col("term").alias("other"), "k"), "k").where("term < other").select("term", "other").distinct()
-    return pairs.where(udfs.osa(F.col("term"), F.col("other"), 1) == 1)
-
-
-@query()
+@query(sql.INDEX + """, w as (select term from df where length(term) >= 4 and not contains(term, ' ')),
+d as (select term, unnest(list_distinct(list_concat([term], list_transform(generate_series(1, length(term)), lambda i: substring(term, 1, i - 1) || substring(term, i + 1))))) k from w),
+p as (select distinct a.term, b.term as other from d a join d b using (k) where a.term < b.term),
+x as (select *, list_filter(generate_series(1, length(term)), lambda i: substring(term, i, 1) <> substring(other, i, 1)) u from p)
+select term, other from x where case when length(term) = length(other) then len(u) = 1 or (len(u) = 2 and u[2] = u[1] + 1 and substring(term, u[1], 1) = substring(other, u[2], 1) and substring(term, u[2], 1) = substring(other, u[1], 1))
+ when length(term) = length(other) + 1 then list_contains(list_transform(generate_series(1, length(term)), lambda i: substring(term, 1, i - 1) || substring(term, i + 1)), other)
+ when length(other) = length(term) + 1 then list_contains(list_transform(generate_series(1, length(other)), lambda i: substring(other, 1, i - 1) || substring(other, i + 1)), term) else false end""")
 def typo_pairs(spark, sf):
-    """typo_neighbours over the whole vocabulary: rare words, which typos are, words of four letters and more and of any script."""
-    return ix.one_edit_pairs(ix.vocabulary(vault(spark, sf).doc_freq))
+    """The words one edit apart, over the whole vocabulary: rare words, which typos are, words of any script."""
+    return ix.one_edit_pairs(vault(spark, sf).vocabulary)

@@ -29,7 +29,7 @@ def rotate_actions(actions: DataFrame, keep: int = 5000) -> tuple[DataFrame, Dat
 def write_changed(df: DataFrame, path: str, key: str, old: DataFrame | None) -> bool:
     """Writes a derived table only if a row differs from the old one by content; tells whether it wrote."""
     if old is not None:
-        h = lambda d: d.select(F.xxhash64(*sorted(d.columns)).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
+        h = lambda d: d.select(F.xxhash64(*sorted(d.columns)).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("x")).first()
         if h(df) == h(old.select(df.columns)):
             return False
     write_table(df, path)
@@ -55,3 +55,37 @@ def front_yaml(fields: list[tuple[str, str]]) -> Column:
 def export(notes: DataFrame, path: str, without: str = "System/") -> None:
     """Every note but the server's own as JSON lines."""
     notes.where(~F.col("path").startswith(without)).write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def delete_notes(table: DataFrame, path: str, gone: DataFrame, key: str = "path") -> int:
+    """Rewrites a table without the rows of given keys, into a new folder beside it that then takes its place; tells how many went.
+    A key that is not there changes nothing."""
+    spark = table.sparkSession
+    found = table.join(gone.select(key).distinct(), key, "left_semi").count()
+    if found:
+        write_table(table.join(gone.select(key).distinct(), key, "left_anti"), f"{path}.next")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        p, q = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
+        fs = p.getFileSystem(conf)
+        fs.delete(p, True)
+        fs.rename(q, p)
+    return found
+
+
+def write_vectors(chunks: DataFrame, path: str, build: str) -> None:
+    """Writes chunk vectors under their build first and then the record that names the build; a reader that goes by the record never
+    sees half a build."""
+    write_table(chunks, f"{path}/build={build}")
+    width = chunks.where("vec is not null").agg(F.max(F.size("vec")).alias("width"), F.count("*").alias("n"))
+    write_table(width.withColumn("build", F.lit(build)), f"{path}/current")
+
+
+def read_built_vectors(spark, path: str) -> DataFrame:
+    """The vectors of the build that the record names."""
+    return spark.read.parquet(f"{path}/build={spark.read.parquet(f'{path}/current').first().build}")
+
+
+def write_map(map_rows: DataFrame, path: str) -> None:
+    """Writes a vault's map (folder, depth, n, hubs) as one Markdown file; it has as many lines as the map has folders, some dozens."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.element_at(F.split("folder", "/"), -1), F.lit("/ ("), F.col("n").cast("string"), F.lit(")"), F.when(F.col("hubs") > 0, F.concat(F.lit(" · hubs: "), F.col("hubs").cast("string"))).otherwise(""))
+    map_rows.coalesce(1).sortWithinPartitions("folder").select(line.alias("value")).write.mode("overwrite").text(path)

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from marginalia.plans import cases, catalog
+from marginalia.plans import cases, catalog, work
 
-NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ == cases.__name__)
+NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ == cases.__name__ or (f.__module__ == work.__name__ and "(values" in catalog.SQL.get(n, "")))
 
 
 @pytest.mark.parametrize("name", NAMES)

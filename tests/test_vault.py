@@ -60,7 +60,7 @@ def test_proximity_against_brute_force(spark, vault):
 
     q = lanes.with_idf(ix.question_terms(spark.createDataFrame([(1, "arabica beans extraction milk")], "qid long, question string")), vault.doc_freq, vault.stats)
     pool = vault.corpus.select(F.lit(1).cast("long").alias("qid"), "note_id")
-    got = {r.note_id: r.score for r in lanes.proximity(q, pool, vault.fields).collect()}
+    got = {r.note_id: r.score for r in lanes.proximity(q, pool, vault.terms).collect()}
     for r in vault.fields.collect():
         at = [[i for i, t in enumerate(r.body) if t == w] for w in ("arabica", "beans", "extraction", "milk")]
         at = [a for a in at if a]
@@ -171,14 +171,55 @@ def test_folder_source_and_sinks(spark, tmp_path):
 
 def test_streaming(spark, tmp_path, notes):
     n = notes.select("note_id", "path", "frontmatter", "body", "mtime", "synced_at")
-    n.where("note_id <= 100").write.parquet(str(tmp_path / "in"))
-    go = lambda: upkeep.keep_notes(upkeep.note_stream(spark, str(tmp_path / "in"), 100), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    n.where("note_id <= 100").write.parquet(source)
+    go = lambda: upkeep.keep_notes(upkeep.note_stream(spark, source, 100), target, str(tmp_path / "cp"), 4).awaitTermination()
+    at = lambda days, body: n.where("note_id = 100").dropDuplicates().withColumn("body", F.lit(body)).withColumn("synced_at", F.lit(T + datetime.timedelta(days)))
+    state = lambda: {r.note_id: r.body for r in upkeep.latest(spark, target).collect()}
     go()
-    assert upkeep.latest(spark, str(tmp_path / "out")).count() == 2
-    n.where("note_id = 100").withColumn("body", F.lit("edited")).withColumn("synced_at", F.lit(T + datetime.timedelta(1))).unionByName(n.where("note_id = 150")).write.mode("append").parquet(str(tmp_path / "in"))
+    assert len(state()) == 2
+    at(2, "edited").unionByName(n.where("note_id = 150")).write.mode("append").parquet(source)
     go()
-    got = {r.note_id: r.body for r in upkeep.latest(spark, str(tmp_path / "out")).collect()}
-    assert set(got) == {50, 100, 150} and got[100] == "edited"
+    assert set(state()) == {50, 100, 150} and state()[100] == "edited"
+    at(1, "late and older").write.mode("append").parquet(source)
+    go()
+    assert state()[100] == "edited"
+    upkeep.compact(spark, target)
+    before = state()
+    assert before[100] == "edited" and upkeep._numbers(spark, f"{target}/changes") == []
+    at(3, "newest").write.mode("append").parquet(source)
+    go()
+    assert state() == {**before, 100: "newest"}
+
+
+def test_streamed_graph(spark, tmp_path, notes):
+    n = notes.select("note_id", "path", "frontmatter", "body", "mtime", "synced_at").dropDuplicates(["note_id"])
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    go = lambda: upkeep.keep_edges(upkeep.note_stream(spark, source, 100), target, str(tmp_path / "cp")).awaitTermination()
+    n.where("note_id != 100").write.parquet(source)
+    go()
+    edges = lambda v: {(r.src, r.dst, r.unresolved) for r in spark.read.parquet(f"{target}/edges/v={v}").collect()}
+    assert ("Knowledge/Espresso Ratios.md", "Ana Diaz", True) in edges(0)
+    n.where("note_id = 100").write.mode("append").parquet(source)
+    go()
+    every = src.corpus(n.withColumn("aliases", F.when(F.col("note_id") == 50, F.array().cast("array<string>"))))
+    assert edges(1) == {(r.src, r.dst, r.unresolved) for r in graph.build(every).collect()}
+
+
+def test_windows_and_sessions_of_a_stream(spark, tmp_path):
+    rows = [(i, 10**12 + at, "a", k) for i, at, k in ((1, 0, "Write "), (1, 0, "write"), (2, 60_000, "read"), (3, 4_000_000, "read"))]
+    spark.createDataFrame(rows, "entry_id long, at_ms long, agent_id string, action_kind string").write.parquet(str(tmp_path / "in"))
+    stream = lambda: upkeep.action_stream(spark, str(tmp_path / "in"), "entry_id long, at_ms long, agent_id string, action_kind string")
+
+    def run(df, name):
+        df.writeStream.format("memory").queryName(name).outputMode("complete" if name != "once" else "append").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    assert len(run(upkeep.once(stream()), "once")) == 3
+    for name, df in (("windows", upkeep.activity_windows(stream())), ("sessions", upkeep.live_sessions(stream()))):
+        query = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.exception() is None
 
 
 def test_evaluation(spark, vault):
@@ -197,3 +238,89 @@ def test_empty_vault(spark):
     q = spark.createDataFrame([(1, "anything here")], "qid long, question string")
     answers, outcomes = v.recall(q)
     assert answers.count() == 0 and not any(r.found for r in outcomes.collect())
+
+
+def test_tables_kept_and_deleted(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a.md", "x"), (2, "b.md", "y")], "note_id long, path string, text string")
+    sinks.write_table(df, str(tmp_path / "t"))
+    gone = spark.createDataFrame([("a.md",), ("z.md",)], "path string")
+    assert sinks.delete_notes(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"), gone) == 1
+    assert [r.path for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["b.md"]
+    assert sinks.delete_notes(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"), gone) == 0
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "note_id long, vec array<float>")
+    for build in ("b1", "b2"):
+        sinks.write_vectors(v.where(f"'{build}' = 'b1' or note_id = 1"), str(tmp_path / "v"), build)
+    assert sinks.read_built_vectors(spark, str(tmp_path / "v")).count() == 1
+    sinks.write_map(spark.createDataFrame([("Work", 1, 3, 0), ("Work/A", 2, 2, 1)], "folder string, depth int, n long, hubs long"), str(tmp_path / "map"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "map")).collect()] == ["- Work/ (3)", "  - A/ (2) · hubs: 1"]
+    live, old = sinks.rotate_actions(spark.createDataFrame([(i, "a") for i in range(5)] + [(None, "a")], "at_ms long, agent_id string"), 2)
+    assert sorted(r.at_ms for r in live.collect()) == [3, 4] and old.count() == 4
+
+
+def test_configuration():
+    good = {"schemaVersion": 1, "partitions": {"core": [{"path": "Work//Clients/", "job": "work"}, {"path": "Private", "job": "own", "gated": True, "gateTopics": ["health"]}]}, "noteTypes": ["log"], "frontmatter": {"required": ["type"]}}
+    s = structure.validate_schema(good)
+    assert structure.partition_paths(s) == ["Work/Clients", "Private"]
+    assert "Private/" in structure.filing_rules(s) and "Private" not in structure.filing_rules(s, ["Work"])
+    for bad in ({}, {**good, "noteTypes": []}, {**good, "partitions": {"core": [{"path": "../x", "job": "j"}]}}, {**good, "partitions": {"core": [{"path": "/x", "job": "j"}]}}, {**good, "frontmatter": {}}, {**good, "partitions": {"core": [{"path": "x"}]}}):
+        with pytest.raises(ValueError):
+            structure.validate_schema(bad)
+
+
+def test_pruning_keeps_the_newest_of_the_store(spark):
+    rows = [("p", str(i), T + datetime.timedelta(hours=i)) for i in range(120)] + [("q", "x", None)]
+    v = spark.createDataFrame(rows, "path string, oid string, ts timestamp")
+    got = {r.oid for r in history.prune(v, 60).collect()}
+    assert got == {str(i) for i in range(60, 120)}
+    assert history.prune(v, 3).count() == 50 and history.prune(v).count() == 121
+
+
+def test_relaxed_and_semantic_recall(spark, vault):
+    q = spark.createDataFrame([(1, "zzqxw espresso ratios knowledge"), (2, "how does espresso ratios compare to Ana Diaz?")], "qid long, question string")
+    answers, outcomes = vault.recall(q, as_of="2021-07-01")
+    found = {r.qid: r for r in outcomes.collect()}
+    assert found[2].found and {r.path for r in answers.where("qid = 2 and rank <= 2").collect()} >= {"People/Ana Diaz.md"}
+    chunks = spark.createDataFrame([(50, [1.0, 0.0], None), (301, [0.0, 1.0], "stale")], "note_id long, vec array<float>, note_hash string")
+    v = Vault(vault.corpus, chunks)
+    ask = spark.createDataFrame([(7, "zzqxw espresso ratios knowledge")], "qid long, question string")
+    near = spark.createDataFrame([(7, [1.0, 0.1])], "qid long, vec array<float>")
+    assert v.recall(ask, near)[0].where("rank = 1").first().path.startswith("Knowledge/Espresso")
+    assert lanes.semantic(near, chunks).count() == 2 and lanes.semantic(near.where("false"), chunks).count() == 0
+
+
+def test_unreadable_notes_keep_their_edges(spark, vault):
+    lost = spark.createDataFrame([("Knowledge/Espresso Ratios.md",)], "path string")
+    left = vault.corpus.where("path != 'Knowledge/Espresso Ratios.md'")
+    old = vault.corpus.select("path", F.substring(F.sha1("raw"), 1, 16).alias("hash"))
+    kept = graph.rebuild(vault.edges, old, left, unreadable=lost)
+    assert {r.dst for r in kept.where("src = 'Knowledge/Espresso Ratios.md'").collect()} == {"People/Ana Diaz.md", "Missing Note"}
+
+
+def test_unused_words_of_the_functions(spark, vault):
+    from marginalia.functions import text as tx
+    from marginalia.functions import udfs
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(tx.money(F.lit("$ 1,200 and $5 and $300"))) == 2 and one(tx.is_status(F.lit("where did we stop"))) and not one(tx.is_status(F.lit("tea")))
+    assert one(tx.relative_time(F.lit(0), F.lit(3_600_000))) == "60 min ago" and one(tx.defang(F.lit("<!-- written by x"))).startswith("<!- ")
+    assert one(tx.boundary_hits(F.lit("Acme, acme-x acme"), F.lit("acme"))) == 2 and one(tx.rewrite_token(F.lit("a tea b"), F.lit("tea"), F.lit("milk"))) == "a milk b"
+    assert access.live(spark.createDataFrame([(T,), (None,)], "expires_at timestamp"), F.lit(T + datetime.timedelta(1)).cast("timestamp")).count() == 1
+    agents = spark.range(1).select(access.can_write(F.lit("Work/a.md"), F.array().cast("array<string>"), None_(), F.array(F.lit("Work"))).alias("x"))
+    assert agents.first().x
+    assert not one(access.can_read(F.lit("./System/x.md"), F.array().cast("array<string>"), F.array().cast("array<string>"))) and not one(access.can_read(F.lit("a/../../x"), F.array().cast("array<string>"), F.array().cast("array<string>")))
+    assert evaluate.rank_histogram(spark.createDataFrame([(1,), (4,), (9,)], "rank int")).count() == 3
+    assert {r["class"] for r in evaluate.taxonomy(spark.createDataFrame([(1, None, None, None), (2, 4, False, None), (3, 1, True, None), (4, None, False, True)], "id long, rank int, same_question boolean, same_text boolean")).collect()} == {"miss", "near-rank", "doubled-key", "equivalent"}
+    assert evaluate.threshold_sweep(spark.createDataFrame([(0.2, False), (0.9, True)], "score double, positive boolean"), 10).count() == 10
+    assert evaluate.contaminated(spark.createDataFrame([(1, "negative", "arabica zzz")], "id long, family string, question string"), vault.doc_freq).count() == 1
+    assert audit.skipped_checks(False, False) and not audit.skipped_checks(True, True)
+    assert one(udfs.yaml_json(F.lit("a: ["))) is None
+    r = linking.related_sections(spark.createDataFrame([("a", "b", 0.1, "both", 1), ("a", "c", 0.1, "text", 2), ("d", "e", 0.1, "both", 1)], "a string, b string, score double, via string, nth int"))
+    assert sorted(x.b for x in r.collect()) == ["b", "c"]
+    v = spark.createDataFrame([("a", "1", T, "x", "m", "one")], "path string, oid string, ts timestamp, source string, message string, text string")
+    assert history.restore(v, "a", "1", "2021-07-01").first().text == "one" and history.list_versions(v, "a").count() == 1 and history.purge(v, spark.createDataFrame([("a",)], "path string")).count() == 0
+    found = spark.createDataFrame([("k", "a.md", "b/c.md"), ("k", "z.md", "x")], "kind string, path string, detail string")
+    assert [r.detail for r in access.redact(found, spark.createDataFrame([("a.md",)], "path string")).collect()] == ["(outside your scope)"]
+
+
+def None_():
+    return F.lit(None).cast("array<string>")
