@@ -26,14 +26,20 @@ def perturb(word: Column, seed: Column) -> Column:
     return F.when(n < 4, word).when(kind == 0, F.concat(head, rest)).when(kind == 1, F.concat(head, one, one, rest)).when(kind == 2, F.concat(head, two, one, word.substr(at + 2, n))).otherwise(word.substr(F.lit(1), n - 1))
 
 
-def scenarios(corpus: DataFrame, seed: int = 7) -> DataFrame:
+def scenarios(corpus: DataFrame, terms: DataFrame, doc_freq: DataFrame, seed: int = 7, rare: int = 8) -> DataFrame:
     """(id, family, question, target): from every eligible note whose id is divisible by 50, a question by its title (known), one
-    with a perturbed word (typo), one from the words of its body (content), and one on invented words (negative)."""
+    with its rarest word perturbed (typo), one from three rare words of its body, in at most eight notes (content), and one on
+    invented words (negative)."""
     c = eligible(corpus).where("note_id % 50 = 0")
+    few = terms.where("tf_body > 0").select("note_id", "term", "first_pos").join(doc_freq.where(F.col("df") <= rare).select("term"), "term").where((F.instr("term", " ") == 0) & ~F.col("term").rlike("^[0-9]+$"))
+    few = few.join(c.select("note_id"), "note_id", "left_semi").groupBy("note_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "term"))), lambda x: x["term"]).alias("few"))
+    named = c.select("note_id", F.explode(F.array_distinct(F.filter(tx.tokens(F.col("title")), lambda w: F.length(w) >= 4))).alias("term")).join(doc_freq, "term", "left").groupBy("note_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rarest"))
+    c = c.join(few, "note_id", "left").join(named, "note_id", "left")
     h = F.xxhash64("note_id", F.lit(seed))
     words = F.filter(tx.tokens(F.col("title")), lambda w: F.length(w) >= 4)
-    body = F.slice(F.array_distinct(F.filter(tx.tokens(F.col("body")), lambda w: F.length(w) >= 6)), 3, 5)
-    typo = F.array_join(F.transform(words, lambda w, i: F.when(i == F.pmod(h, F.greatest(F.size(words), F.lit(1))), perturb(w, F.abs(h))).otherwise(w)), " ")
+    start = F.pmod(h, F.greatest(F.size("few") - 2, F.lit(1))).cast("int") + 1
+    body = F.when(F.size("few") >= 3, F.slice("few", start, F.lit(3))).otherwise(F.array().cast("array<string>"))
+    typo = F.array_join(F.transform(words, lambda w: F.when(w == F.col("rarest"), perturb(w, F.pmod(h, F.lit(1 << 40)))).otherwise(w)), " ")
     each = F.array(
         F.struct(F.lit("known").alias("family"), F.col("title").alias("question"), F.col("note_id").alias("target")),
         F.struct(F.lit("typo").alias("family"), typo.alias("question"), F.col("note_id").alias("target")),

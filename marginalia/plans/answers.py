@@ -42,7 +42,7 @@ def entity_lane(spark, sf):
 def typo_corrections(spark, sf):
     """Corrections of the perturbed words in the typo family's questions."""
     v = vault(spark, sf)
-    s = evaluate.scenarios(v.corpus).where("family = 'typo'").select(F.col("id").alias("qid"), "question")
+    s = evaluate.scenarios(v.corpus, v.terms, v.doc_freq).where("family = 'typo'").select(F.col("id").alias("qid"), "question")
     q = v._keep(lanes.with_idf(ix.question_terms(s), v.doc_freq, v.stats), "typo-terms")
     return lanes.corrections(q, v.vocabulary, v.stats)
 

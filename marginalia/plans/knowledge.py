@@ -325,4 +325,5 @@ def score_histogram(spark, sf):
 
 @query()
 def scenario_families(spark, sf):
-    return evaluate.scenarios(corpus(spark, sf))
+    v = vault(spark, sf)
+    return evaluate.scenarios(v.corpus, v.terms, v.doc_freq)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.api import Vault
 from marginalia.functions import text as tx
-from marginalia.operators import evaluate, fusion, lanes
+from marginalia.operators import evaluate, fusion, graph, lanes
 from marginalia.operators import index as ix
 from marginalia.plans import sql
 from marginalia.plans.catalog import query, table
@@ -121,7 +121,7 @@ pool as (select qid, note_id from bm where rank <= 50 union select qid, note_id
 cw as (select qid, term, idf, pos, {sql.dateish("term")} d from q),
 uw as (select qid, term, idf, pos from cw where not d or qid not in (select qid from cw where not d)),
 us as (select qid, list(term order by pos, term) w from uw group by qid), up as (select qid, case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) else [] end pairs from us),
-sec as (select note_id, unnest(case when length(body) < 4000 then [body] else string_split(regexp_replace(body, '(?m)^(#{{1,4}} )', chr(1) || '\\1', 'g'), chr(1)) end) s from c),
+sec as (select note_id, unnest(case when length(raw) < 4000 then [raw] else string_split(regexp_replace(raw, '(?m)^(#{{1,4}} )', chr(1) || '\\1', 'g'), chr(1)) end) s from c),
 sp as (select note_id, s, {sql.plain("s")} p from (select distinct note_id, s from sec semi join pool using (note_id) where trim(s) <> '')), sn as (select note_id, s, {sql.tokens("p")} tk from sp),
 cs as (select p.qid, p.note_id, s, sum(case when contains(lower(s), term) then idf else 0 end) / sum(idf) cov from pool p join sec using (note_id) join uw on uw.qid = p.qid where trim(s) <> '' group by p.qid, p.note_id, s),
 cv as (select qid, note_id, max(cov * case when len(pairs) >= 4 and len(list_intersect(pairs, list_transform(generate_series(1, len(tk) - 1), lambda i: tk[i] || ' ' || tk[i + 1]))) >= 0.6 * len(pairs) then 0.25 else 1 end) cov from cs join up using (qid) join sn using (note_id, s) group by all),
@@ -263,9 +263,15 @@ def keyword_baseline(spark, sf):
 def eval_families(spark, sf):
     """Pass rates of the whole engine by family of questions."""
     v = vault(spark, sf)
-    s = v._keep(evaluate.scenarios(v.corpus), "scenarios")
+    one = evaluate.scenarios(v.corpus, v.terms, v.doc_freq)
+    rule = F.when(F.col("family") == "negative", "not-in-brain").otherwise("top3")
+    one = one.withColumn("target2", F.lit(None).cast("long")).withColumn("group", F.array().cast("array<long>")).withColumn("accept", rule)
+    s = v._keep(one.unionByName(evaluate.more_scenarios(v.corpus, graph.adjacency(v.edges))), "scenarios")
     answers, outcomes = v.recall(s.select(F.col("id").alias("qid"), "question"))
-    return evaluate.report(evaluate.grade(s, answers.withColumnRenamed("qid", "id"), outcomes.withColumnRenamed("qid", "id")))
+    answers = v._keep(answers, "graded-answers")
+    rich = answers.join(s.where("family = 'richness'").select(F.col("id").alias("qid")), "qid", "left_semi")
+    near = v.context(rich, cap=30).join(v.corpus.select("path", "note_id"), "path").select(F.col("qid").alias("id"), "note_id")
+    return evaluate.report(evaluate.grade_rules(s, answers.withColumnRenamed("qid", "id"), outcomes.withColumnRenamed("qid", "id"), near))
 
 
 @query("with s as (select value v, row_number() over (order by value) - 1 i, count(*) over () n from events where value is not null) select p.point, min(v) as value from s join (select unnest([50, 90, 99]) point) p on i = floor(n * point / 100) group by p.point")

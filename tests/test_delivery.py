@@ -18,8 +18,11 @@ def test_chunks():
     assert {h for h, _ in got} == {"A", "B"} and all(len(t) <= 1400 for _, t in got)
 
 
+BODY = "# One\nbeans beans beans beans\n" + "x " * 2500 + "\n## Two\nbeans and [[B]]"
+
+
 def test_sections_and_checks(spark):
-    corpus = spark.createDataFrame([(1, "K/A.md", "A", "type: note", [], "# One\nbeans beans beans beans\n" + "x " * 2500 + "\n## Two\nbeans and [[B]]", "", None), (2, "P/B.md", "B", "type: person", [], "b", "", datetime.datetime(2021, 1, 1))], "note_id long, path string, title string, front string, aliases array<string>, body string, raw string, mtime timestamp")
+    corpus = spark.createDataFrame([(1, "K/A.md", "A", "type: note", [], BODY, BODY, None), (2, "P/B.md", "B", "type: person", [], "b", "b", datetime.datetime(2021, 1, 1))], "note_id long, path string, title string, front string, aliases array<string>, body string, raw string, mtime timestamp")
     q = spark.createDataFrame([(1, "beans", 1.0)], "qid long, term string, idf double")
     pool = spark.createDataFrame([(1, 1)], "qid long, note_id long")
     s = dl.best_sections(q, pool, corpus)
