@@ -315,21 +315,54 @@ def is_status(q: Column) -> Column:
     return F.array_join(tokens(q), " ").rlike(r"\b(status|stopp?e?d?|left|resume|continue|latest|last|standing|progress|update)\b")
 
 
+# Fixed value: phrases that ask for what is recent.
+TEMPORAL = (
+    r"(?i)(yesterday|today|tonight|this (week|month|morning)|last (week|month|night|meeting|session|time)|recently|latest|newest|most recent|(?:what'?s|anything|something|whats) new"
+    r"|just (?:built|shipped|committed|made|added|finished|did|created|wrote|pushed)|not long ago|a while (?:back|ago)|lately|of late|these days|(?:in )?recent days"
+    r"|where (?:did |do )?(?:i|we) (?:leave off|left off|stop|stopped)|where (?:do|does)(?: things| it| we)? stand|stands? (?:now|today|currently|right now)|where are we (?:on|with|at)"
+    r"|what happened lately|what'?s fresh|anything fresh|catch me up|bring me up to speed|till now|so far|right now|at the moment|last (?:\d+|two|three|four|few|couple(?: of)?) (?:days?|weeks?|months?)"
+    "|امس|أمس|اليوم|البارح|هالاسبوع|هالشهر|هالايام|هاليومين|من فترة|من مدة|اخر|آخر|مؤخرا|مؤخراً|وين وقفنا|وين وصلنا|لحد الان|لحد الآن)"
+)
+# Phrases of asking, which say nothing of what is asked for.
+FRAMES = (
+    r"\bi (?:need|want|would like|'?d like) to (?:review|see|check|read|look at|revisit|go over)\b", r"\bwhat(?:'?s| was| is)? (?:the )?deal with\b", r"\bcan you (?:pull up|bring up|show me|get me|find me|grab|open)\b",
+    r"\b(?:pull|bring) up\b", r"\bshow me\b", r"\bfor me\b", r"\bwhere did we (?:leave|stop with|leave off (?:on|with)?)\b", r"\bwhat did we do (?:recently|yesterday|today|last (?:week|month|time)) (?:with|on|in|about)\b",
+    r"\b(?:what'?s\s+)?(?:the\s+)?latest (?:on|about|with)\b", r"\bwhat(?:'?s| is) (?:the )?(?:status|update) (?:on|of|with)\b", r"\bwhat(?:'?s| is) going on with\b", r"\bwhat happened(?: (?:with|to|in|on|at|around))?\b",
+    r"\bwhat'?s the story (?:with|on|behind)\b", r"\bdid we (?:ever )?(?:discuss|talk about|cover|go over)\b", r"\bcatch me up (?:on|with)\b", r"\bwhat(?:'?s| is| are)?\s+new\s+(?:with|on|for|about|in|regarding)\b", r"\bmost recent\b",
+    r"\bwhere (?:do|does)\s+(?:things|it|stuff|matters?|we)\s+stand\b", r"\bwhere (?:are|were)\s+we\s+(?:on|with|at|regarding|in)\b", r"\bwhat happened\s+lately\s+(?:with|to|on|in|about)\b", r"\bstands?\s+(?:now|today|currently|right now|at the moment)\b",
+    r"\bwhere (?:do|does|is|are)\b(?=.{0,60}\bstands?\b)", r"\bhow(?:'?s| is| are)?\s+(?:it|things)\s+going\s+(?:with|on|for)\b", r"\bremind me (?:about|of)\b", r"\bany notes? (?:on|about|for|regarding)\b",
+    r"\bnotes? (?:mentioning|that mention|discussing|containing|about)\b", r"\banything (?:on|about|regarding|for|mentioning)\b", r"\bwhere do (?:we|i) talk about\b", r"\bdo (?:we|i) have anything (?:on|about)\b",
+    r"\b(?:in|into|to|from|inside) (?:the |my )?(?:second )?brain\b(?=\s*(?:[?.!,;]|$))", r"\bwhat (?:was|is|were) included in\b", r"\b(?:the )?latest updates? (?:on|to|of|for|about)\b", r"\b(?:pull up |bring up )?my notes? (?:on|about|for|regarding)\b",
+    r"\bfind me (?:the )?\b", r"\bwhere(?:'?s| is| are)? (?:the |my )\b", r"\b(?:do you |can you )?remember (?:the |that |our )?\b", r"\bwhat do (?:we|i|you) know about\b", r"\bstuff\s*\??\s*$", r"\bagain\s*\??\s*$",
+    r"\bwhat date (?:was|is|did)\b", r"\bwhen (?:was|is|did) (?:we|i|you|the)?\b", r"\bhow much (?:was|is|for|did)\b", r"\bwhat(?:'?s| is)? the figure for\b", r"\bwhat number did (?:we|i|you) land on for\b",
+    r"\bwhat(?:'?s| is)? the\b(?=.{0,50}\bamount\b)", r"\bamount\s*\??\s*$", "وش سالفة", "في شي (?:مسجل|مكتوب|محفوظ) عن",
+)
+# Phrases that ask to build something, and what they put around its subject.
+BUILD = (
+    r"(?i)(?:build|creat\w*|implement\w*|develop\w*|draft|prepar\w*|design\w*|writ\w*|mak\w*|set\s*up)\s+(?:(?:me|us)\s+(?:an?\s+|the\s+)?|(?:an?|the)\s+)(?:new\s+)?[^.?!]{0,40}?"
+    r"(?:\b(?:poc|proof of concept|prototype|proposal|demo|pitch|deck|integration|solution|architecture|plan|workflow|agent|app|api))|based on (?:what|everything|all)|using (?:what|everything|all)\s+(?:we|you|i)\s+know"
+)
+BUILD_FRAMES = (
+    r"\b(?:build|make|create|draft|prepare|design|write)\s+(?:(?:me|us)\s+(?:an?\s+|the\s+)?|(?:an?|the)\s+)(?:new\s+)?(?:poc|proof of concept|prototype|demo|proposal|pitch(?:\s+deck)?|deck|integration plan|plan|workflow|app|api|agent|solution|architecture)\b",
+    r"\bfor\s+(?:an?\s+)?(?:new\s+)?(?:client|customer|company|prospect)\b", r"\b(?:based on|using)\s+(?:what|everything|all)\s+(?:we|you|i)\s+know(?:\s+about)?",
+)
+
+
 def is_temporal(q: Column) -> Column:
-    return F.lower(q).rlike(r"\b(last|past|previous|recent|recently|latest|yesterday|today|lately|this) ?(week|month|few|days?|weeks?|months?)?\b|أمس|اليوم|مؤخرا|الأسبوع|الشهر")
+    return q.rlike(TEMPORAL)
+
+
+def is_build(q: Column) -> Column:
+    """Whether a question asks to make something of what is known."""
+    return q.rlike(BUILD)
 
 
 def strip_frames(q: Column) -> Column:
-    """A question without the phrases of asking; as it was if nothing else is left."""
-    frames = (
-        r"(?i)^\s*(hey|hi|hello|ok|okay|please|so)[, ]+",
-        r"(?i)\b(can|could|would) you (please )?(tell|show|find|give|remind) me\b",
-        r"(?i)\b(do you (know|remember)|i (want|need|would like) to (know|see|find)|i('m| am) looking for)\b",
-        r"(?i)\b(what do (we|i) (know|have) (about|on)|what did (we|i) (say|decide|write) (about|on))\b",
-        r"(?i)\b(tell me (more )?about|show me|find me|remind me (of|about)|where (is|are) (my|our|the))\b",
-    )
-    left = F.trim(F.regexp_replace(reduce(lambda c, f: F.regexp_replace(c, f, " "), frames, q), r"\s+", " "))
-    return F.when(F.regexp_replace(left, r"[^\p{L}\p{N}]+", "") == "", q).otherwise(left)
+    """A question without the phrases of asking; as it was if no word is left."""
+    plain = lambda c, frames: reduce(lambda a, f: F.regexp_replace(a, "(?i)" + f, " "), frames, c)
+    bare = plain(q, FRAMES)
+    left = F.trim(F.regexp_replace(F.when(is_build(q), plain(bare, BUILD_FRAMES)).otherwise(bare), r"\s+", " "))
+    return F.when(F.size(tokens(left)) == 0, q).otherwise(left)
 
 
 def relationship_role(q: Column) -> Column:

@@ -111,7 +111,7 @@ def best_section(q: DataFrame, pool: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def guidance(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """(qid, anchor, advice): for questions that ask to build something, the first answer and how to go on from it."""
-    asked = questions.where(F.lower("question").rlike(r"\b(build|create|draft|write|prepare|plan|design|full (brief|context|picture))\b")).select("qid")
+    asked = questions.where(tx.is_build(F.col("question"))).select("qid")
     return asked.join(answers.where("rank = 1").select("qid", F.col("path").alias("anchor")), "qid").withColumn("advice", F.lit("Read the anchor and the notes around it in full before you write; name what they leave open."))
 
 

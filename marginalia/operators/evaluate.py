@@ -71,7 +71,7 @@ def more_scenarios(corpus: DataFrame, adjacency: DataFrame, freshest: int = 60)
     none = F.lit(None).cast("bigint")
     nobody = F.array().cast("array<bigint>")
     out = lambda d, family, question, accept, target=F.col("note_id"), two=none, g=nobody: d.select("note_id", F.lit(family).alias("family"), question.alias("question"), target.alias("target"), two.alias("target2"), g.alias("group"), F.lit(accept).alias("accept"))
-    temporal = out(group, "temporal", F.concat(F.lit("latest on "), F.array_join("key", " ")), "recent-group", g=F.col("group"))
+    temporal = out(group, "temporal", F.concat(F.lit("latest on "), F.array_join("key", " "), F.lit("?")), "recent-group", g=F.col("group"))
     both = asked.where(F.size("w") >= 1).withColumn("two", F.lead(F.struct("note_id", "w")).over(Window.partitionBy("top").orderBy("path"))).where("two is not null and top != ''")
     first = lambda w: F.array_join(F.slice(w, 1, 2), " ")
     compare = out(both, "compare", F.concat(F.lit("how does "), first(F.col("w")), F.lit(" compare to "), first(F.col("two.w")), F.lit("?")), "both-top5", two=F.col("two.note_id"))
@@ -80,7 +80,7 @@ def more_scenarios(corpus: DataFrame, adjacency: DataFrame, freshest: int = 60)
     clean = out(asked.where(F.size("w") >= 3).join(sib.where("k = 1").select("series"), "series", "left_semi"), "clean", F.array_join("w", " "), "top1-noclarify")
     ids = c.select("note_id", "path")
     links = adjacency.join(ids.select(F.col("path").alias("src"), "note_id"), "src").join(ids.select(F.col("path").alias("dst"), F.col("note_id").alias("other")), "dst").groupBy("note_id").agg(F.slice(F.sort_array(F.collect_set("other")), 1, 6).alias("cluster"))
-    rich = out(asked.join(links.where(F.size("cluster") >= 3), "note_id"), "richness", F.concat(F.lit("build a full brief on "), F.array_join("w", " ")), "cluster", g=F.col("cluster"))
+    rich = out(asked.join(links.where(F.size("cluster") >= 3), "note_id"), "richness", F.concat(F.lit("build me a plan based on what we know about "), F.array_join("w", " ")), "cluster", g=F.col("cluster"))
     every = temporal.unionByName(compare).unionByName(ambiguous).unionByName(clean).unionByName(rich)
     return every.select((-(F.col("note_id") * 8 + F.array_position(F.array(*map(F.lit, ("temporal", "compare", "ambiguous", "clean", "richness"))), F.col("family")))).alias("id"), "family", "question", "target", "target2", "group", "accept")
 

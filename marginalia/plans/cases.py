@@ -292,3 +292,16 @@ def suggestion_cases(spark, sf):
     """Names in notes that could be links: one for each target, none to what is linked already, none inside longer words."""
     c = _notes(spark, LINKED)
     return linking.suggest(linking.mentions(c, linking.patterns(c)), c).select("path", "target")
+
+
+FRAMED = [
+    ("latest on the lease?", "the lease?", True, False), ("can you pull up beans for me", "beans", False, False), ("what was the deal with tea again?", "tea", False, False), ("where did we leave the lease this week", "the lease this week", True, False),
+    ("build me a plan based on what we know about tea", "tea", False, True), ("show me", "show me", False, False), ("build plan", "build plan", False, False), ("catch me up on beans", "beans", True, False), ("وش سالفة المشروع", "المشروع", False, False),
+]
+
+
+@query(values("q, bare, recent, build", FRAMED))
+def frame_cases(spark, sf):
+    """Questions without their phrases of asking, and what these ask for."""
+    q = F.col("q")
+    return spark.createDataFrame([(x,) for x, *_ in FRAMED], "q string").select("q", tx.strip_frames(q).alias("bare"), tx.is_temporal(q).alias("recent"), tx.is_build(q).alias("build"))

@@ -50,7 +50,7 @@ def test_links_and_words(spark):
     assert one(spark, "abc", tx.trigrams) == ["  a", " ab", "abc", "bc "]
     assert one(spark, "letter", tx.skeleton) == "ltr"
     assert one(spark, "Who is our accountants", tx.relationship_role) == "accountants"
-    assert one(spark, "can you tell me the budget", tx.strip_frames) == "the budget"
+    assert one(spark, "can you pull up the budget", tx.strip_frames) == "the budget"
     assert one(spark, "# Head", lambda c: tx.note_title(F.lit("a/b.md"), c)) == "Head"
 
 
