@@ -12,5 +12,6 @@ NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ == cases.__
 def test_case(spark, name):
     df = catalog.QUERIES[name](spark, "")
     cols = sorted(df.columns)
-    want = duckdb.sql(f"select {', '.join(cols)} from ({catalog.SQL[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    want = duckdb.sql(f"select {quoted} from ({catalog.SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, want)) and want
