@@ -11,7 +11,7 @@ from marginalia.config import RANKING
 from marginalia.functions import text as tx
 from marginalia.operators import access, audit, delivery, fusion, graph, history, lanes, linking, structure, temporal
 from marginalia.operators import index as ix
-from marginalia.session import materialize, ship
+from marginalia.session import materialize, ship, together
 
 
 class Vault:
@@ -82,6 +82,12 @@ class Vault:
         x = x.select("qid", F.coalesce("new", "variant", "term").alias("term"), "n", "at").groupBy("qid", "term").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
         return self._keep(lanes.with_idf(x, self.doc_freq, self.stats), "question-terms-corrected")
 
+    def warm(self) -> None:
+        """Builds what is missing of the index, independent tables at the same time."""
+        self.terms  # noqa: B018
+        together(lambda: self.doc_freq, lambda: self.stats, lambda: self.edges, lambda: self.dates)
+        together(lambda: self.vocabulary, lambda: self.links)
+
     @cached_property
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(src, dst) and (note_id, backlinks) of the graph by note_id."""
@@ -130,18 +136,20 @@ class Vault:
     def _ask(self, questions: DataFrame, vectors: DataFrame | None, as_of: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """One pass of recall(): answers, outcomes (with clarify) and the questions' terms."""
         k, keep = RANKING, self._keep
+        self.warm()
         q = self.question_terms(questions)
         ids = self.corpus.select("note_id", "path")
-        title = keep(lanes.ranked(lanes.title(q, self.corpus), k.lane_depth), "title")
-        bm = keep(lanes.ranked(lanes.bm25f(q, self.terms, self.lengths, self.stats, self.priors), k.lane_depth), "bm25")
+        title, bm, known = together(
+            lambda: keep(lanes.ranked(lanes.title(q, self.corpus), k.lane_depth), "title"),
+            lambda: keep(lanes.ranked(lanes.bm25f(q, self.terms, self.lengths, self.stats, self.priors), k.lane_depth), "bm25"),
+            lambda: keep(fusion.known_item(q, self.terms, self.lengths, self.doc_freq, self.stats, self.corpus), "known"),
+        )
         rare = lanes.ranked(lanes.rare(q, self.postings, self.priors), k.rare_depth, F.desc("prior"))
         pool = keep(lanes.pool((bm.drop("rank"), k.lane_depth), (title.drop("rank"), 30), (rare.select("qid", "note_id", "score"), k.rare_depth)), "pool")
-        cov = keep(lanes.coverage(q, pool, self.corpus, self.priors), "coverage")
-        prox = keep(lanes.proximity(q, pool, self.terms), "proximity")
+        cov, prox = together(lambda: keep(lanes.coverage(q, pool, self.corpus, self.priors), "coverage"), lambda: keep(lanes.proximity(q, pool, self.terms), "proximity"))
         ts = lanes.ts_match(q, pool, self.terms, prox, self.priors)
         adj, back = self.links
         seeds = fusion.rrf({"title": title, "bm25": bm}, fusion.lane_weights(k.topical), 10)
-        known = keep(fusion.known_item(q, self.terms, self.lengths, self.doc_freq, self.stats, self.corpus), "known")
         temporal_q = questions.where(tx.is_temporal(F.col("question"))).select("qid")
         tq = q.join(temporal_q, "qid", "left_semi")
         entity = lanes.entity_fuzzy(q, ix.entity_vocabulary(self.corpus).join(ids, "path").select("note_id", "name"), self.stats)
@@ -166,12 +174,12 @@ class Vault:
         for more in (delivery.pair_pins(q, self.postings, self.terms, self.priors), delivery.category_pins(q, temporal_q, self.corpus, self.dates), fusion.title_subset_pins(q, self.terms, self.lengths), delivery.entity_pins(entity), fusion.known_pins(known)):
             pins = pins.unionByName(more)
         order = fusion.splice(scaled, pins)
-        answers = keep(order.join(ids, "note_id").join(scaled.select("qid", "note_id", "score"), ["qid", "note_id"], "left").select("qid", "note_id", "path", "score", "rank"), "answers")
+        last = order.join(ids, "note_id").join(scaled.select("qid", "note_id", "score"), ["qid", "note_id"], "left").select("qid", "note_id", "path", "score", "rank")
+        answers, unsure = together(lambda: keep(last, "answers"), lambda: keep(fusion.clarify(scaled.join(temporal_q, "qid", "left_anti"), known), "unsure"))
         rescue = None if near is None else delivery.confirmed(answers, near, self.chunks, self.corpus)
         outcomes = fusion.gate(fusion.absent_mass(q), cov, rescue)
         # questions without any term have no row yet
         outcomes = questions.select("qid").join(outcomes, "qid", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("gate_cover", F.lit(0.0)).alias("gate_cover"), F.coalesce("absent", F.lit(0.0)).alias("absent"), F.when(F.col("found").isNull(), "the question has no words").otherwise(F.col("reason")).alias("reason"))
-        unsure = keep(fusion.clarify(scaled.join(temporal_q, "qid", "left_anti"), known), "unsure")
         noise = fusion.scattered(unsure, outcomes, q, self.terms).withColumn("noise", F.lit(True))
         person = delivery.relationship_check(questions, answers, self.corpus).where("not honest").select("qid", F.lit(True).alias("person"))
         choice = unsure.select("qid", "options").unionByName(delivery.sibling_clarify(q, known, self.corpus).select("qid", "options"))

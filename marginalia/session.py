@@ -7,10 +7,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _shipped: set[str] = set()
 _written: dict[str, list[str]] = {}
 
@@ -46,6 +50,12 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), ke
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*work: Callable[[], T]) -> list[T]:
+    """Runs independent jobs at the same time, so that the one's tail overlaps with the other's start; results in order."""
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        return [f.result() for f in [pool.submit(w) for w in work]]
+
+
 def discard(spark: SparkSession, kept: bool = False) -> None:
     """Deletes what materialize() wrote in this application, tables to keep only if asked to."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
