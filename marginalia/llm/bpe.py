@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import re
 import sys
 import unicodedata
@@ -23,7 +24,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.session import ready
@@ -177,10 +179,21 @@ class Encoder:
         return np.diff(ends[np.concatenate([[0], np.cumsum(count)])])
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def send(spark: SparkSession, path: str) -> None:
+    """Gives every executor the vocabulary file (some 1 MB) where the driver has it; once an application."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _sent and os.path.exists(path):
+        sc.addFile(path)
+        _sent.add((sc.applicationId, path))
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """A worker's encoder, kept between its tasks."""
-    return Encoder(path)
+    """A worker's encoder, kept between its tasks; of the file at the path, or where the machine has none of the one sent."""
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
 
 
 def _slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -207,6 +220,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=[key, "ids"])
 
     ready()
+    send(docs.sparkSession, vocabulary)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -222,5 +236,6 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     ready()
+    send(docs.sparkSession, vocabulary)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, n_tokens long")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.bpe import VOCABULARY, _slices, encoder
+from marginalia.llm.bpe import VOCABULARY, _slices, encoder, send
 from marginalia.session import materialize, ready
 
 BLOCK_TOKENS, BUCKET_TEXTS, SLOT_RUN = 4096, 10_000, 65_536
@@ -43,6 +43,7 @@ def stock(docs: DataFrame, targets: DataFrame, key: str, text: str, source: Colu
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("source"), digest, pa.array(enc.counts(texts), pa.int64())], names=["key", "source", "digest", "n_tokens"])
 
     ready()
+    send(docs.sparkSession, vocabulary)
     kind = docs.schema[key].dataType.simpleString()
     some = docs.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), source.alias("source"), F.col(text).alias("text"))
     some = some.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # mix_targets doesn't grow

@@ -51,3 +51,14 @@ def test_starting_anew(monkeypatch):
     for t in ("one two three four", "five six", "one six"):
         o, ids = enc.encode([t, t])
         assert ids[: o[1]].tolist() == ids[o[1] :].tolist() == encode([t])[0]
+
+
+def test_a_machine_without_the_file_takes_the_one_sent(spark, tmp_path):
+    """Where a task's machine has no file at the path, the copy that went with the application is read."""
+    sent = tmp_path / "here" / "sent_vocabulary.tiktoken"
+    sent.parent.mkdir()
+    sent.write_bytes(open(bpe.VOCABULARY, "rb").read())
+    bpe.send(spark, str(sent))
+    df = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
+    got, want = ({r.doc_id: r.ids for r in bpe.encode(df, vocabulary=v).collect()} for v in (str(tmp_path / "elsewhere" / sent.name), bpe.VOCABULARY))
+    assert got == want and want[2] == []
