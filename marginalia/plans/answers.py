@@ -107,11 +107,15 @@ def create_safety(spark, sf):
     return fusion.create_safety(_known(v, q), fusion.absent_mass(q), _pool_cover(v, q)[1])
 
 
-@query()
+@query(sql.BM25 + """, sc as (select note_id, unnest(case when length(raw) < 4000 then [raw] else string_split(regexp_replace(raw, '(?m)^(#{1,4} )', chr(1) || '\\1', 'g'), chr(1)) end) s, generate_subscripts(case when length(raw) < 4000 then [raw] else string_split(regexp_replace(raw, '(?m)^(#{1,4} )', chr(1) || '\\1', 'g'), chr(1)) end, 1) i from c),
+ss as (select bm.qid, note_id, i, length(s) chars, sum(q.idf * least((length(lower(s)) - length(replace(lower(s), q.term, ''))) / length(q.term), 3.0)) score from bm join sc using (note_id) join q on q.qid = bm.qid where bm.rank <= 5 and trim(s) <> '' group by all),
+sr as (select *, row_number() over (partition by qid, note_id order by round(score, 9) desc, i) nth from ss where score > 0) select qid, note_id, nth, round(score, 6) score from sr where nth <= 3""")
 def answer_sections(spark, sf):
+    """The best three sections of each of the first five answers, by their scores."""
     v = vault(spark, sf)
     q = _asked(v)
-    return delivery.best_sections(q, lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5).select("qid", "note_id"), v.corpus).select("qid", "note_id", "nth", F.round("score", 6).alias("score"), "section")
+    best = delivery.best_sections(q, lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5).select("qid", "note_id"), v.corpus)
+    return best.select("qid", "note_id", F.col("nth").cast("long").alias("nth"), F.round("score", 6).alias("score"))
 
 
 @query(sql.BM25 + """, a as (select qid, note_id from bm where rank <= 5), e as (select a.qid, a.note_id, q.term, case when contains(lower(title), q.term) then 'filename' when ht.tf > 0 then 'heading' when contains(lower(path), q.term) then 'path' when post.tf > 0 then 'body' end place

@@ -104,9 +104,15 @@ def tfidf_related(spark, sf):
     return graph.text_relatedness(v._keep(graph.top_terms(v.postings, v.doc_freq, v.stats), "top-terms")).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_TOP + sql.GRAPH[len(sql.CORPUS) :] + """, dg as (select src, count(*) deg from adj group by src), vi as (select adj.dst v, d.deg d, adj.src from adj join dg d on d.src = adj.dst where d.deg <= 150),
+pr as (select x.src a, y.src b, sum(1 / ln(greatest(x.d, 2))) aa, count(*) k from vi x join vi y using (v) where x.src < y.src group by all), lk as (select a, b, 0.5 * aa + 3 * k / (da.deg + db.deg - k) score from pr join dg da on da.src = a join dg db on db.src = b),
+sh as (select term from top group by term having count(*) between 2 and 100), tx as (select x.note_id a, y.note_id b, sum(x.w * y.w) score from top x join top y using (term) join sh using (term) where x.note_id < y.note_id group by all),
+tp as (select ca.path a, cb.path b, score from tx join c ca on ca.note_id = a join c cb on cb.note_id = b),
+bw as (select a, b, score, 'links' via from lk union all select b, a, score, 'links' from lk union all select a, b, score, 'text' from tp union all select b, a, score, 'text' from tp),
+rk as (select *, row_number() over (partition by a, via order by round(score, 9) desc, b) rank from bw), fu as (select a, b, sum(1.0 / (60 + rank)) s, case when count(*) = 2 then 'both' else min(via) end via from rk where rank <= 25 group by all),
+fr2 as (select *, row_number() over (partition by a order by round(s, 12) desc, b) nth from fu) select a, b, via, nth from fr2 where nth <= 8""")
 def related_notes(spark, sf):
-    return vault(spark, sf).related().select("a", "b", "via", "nth")
+    return vault(spark, sf).related().select("a", "b", "via", F.col("nth").cast("long").alias("nth"))
 
 
 @query()
