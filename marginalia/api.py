@@ -141,7 +141,7 @@ class Vault:
         ids = self.corpus.select("note_id", "path")
         title, bm, known = together(
             lambda: keep(lanes.ranked(lanes.title(q, self.corpus), k.lane_depth), "title"),
-            lambda: keep(lanes.ranked(lanes.bm25f(q, self.terms, self.lengths, self.stats, self.priors), k.lane_depth), "bm25"),
+            lambda: keep(lanes.bm25f_best(q, self.fields, self.stats, k.lane_depth), "bm25"),
             lambda: keep(fusion.known_item(q, self.terms, self.lengths, self.doc_freq, self.stats, self.corpus), "known"),
         )
         rare = lanes.ranked(lanes.rare(q, self.postings, self.priors), k.rare_depth, F.desc("prior"))

@@ -56,9 +56,9 @@ def tokens(c: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def of(w: Column, follows: Column) -> Column:
-        kept = ((F.length(w) > 1) | w.rlike("^[0-9]$")) & ~w.isin(STOP)
-        pair = w.rlike(r"^\p{L}+$") & ~w.isin(STOP) & F.coalesce(follows.rlike("^[0-9]{1,3}$"), F.lit(False))
-        return F.concat(F.when(kept, F.array(w)).otherwise(none), F.when(pair, F.array(F.concat(w, F.lit(" "), follows))).otherwise(none))
+        numbered = F.coalesce(follows.rlike("^[0-9]{1,3}$"), F.lit(False)) & w.rlike(r"^\p{L}+$")
+        both = F.concat(w, F.lit(" "), follows)
+        return F.when(w.isin(STOP), none).when(numbered, F.when(F.length(w) > 1, F.array(w, both)).otherwise(F.array(both))).when((F.length(w) > 1) | w.rlike("^[0-9]$"), F.array(w)).otherwise(none)
 
     # the array beside itself moved by one: an index into it within the lambda would make it anew for every word
     return F.flatten(F.zip_with(raw, F.slice(raw, 2, 1_000_000_000), of))

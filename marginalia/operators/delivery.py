@@ -65,7 +65,7 @@ def best_sections(q: DataFrame, pool: DataFrame, corpus: DataFrame, k: int = 3)
     """(qid, note_id, nth, score, section): the k sections of each pooled note with the largest sum of idf times occurrences up to
     three; sections over 2,000 characters are cut to their densest 1,800."""
     words = q.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("w"))
-    met = pool.join(lanes.sections(corpus, pool), "note_id").join(words, "qid")
+    met = pool.join(words, "qid").join(lanes.sections(corpus, pool), "note_id")  # the words travel, the texts once
     low = F.lower("section")
 
     def each(s: Column, x: Column) -> Column:

@@ -1,16 +1,21 @@
-"""Index tables of a corpus: terms by field, statistics, vocabulary. All native aggregates on (note, term).
+"""Index tables of a corpus: terms by field, statistics, vocabulary.
 
-The notes are already partitioned by note_id when they are deduplicated, and terms are counted under that key, so that
-building the index adds no shuffle of its own; document frequencies are one map-side combined aggregate more."""
+A note is one row when its terms are counted, in the task that has it, so that building the index adds no shuffle of its own;
+document frequencies are one map-side combined aggregate."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.config import RANKING
 from marginalia.functions import text as tx
 from marginalia.functions import udfs
+from marginalia.session import ready
 
 
 def fields(corpus: DataFrame) -> DataFrame:
@@ -20,18 +25,41 @@ def fields(corpus: DataFrame) -> DataFrame:
     return corpus.select("note_id", "path", title.alias("title"), head.alias("head"), tx.tokens(F.col("raw")).alias("body"))
 
 
-def _marked(c: str) -> Column:
-    return F.transform(c, lambda t, i: F.struct(F.lit(c).alias("field"), t.alias("term"), i.alias("pos")))
-
-
 def terms(fields: DataFrame, cap: int = RANKING.position_cap) -> DataFrame:
     """(note_id, term, tf_title, tf_head, tf_body, first_pos, positions): a row per note and term over all fields, with the sorted
-    places in the body, at most `cap` of them; tf_body above cap tells that there are more."""
-    each = fields.select("note_id", F.explode(F.concat(_marked("title"), _marked("head"), _marked("body"))).alias("x")).select("note_id", "x.*")
-    n = lambda f: F.sum((F.col("field") == f).cast("long"))
-    at = F.sort_array(F.collect_list(F.when(F.col("field") == "body", F.col("pos"))))
-    by = each.groupBy("note_id", "term").agg(n("title").alias("tf_title"), n("head").alias("tf_head"), n("body").alias("tf_body"), at.alias("at"))
-    return by.select("note_id", "term", "tf_title", "tf_head", "tf_body", F.get("at", F.lit(0)).alias("first_pos"), F.slice("at", 1, cap).alias("positions"))
+    places in the body, at most `cap` of them; tf_body above cap tells that there are more. fields holds a row a note: its
+    terms are counted where the row lies, and no token travels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                lists = [part.column(c) for c in ("title", "head", "body")]
+                sizes = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in lists]
+                words = pa.chunked_array([c.flatten() for c in lists]).combine_chunks().dictionary_encode()
+                if not len(words):
+                    continue
+                note = np.concatenate([np.repeat(np.arange(part.num_rows), n) for n in sizes])
+                place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+                field = np.repeat(np.arange(3), [n.sum() for n in sizes])
+                key = note * len(words.dictionary) + words.indices.to_numpy()
+                order = np.argsort(key, kind="stable")  # within a term by field and place
+                key, field, place = key[order], field[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                tf = [np.add.reduceat((field == k).astype(np.int64), first) for k in range(3)]
+                body = first + tf[0] + tf[1]  # where a term's places in the body begin
+                kept = np.minimum(tf[2], cap)
+                ends = np.concatenate([[0], np.cumsum(kept)])
+                at = np.repeat(body - ends[:-1], kept) + np.arange(ends[-1])
+                head = place[np.minimum(body, len(place) - 1)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("note_id").take(pa.array(key[first] // len(words.dictionary))), words.dictionary.take(pa.array(key[first] % len(words.dictionary))), *map(pa.array, tf),
+                    pa.array(head, mask=tf[2] == 0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[at], pa.int32())),
+                ], names=["note_id", "term", "tf_title", "tf_head", "tf_body", "first_pos", "positions"])
+
+    ready()
+    kind = fields.schema["note_id"].dataType.simpleString()
+    return fields.select("note_id", "title", "head", "body").mapInArrow(run, f"note_id {kind}, term string, tf_title long, tf_head long, tf_body long, first_pos int, positions array<int>")
 
 
 def postings(fields: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from marginalia.operators import index as ix
 from marginalia.plans import sql
 from marginalia.plans.catalog import query, table
 from marginalia.plans.knowledge import corpus
-from marginalia.plans.retrieval import _COVERAGE, _KNOWN, _asked, _known, _out, _pool_cover, _titles, vault
+from marginalia.plans.retrieval import _COVERAGE, _KNOWN, _asked, _bm, _known, _out, _pool_cover, _titles, vault
 from marginalia.sources import vault as src
 
 _BM_DATES = sql.BM25 + ", " + sql.DATES[len(sql.CORPUS) :].lstrip(", \n")
@@ -73,9 +73,9 @@ _FUSED = _FUSED.replace("from f2 join c using (note_id, path)", "from f2 join c
 
 
 def _rescaled(v, q):
-    bm = lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 50)
+    bm = _bm(v, q, 50)
     rare = lanes.ranked(lanes.rare(q, v.postings, v.priors), 30, F.desc("prior"))
-    cover = lanes.ranked(_pool_cover(v, q)[1], 50)
+    cover = lanes.ranked(_pool_cover(v, q, bm)[1], 50)
     fused = fusion.rrf({"bm25": bm, "rare": rare, "coverage": cover}, fusion.lane_weights({"bm25": 1.2, "coverage": 1.5}))
     asked = src.questions(v.corpus)
     asked = asked.select("qid", tx.is_episodic(F.col("question")).alias("episodic")).join(fusion.content_words(asked, q), "qid")
@@ -114,7 +114,7 @@ def answer_sections(spark, sf):
     """The best three sections of each of the first five answers, by their scores."""
     v = vault(spark, sf)
     q = _asked(v)
-    best = delivery.best_sections(q, lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5).select("qid", "note_id"), v.corpus)
+    best = delivery.best_sections(q, _bm(v, q, 5).select("qid", "note_id"), v.corpus)
     return best.select("qid", "note_id", F.col("nth").cast("long").alias("nth"), F.round("score", 6).alias("score"))
 
 
@@ -123,7 +123,7 @@ from a join q using (qid) join c using (note_id) left join ht on ht.note_id = a.
 def answer_evidence(spark, sf):
     v = vault(spark, sf)
     q = _asked(v)
-    top = lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5)
+    top = _bm(v, q, 5)
     return delivery.evidence(q, top, v.corpus, v.terms)
 
 

@@ -39,6 +39,10 @@ def _asked(v: Vault) -> DataFrame:
     return v.asked
 
 
+def _bm(v: Vault, q: DataFrame, depth: int) -> DataFrame:
+    return v._keep(lanes.bm25f_best(q, v.fields, v.stats, depth), "bm25")
+
+
 def _out(lane: DataFrame) -> DataFrame:
     return lane.select("qid", "note_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -80,7 +84,7 @@ def source_priors(spark, sf):
 @query(sql.BM25 + "select qid, note_id, rank, round(score, 6) score from bm where rank <= 5")
 def bm25f_topk(spark, sf):
     v = vault(spark, sf)
-    return _out(lanes.ranked(lanes.bm25f(_asked(v), v.terms, v.lengths, v.stats, v.priors), 5))
+    return _out(_bm(v, _asked(v), 5))
 
 
 def bm25f_by_titles(spark, sf):
@@ -88,7 +92,7 @@ def bm25f_by_titles(spark, sf):
     v = vault(spark, sf)
     q = ix.question_terms(v.corpus.select(F.col("note_id").alias("qid"), F.col("title").alias("question")))
     q = v._keep(lanes.with_idf(q, v.doc_freq, v.stats), "title-terms")
-    return _out(lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5))
+    return _out(_bm(v, q, 5))
 
 
 @query(sql.BM25 + "select qid, note_id, rank, round(score, 6) score from rare where rank <= 30")
@@ -129,10 +133,11 @@ cover as (select qid, note_id, cov, cov * prior score, row_number() over (partit
 """
 
 
-def _pool_cover(v: Vault, q: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bm = lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors)
+def _pool_cover(v: Vault, q: DataFrame, bm: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """bm: _bm() of the questions at 50, if it is there already."""
+    bm = _bm(v, q, 50) if bm is None else bm
     rare = lanes.ranked(lanes.rare(q, v.postings, v.priors), 30, F.desc("prior")).select("qid", "note_id")
-    pool = v._keep(lanes.ranked(bm, 50).select("qid", "note_id").unionByName(rare).distinct(), "pool")
+    pool = v._keep(bm.select("qid", "note_id").unionByName(rare).distinct(), "pool")
     return pool, v._keep(lanes.coverage(q, pool, v.corpus, v.priors), "coverage")
 
 
@@ -170,9 +175,9 @@ fu as (select qid, note_id, sum(s) rrf from lane group by all), fr as (select *,
 def rrf_fusion(spark, sf):
     v = vault(spark, sf)
     q = _asked(v)
-    bm = lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 50)
+    bm = _bm(v, q, 50)
     rare = lanes.ranked(lanes.rare(q, v.postings, v.priors), 30, F.desc("prior"))
-    cover = lanes.ranked(_pool_cover(v, q)[1], 50)
+    cover = lanes.ranked(_pool_cover(v, q, bm)[1], 50)
     fused = fusion.rrf({"bm25": bm, "rare": rare, "coverage": cover}, fusion.lane_weights({"bm25": 1.2, "coverage": 1.5}))
     return fused.select("qid", "note_id", F.col("rank").cast("long").alias("rank"), F.round("rrf", 9).alias("rrf"))
 
@@ -249,7 +254,7 @@ def recall_outcomes(spark, sf):
 def eval_recall_mrr(spark, sf):
     v = vault(spark, sf)
     q = _asked(v)
-    answers = lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5)
+    answers = _bm(v, q, 5)
     return evaluate.recall_mrr(answers, q.select("qid", F.col("qid").alias("target")).distinct())
 
 

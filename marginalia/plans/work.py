@@ -10,12 +10,12 @@ from marginalia.plans import sql
 from marginalia.plans.cases import _notes, values
 from marginalia.plans.catalog import query, table
 from marginalia.plans.knowledge import corpus
-from marginalia.plans.retrieval import _asked, vault
+from marginalia.plans.retrieval import _asked, _bm, vault
 
 
 def _first(v):
     q = _asked(v)
-    return lanes.ranked(lanes.bm25f(q, v.terms, v.lengths, v.stats, v.priors), 5)
+    return _bm(v, q, 5)
 
 
 _COSTS = sql.BM25 + """, sz as (select note_id, length(raw) n from c), rk as (select qid, bm.note_id, rank, n from bm join sz using (note_id) where rank <= 5), hf as (select qid, min(rank) f from rk where note_id = qid group by qid),

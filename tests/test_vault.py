@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.api import Vault
+from marginalia.functions import text
 from marginalia.operators import access, audit, evaluate, fusion, graph, history, lanes, linking, structure, temporal
 from marginalia.operators import index as ix
 from marginalia.sources import sinks
@@ -324,3 +325,38 @@ def test_unused_words_of_the_functions(spark, vault):
 
 def None_():
     return F.lit(None).cast("array<string>")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_a_note_are_counted_where_it_lies(spark):
+    f = spark.createDataFrame([(1, ["a"], [], ["b", "a", "b", "b"]), (2, [], ["c", "c"], []), (3, [], [], [])], "note_id long, title array<string>, head array<string>, body array<string>")
+    t = ix.terms(f, cap=2)
+    assert "Exchange" not in _plan(t)
+    assert sorted(map(tuple, t.collect())) == [(1, "a", 1, 0, 1, 1, [1]), (1, "b", 0, 0, 3, 0, [0, 2]), (2, "c", 0, 2, 0, None, [])]
+
+
+def test_best_notes_by_blocks_are_those_of_all_hits(spark, vault):
+    rows = [(n, f"Logs/N {n}.md", [f"w{n % 3}"], [f"w{n % 5}"] * (n % 2), [f"w{k % 7}" for k in range(n % 11)]) for n in range(300)]
+    f = spark.createDataFrame(rows, "note_id long, path string, title array<string>, head array<string>, body array<string>").repartition(3)
+    lengths, terms = ix.lengths(f), ix.terms(f)
+    stats = ix.stats(lengths)
+    asked = spark.createDataFrame([(k, f"w{k} w{k + 2} w{k} absent") for k in range(7)], "qid long, question string")
+    q = lanes.with_idf(ix.question_terms(asked), ix.doc_freq(terms), stats)
+    priors = f.select("note_id", text.source_prior(F.col("path")).alias("prior"))
+    want = lanes.ranked(lanes.bm25f(q, terms, lengths, stats, priors), 9)
+    for block, cells in ((4096, 1_000_000), (2, 10)):
+        best = lanes.bm25f_best(q, f, stats, 9, block, cells)
+        assert {(r.qid, r.note_id, r["rank"], round(r.score, 9)) for r in best.collect()} == {(r.qid, r.note_id, r["rank"], round(r.score, 9)) for r in want.collect()}
+        assert "Join" not in _plan(best)  # no hit meets its term by a shuffle
+    assert lanes.bm25f_best(q.where("false"), f, stats, 9).count() == 0
+
+
+def test_coverage_of_a_note_that_many_questions_ask_for(spark, vault):
+    asked = spark.createDataFrame([(k, "arabica beans" if k % 2 else "grind the arabica beans for a balanced extraction") for k in range(600)], "qid long, question string")
+    q = lanes.with_idf(ix.question_terms(asked), vault.doc_freq, vault.stats)
+    pool = asked.select("qid", F.lit(50).cast("long").alias("note_id"))
+    got = {r.qid: r.cov for r in lanes.coverage(q, pool, vault.corpus, vault.priors).collect()}
+    assert len(got) == 600 and got[1] == 1.0 and got[2] == 0.25  # the second quotes the note
