@@ -48,15 +48,24 @@ def mentions(corpus: DataFrame, patterns: DataFrame, body: str = "body") -> Data
     word = F.transform(pieces, lambda p: F.regexp_extract(p, r"([\p{L}\p{N}]+)$", 1))
     between = F.transform(pieces, lambda p: F.regexp_replace(p, r"[\p{L}\p{N}]+$", ""))
     t = corpus.select("path", word.alias("w"), F.concat(between, F.array(F.regexp_extract(text, r"([^\p{L}\p{N}]*)$", 1))).alias("b")).where(F.size("w") > 0)
-    each = t.select("path", "w", "b", F.posexplode(F.transform("w", lambda x: F.lower(x))).alias("i", "first")).join(starts, "first")
-    run = each.select("path", "i", "w", "b", F.explode("sizes").alias("words")).where(F.col("i") + F.col("words") <= F.size("w"))
-    own = F.slice("w", F.col("i") + 1, F.col("words"))
-    inner = F.slice("b", F.col("i") + 2, F.col("words") - 1)
-    shown = F.concat(F.get("w", F.col("i")), F.array_join(F.zip_with(inner, F.slice("w", F.col("i") + 2, F.col("words") - 1), lambda g, x: F.concat(g, x)), ""))
-    before, after = F.get("b", F.col("i")), F.get("b", F.col("i") + F.col("words"))
-    follows = F.get("w", F.col("i") + F.col("words"))
-    fits = ~before.rlike(r"[-_/\\\\]$") & ~after.rlike(r"^[-_/\\\\]") & ~((after == ".") & F.coalesce(follows.rlike("^[A-Za-z]"), F.lit(False))) & ~F.exists(inner, lambda g: g.rlike(_BREAK))
-    run = run.where(fits).select("path", F.lower(F.array_join(own, " ")).alias("phrase"), (F.col("i") + 1).alias("at"), "words", shown.alias("shown"))
+    # only a note's distinct words travel, and what begins a name comes back to it: its text stays one row
+    firsts = corpus.select("path", F.explode(F.array_distinct(_words(text))).alias("first")).join(starts, "first")
+    known = firsts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("first", "sizes"))).alias("sizes"))
+    at = F.transform("w", lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("first")))
+    w, b, sizes = F.col("w"), F.col("b"), F.col("sizes")
+
+    def one(i: Column, words: Column) -> Column:
+        """The run of so many words at a place; its end may lie beyond the text."""
+        rest = F.slice(w, i + 2, words - 1)
+        inner = F.slice(b, i + 2, words - 1)
+        shown = F.concat(F.get(w, i), F.array_join(F.zip_with(inner, rest, lambda g, x: F.concat(g, x)), ""))
+        before, after, follows = F.get(b, i), F.get(b, i + words), F.get(w, i + words)
+        fits = ~before.rlike(r"[-_/\\\\]$") & ~after.rlike(r"^[-_/\\\\]") & ~((after == ".") & F.coalesce(follows.rlike("^[A-Za-z]"), F.lit(False))) & ~F.exists(inner, lambda g: g.rlike(_BREAK))
+        phrase = F.lower(F.array_join(F.slice(w, i + 1, words), " "))
+        return F.when((i + words <= F.size(w)) & fits, F.struct(phrase.alias("phrase"), (i + 1).alias("at"), words.alias("words"), shown.alias("shown")))
+
+    runs = F.flatten(F.transform(F.filter(at, lambda x: F.map_contains_key(sizes, x["first"])), lambda x: F.transform(F.element_at(sizes, x["first"]), lambda k: one(x["i"], k))))
+    run = t.join(known, "path").select("path", F.explode(F.filter(runs, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
     return run.join(patterns.select("phrase", F.col("path").alias("target"), "words"), ["phrase", "words"]).select("path", "phrase", "target", "at", "words", "shown")
 
 

@@ -360,3 +360,11 @@ def test_coverage_of_a_note_that_many_questions_ask_for(spark, vault):
     pool = asked.select("qid", F.lit(50).cast("long").alias("note_id"))
     got = {r.qid: r.cov for r in lanes.coverage(q, pool, vault.corpus, vault.priors).collect()}
     assert len(got) == 600 and got[1] == 1.0 and got[2] == 0.25  # the second quotes the note
+
+
+def test_a_text_stays_one_row_while_names_are_looked_for(spark):
+    c = spark.createDataFrame([("a.md", "Ana Diaz met Ana. Not ana-x, see Ana Diaz Ruiz.md; ana\nDiaz"), ("b.md", ""), ("c.md", "nobody")], "path string, body string")
+    p = spark.createDataFrame([("ana", "A", 1), ("ana diaz", "B", 2), ("ana diaz ruiz", "C", 3)], "phrase string, path string, words int")
+    m = linking.mentions(c, p)
+    assert sorted((r.phrase, r.at, r.shown) for r in m.collect()) == [("ana", 1, "Ana"), ("ana", 4, "Ana"), ("ana", 9, "Ana"), ("ana", 13, "ana"), ("ana diaz", 1, "Ana Diaz"), ("ana diaz", 9, "Ana Diaz")]
+    assert "Generate posexplode" not in _plan(m)  # which put the whole text beside each of its words
