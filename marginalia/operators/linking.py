@@ -42,15 +42,18 @@ def mentions(corpus: DataFrame, patterns: DataFrame, body: str = "body") -> Data
     A name is found by its first words: notes give each of their words with what follows it for as many words as the longest
     name with that first word has, and only words that begin a name go on."""
     starts = patterns.groupBy(F.substring_index("phrase", " ", 1).alias("first")).agg(F.array_sort(F.collect_set("words")).alias("sizes"))
-    # a word, and the signs up to the next one; what is protected counts as a break
-    text = F.regexp_replace(body, _PROTECTED, "\n")
-    pieces = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(r"([^\p{L}\p{N}]*)([\p{L}\p{N}]+)"), F.lit(0))
-    word = F.transform(pieces, lambda p: F.regexp_extract(p, r"([\p{L}\p{N}]+)$", 1))
-    between = F.transform(pieces, lambda p: F.regexp_replace(p, r"[\p{L}\p{N}]+$", ""))
-    t = corpus.select("path", word.alias("w"), F.concat(between, F.array(F.regexp_extract(text, r"([^\p{L}\p{N}]*)$", 1))).alias("b")).where(F.size("w") > 0)
+    # what is protected counts as a break
+    plain = corpus.select("path", F.regexp_replace(body, _PROTECTED, "\n").alias("text"))
     # only a note's distinct words travel, and what begins a name comes back to it: its text stays one row
-    firsts = corpus.select("path", F.explode(F.array_distinct(_words(text))).alias("first")).join(starts, "first")
+    firsts = plain.select("path", F.explode(F.array_distinct(_words(F.col("text")))).alias("first")).join(starts, "first")
     known = firsts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("first", "sizes"))).alias("sizes"))
+    met = plain.join(known, "path")
+    # a word, and the signs up to the next one
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit(r"([^\p{L}\p{N}]*)([\p{L}\p{N}]+)"), F.lit(0))
+    met = met.select("path", "sizes", "text", F.explode(F.array(pieces)).alias("pieces"))  # unfolded: worked out once, after the join
+    word = F.transform("pieces", lambda p: F.regexp_extract(p, r"([\p{L}\p{N}]+)$", 1))
+    between = F.transform("pieces", lambda p: F.regexp_replace(p, r"[\p{L}\p{N}]+$", ""))
+    t = met.select("path", "sizes", F.explode(F.array(F.struct(word.alias("w"), F.concat(between, F.array(F.regexp_extract("text", r"([^\p{L}\p{N}]*)$", 1))).alias("b")))).alias("x")).select("path", "sizes", "x.*")
     at = F.transform("w", lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("first")))
     w, b, sizes = F.col("w"), F.col("b"), F.col("sizes")
 
@@ -65,7 +68,7 @@ def mentions(corpus: DataFrame, patterns: DataFrame, body: str = "body") -> Data
         return F.when((i + words <= F.size(w)) & fits, F.struct(phrase.alias("phrase"), (i + 1).alias("at"), words.alias("words"), shown.alias("shown")))
 
     runs = F.flatten(F.transform(F.filter(at, lambda x: F.map_contains_key(sizes, x["first"])), lambda x: F.transform(F.element_at(sizes, x["first"]), lambda k: one(x["i"], k))))
-    run = t.join(known, "path").select("path", F.explode(F.filter(runs, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
+    run = t.select("path", F.explode(F.filter(runs, lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
     return run.join(patterns.select("phrase", F.col("path").alias("target"), "words"), ["phrase", "words"]).select("path", "phrase", "target", "at", "words", "shown")
 
 
