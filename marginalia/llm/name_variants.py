@@ -288,7 +288,9 @@ def variant_pairs(members: DataFrame, expand: int = 2000, names: DataFrame | Non
 
     Of an entity with more than `expand` names, the least name_ids of its spellings are paired with each other and each other
     name is linked to the least of its own spelling: with `names` (name_id, name_text) no link between spellings is missing.
-    Without `names` all spellings count as one."""
+    Without `names` all spellings count as one. The members are written first: five branches read them, and each would hold
+    the plan that made them, with its broadcasts, in the driver."""
+    members = materialize(members.select("name_id", "entity"), "members")
     size = members.groupBy("entity").agg(F.count("*").alias("size"))
     few = members.join(size.where((F.col("size") > 1) & (F.col("size") <= expand)).select("entity"), "entity", "left_semi")
     both = lambda x: x.select("entity", F.col("name_id").alias("name_a")).join(x.select("entity", F.col("name_id").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")

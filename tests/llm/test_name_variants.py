@@ -95,3 +95,10 @@ def test_evidence_does_not_depend_on_the_size_of_the_table(spark):
     once = entity_names(1)
     assert once == entity_names(20)
     assert ("Kathryn Galmar", "Kathrynn Galmar") in once and ("Lia Korben", "Liaa Korben") in once and ("Bo Xi",) in once and ("Anne Pelzim",) in once
+
+
+def test_pairs_hold_no_plan_of_the_entities(spark):
+    names = spark.createDataFrame([(i, t, None, "body") for i, t in enumerate(["Jane Smith", "Jane Smiht", "J. Smith", "Ann Lee"])], "name_id long, name_text string, path string, origin string")
+    nick = spark.createDataFrame([("jane", "janie")], "given_name string, nickname string")
+    plan = nv.variant_pairs(nv.entities(names, nick), names=names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 60  # 218 with the plan of the entities in each branch
