@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.functions import udfs
-from marginalia.operators import access, audit, evaluate, graph, history, linking, structure, temporal
+from marginalia.operators import access, audit, bipartite, evaluate, graph, history, linking, structure, temporal
 from marginalia.operators import index as ix
 from marginalia.plans import sql
 from marginalia.plans.catalog import query, table
@@ -80,12 +80,9 @@ sc as (select a, b, 0.5 * aa + 3 * k / (da.deg + db.deg - k) score from pr join
 rk as (select *, row_number() over (partition by a order by round(score, 9) desc, b) nth from bw) select a, b, nth, round(score, 6) score from rk where nth <= 8""")
 def copurchase_related(spark, sf):
     """The eight most related customers or parts of each, over the graph of who bought what."""
-    from pyspark.sql.window import Window
-
-    e = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-    adj = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    w = Window.partitionBy("a").orderBy(F.round("score", 9).desc(), "b")
-    return graph.both_ways(graph.link_relatedness(adj)).withColumn("nth", F.row_number().over(w)).where("nth <= 8").select("a", "b", F.col("nth").cast("long").alias("nth"), F.round("score", 6).alias("score"))
+    e = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    best = bipartite.related(e.select(F.col("o_custkey").cast("long").alias("left"), F.col("l_partkey").cast("long").alias("right")), ("c", "p"))
+    return best.select("a", "b", "nth", F.round("score", 6).alias("score"))
 
 
 _TOP = sql.INDEX + """, tw as (select note_id, term, (1 + ln(tf)) * ln(n / df) w from post join df using (term) cross join st where length(term) >= 3 and df <= 0.2 * n),
