@@ -55,6 +55,11 @@ class Vault:
     def vocabulary(self) -> DataFrame:
         return self._index(ix.vocabulary(self.doc_freq), "vocabulary")
 
+    @cached_property
+    def words(self) -> DataFrame:
+        """The vocabulary's words alone: from the index if it is there, else without building it."""
+        return self.vocabulary.select("term") if "vocabulary" in self.__dict__ else self._index(ix.words(self.corpus), "words")
+
     @cached_property
     def postings(self) -> DataFrame:
         return self.terms.where("tf_body > 0").select("note_id", "term", F.col("tf_body").alias("tf"))

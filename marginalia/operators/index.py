@@ -8,15 +8,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.config import RANKING
 from marginalia.functions import text as tx
-from marginalia.functions import udfs
 from marginalia.session import ready
 
+LONG = 24  # letters of a word whose delete-one forms are written out
+
 
 def fields(corpus: DataFrame) -> DataFrame:
     """(note_id, path, title array, head array, body array): the tokens of each field; body is the whole raw text."""
@@ -97,20 +99,85 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count("*").alias("n"), F.min("at").alias("at"))
 
 
+def _single(terms: DataFrame) -> DataFrame:
+    """Of terms, the single words of at least four letters."""
+    return terms.where((F.length("term") >= 4) & (F.instr("term", " ") == 0))
+
+
 def vocabulary(doc_freq: DataFrame) -> DataFrame:
     """(term, df, trigrams, deletes) of single words of at least four letters; deletes of words up to 24 letters."""
-    words = doc_freq.where((F.length("term") >= 4) & (F.instr("term", " ") == 0))
     none = F.array().cast("array<string>")
-    return words.select("term", "df", tx.trigrams(F.col("term")).alias("trigrams"), F.when(F.length("term") <= 24, F.array_distinct(tx.deletes1(F.col("term")))).otherwise(none).alias("deletes"))
+    return _single(doc_freq).select("term", "df", tx.trigrams(F.col("term")).alias("trigrams"), F.when(F.length("term") <= 24, F.array_distinct(tx.deletes1(F.col("term")))).otherwise(none).alias("deletes"))
+
+
+def words(corpus: DataFrame) -> DataFrame:
+    """(term): the words of vocabulary() straight from the texts: no table of terms by note is built for them, and each task
+    sends a word once. Repeated rows of a note add nothing."""
+    return _single(fields(corpus).select(F.explode(F.array_distinct(F.concat("title", "head", "body"))).alias("term"))).distinct()
+
+
+def one_edit_pairs(words: DataFrame) -> DataFrame:
+    """(term, other), term < other: the distinct words (term) one edit apart, whatever their letters and however rare.
+
+    A word of up to LONG letters goes to each of its delete-one forms k with the letter c taken out and its place i, of a run of
+    equal letters the first; and to itself, at place 0. Which words at k are one edit apart follows from places and letters
+    alone, and each pair comes from one k only: so no distance is computed and nothing is made distinct. Neither side is
+    broadcast, as what unfolds here is many times the size that a plan takes it for. Longer words, whose forms would hold the
+    square of their letters, go by hashes of the forms."""
+    w = F.col("term")
+    first = F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: (i == 1) | (w.substr(i - 1, F.lit(1)) != w.substr(i, F.lit(1))))
+    less = F.transform(first, lambda i: F.struct(F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))).alias("k"), i.alias("i"), w.substr(i, F.lit(1)).alias("c")))
+    own = F.array(F.struct(w.alias("k"), F.lit(0).alias("i"), F.lit("").alias("c")))
+    d = words.where(F.length("term").between(1, LONG)).select(F.inline(F.concat(own, less)))
+    k, i, c, j, e = (F.col(x) for x in ("a.k", "a.i", "a.c", "b.i", "b.c"))
+    run = lambda n: k.substr(i, n) == F.repeat(c, n)  # noqa: E731  # c may as well have been taken out n places later
+    between = k.substr(j - 1, F.lit(1))
+    # a letter more (i = 0), another letter at one place, or c and the letter it passed: that pair also meets with the other one taken out
+    near = (i == 0) | (i == j) | run(j - i) | ((c == e) & (c < between) & run(j - 1 - i))
+    pairs = d.alias("a").hint("merge").join(d.alias("b").hint("merge"), (k == F.col("b.k")) & ((i < j) | ((i == j) & (c < e))) & near)
+    whole = lambda i, c: F.when(i == 0, k).otherwise(F.concat(k.substr(F.lit(1), i - 1), c, k.substr(i, F.length(k))))
+    return _ordered(pairs.select(whole(i, c).alias("x"), whole(j, e).alias("y"))).unionByName(_long_pairs(words))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("term"), F.greatest("x", "y").alias("other"))
 
 
-def one_edit_pairs(vocabulary: DataFrame) -> DataFrame:
-    """(term, other), term < other: words of vocabulary() one edit apart, whatever their letters and however rare. Of words
-    beyond 24 letters, which have no deletes there, they are made here."""
-    word = F.when(F.size("deletes") > 0, F.col("deletes")).otherwise(F.array_distinct(tx.deletes1(F.col("term"))))
-    d = vocabulary.select("term", F.explode(word).alias("k"))
-    pairs = d.join(d.select(F.col("term").alias("other"), "k"), "k").where("term < other").select("term", "other").distinct()
-    return pairs.where(udfs.osa(F.col("term"), F.col("other"), 1) == 1)
+def _apart(x: Column, y: Column) -> Column:
+    """Whether two different words are one edit apart: what is left between their common head and tail tells, in any length."""
+
+    def one(a: str, b: str) -> bool:
+        n, k = min(len(a), len(b)), 0
+        while k < n and a[k] == b[k]:
+            k += 1
+        a, b = a[k:], b[k:]
+        return abs(len(a) - len(b)) < 2 and (a[1:] == b[1:] or a[1:] == b or a == b[1:] or (a[:2] == b[1::-1] and a[2:] == b[2:]))
+
+    ready()
+    return F.pandas_udf(lambda p, q: pd.Series([one(a, b) for a, b in zip(p, q, strict=True)], dtype=bool), "boolean")(x, y)
+
+
+def _long_pairs(words: DataFrame) -> DataFrame:
+    """one_edit_pairs() with a word beyond LONG letters: those with a common hash among their delete-one forms are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = 0x9E3779B97F4A7C15
+        for batch in batches:
+            for id, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                letters = np.frombuffer(term.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                powers = np.cumprod(np.append(np.uint64(1), np.full(len(letters) - 1, base, np.uint64)), dtype=np.uint64)
+                sums = np.append(np.uint64(0), np.cumsum(letters * powers, dtype=np.uint64))
+                # all modulo 2 ** 64: what comes after the letter taken out moves one power down
+                forms = np.unique(np.append(sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(pow(base, -1, 1 << 64)), sums[-1])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(forms), id)), pa.array(forms)], names=["id", "h"])
+
+    ready()
+    long = words.where(F.length("term") >= LONG).select(F.xxhash64("term").alias("id"), "term")  # words of LONG letters meet those of one more
+    d = long.mapInArrow(run, "id long, h long")
+    met = d.alias("a").hint("merge").join(d.alias("b").hint("merge"), (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("p"), F.col("b.id").alias("q")).distinct()
+    x, y = (long.select(F.col("id").alias(i), F.col("term").alias(t)) for i, t in (("p", "x"), ("q", "y")))
+    both = met.join(x, "p").join(y, "q").where(F.greatest(F.length("x"), F.length("y")) > LONG)
+    return _ordered(both.where(_apart(F.col("x"), F.col("y"))))
 
 
 def _grams(c: str, sizes: tuple[int, ...]) -> Column:

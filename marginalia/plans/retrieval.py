@@ -307,4 +307,4 @@ select term, other from x where case when length(term) = length(other) then len(
  when length(other) = length(term) + 1 then list_contains(list_transform(generate_series(1, length(other)), lambda i: substring(other, 1, i - 1) || substring(other, i + 1)), term) else false end""")
 def typo_pairs(spark, sf):
     """The words one edit apart, over the whole vocabulary: rare words, which typos are, words of any script."""
-    return ix.one_edit_pairs(vault(spark, sf).vocabulary)
+    return ix.one_edit_pairs(vault(spark, sf).words)
