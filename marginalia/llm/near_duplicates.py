@@ -2,12 +2,16 @@
 
 Exact: nothing is sampled and no link is lost. The steps:
 
-1. Each text becomes its set of hashed word shingles, its size and a signature of 512 bits (each shingle sets one).
-   Texts with equal sets form a class; only one of them goes on.
-2. The forest: a text enters it once for each of its rare tokens (shingles). With tokens ordered from the rarest, two sets
+1. Each text becomes its set of hashed word shingles. Texts with equal sets form a class; only one of them goes on. Sets are
+   many times the size of their texts and don't compress: they are neither written nor sent, but made anew from the texts.
+2. In how many texts a token (shingle) stands is counted by the first bits of its hash, some five more than it takes to
+   number all tokens; what is sent are the sorted differences, compressed. Tokens that agree in them count as one: their
+   count is too high, alike in all texts, which costs entries and loses nothing. Each task looks its texts' tokens up.
+   The forest: a text enters it once for each of its rare tokens. With tokens ordered from the rarest, two sets
    with similarity t share one among the first n - ceil(t n) + 1 of each; tokens of one text only meet nobody, and a text
-   whose shared tokens are fewer than t n enters nowhere. The entries, in token order, are cut into trees of some `TREE`
-   entries, between two tokens.
+   whose shared tokens are fewer than t n enters nowhere. A text travels once to each partition that has some of its
+   tokens, with a signature of BITS bits (each shared token sets one). There the entries, in token order, are cut into
+   trees of some `TREE` entries, between two tokens.
 3. Each tree is bulk-loaded with a fan-out of `FAN`. A node holds the OR of its entries' token bitmaps and of their
    signatures, the range of their sizes, the largest number of shingles that share bits and the largest number of tokens
    that come after an entry's own. The dual traversal of a tree with itself goes down from pairs of nodes to pairs of
@@ -15,7 +19,7 @@ Exact: nothing is sampled and no link is lost. The steps:
    overlap, by common bits and by the tokens left, is too small. All candidates come from it.
 4. A token with more than `BLOCK` entries is cut into blocks by size, each a tree; pairs of their roots are taken in Spark
    and the traversal goes on from each pair that is left in a task of its own. So no task holds a whole hot group.
-5. What is left is checked exactly on the two sets.
+5. What is left is checked exactly on the two texts' sets.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
 from marginalia.session import materialize, ready
 
-WORDS, BITS, BLOCK, TREE, FAN, FRONT = 5, 512, 8192, 4096, 8, 8192
+WORDS, BITS, BLOCK, TREE, FAN, FRONT = 5, 256, 8192, 4096, 8, 8192
+HELD = 4_000_000  # tokens that a task has in hand at a time
 _WORD = re.compile(r"[^\W_]+")
 _LANES = BITS // 64
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -67,44 +74,153 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def shingle_sets(texts: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """(key, n, same, set, sig) of each text with at least `words` words; same is equal for equal sets."""
+def heads(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, n, same, th) of each text (key, text, th) with at least `words` words; same is equal for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for batch in batches:
-            keys, sets = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(t, words, seen)
-                if len(s):
-                    keys.append(k)
-                    sets.append(s)
-            if keys:
-                n = [len(s) for s in sets]
-                flat = pa.array(np.concatenate(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys, batch.schema.field(0).type), pa.array(n, pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
-                ], names=["key", "n", "same", "set", "sig"])
+            sets = [shingles(t, words, seen) for t in batch.column(1).to_pylist()]
+            some = pa.array([k for k, x in enumerate(sets) if len(x)], pa.int64())
+            if len(some):
+                sets = [x for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(map(len, sets), pa.int32()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), batch.column(2).take(some)], names=["key", "n", "same", "th"])
 
     ready()
-    kind = texts.schema[key].dataType.simpleString()
-    some = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return some.mapInArrow(run, f"key {kind}, n int, same binary, set array<bigint>, sig binary")
+    return texts.select("key", "text", "th").mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, n int, same binary, th long")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, the lowest first; _unpacked() has them back."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Keys and sets of some texts (key, text) at a time, with some HELD tokens; each text has a set that isn't empty."""
+    seen: dict[str, int] = {}
+    keys, sets, held = [], [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            keys.append(part.column(0))
+            sets += [shingles(t, words, seen) for t in part.column(1).to_pylist()]
+            held += sum(map(len, sets[-part.num_rows :]))
+            if held >= HELD:
+                yield pa.concat_arrays(keys), sets
+                keys, sets, held = [], [], 0
+    if sets:
+        yield pa.concat_arrays(keys), sets
+
+
+def shared_tokens(texts: DataFrame, words: int, bits: int, cuts: int) -> DataFrame:
+    """(part, fp, df, most): the first bits of tokens that stand more than once, sorted, as differences, and how often they do;
+    2 ** cuts parts by the first of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _gathered(batches, words):
+            fp, k = np.unique(np.concatenate(sets).view(np.uint64) >> np.uint64(64 - bits), return_counts=True)
+            at = np.searchsorted(fp, np.arange(1, 1 << cuts, dtype=np.uint64) << np.uint64(bits - cuts))
+            for part, (x, y) in enumerate(zip(np.split(fp, at), np.split(k, at), strict=True)):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(np.diff(x, prepend=np.uint64(0)))]), pa.array([_packed(y)])], names=["part", "fp", "df"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for part, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault(part, []).append((x, y))
+        for part, pieces in got.items():
+            fp = np.concatenate([np.cumsum(_unpacked(x), dtype=np.uint64) for x, _ in pieces])
+            order = np.argsort(fp)
+            fp, k = fp[order], np.concatenate([_unpacked(y) for _, y in pieces])[order]
+            first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+            k = np.add.reduceat(k, first)
+            fp, k = fp[first][k > 1], k[k > 1]
+            if len(fp):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(np.diff(fp, prepend=np.uint64(0)))]), pa.array([_packed(k)]), pa.array([int(k.max())])], names=["part", "fp", "df", "most"])
+
+    ready()
+    pieces = texts.select("key", "text").mapInArrow(count, "part int, fp binary, df binary")
+    return pieces.repartition("part").mapInArrow(add, "part int, fp binary, df binary, most long")
+
+
+def _parts(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1, columns=["fp", "df"]):
+                for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield np.cumsum(_unpacked(x), dtype=np.uint64), _unpacked(y)
+
+
+def _entered(t: float, words: int, files: list[str], bits: int, buckets: int, hot: bool):
+    """A text's entries. hot: a row for each under a token that stands more than BLOCK times; else a row for each bucket, with the
+    entries under its other tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in _gathered(batches, words):
+            n = np.array([len(x) for x in sets])
+            flat, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            fp = flat.view(np.uint64) >> np.uint64(64 - bits)
+            order, df = np.argsort(fp), np.zeros(len(flat), np.int64)
+            fp = fp[order]
+            for known, k in _parts(files):
+                low, high = np.searchsorted(fp, known[0]), np.searchsorted(fp, known[-1], "right")
+                at = np.searchsorted(known, fp[low:high])
+                hit = known[at] == fp[low:high]
+                df[order[low:high][hit]] = k[at[hit]]
+            some = np.flatnonzero(df)
+            some = some[np.lexsort((flat[some], df[some], text[some]))]  # each text's shared tokens, from the rarest
+            flat, df, text = flat[some], df[some], text[some]
+            shared = np.bincount(text, minlength=len(sets))
+            begin = np.cumsum(shared) - shared
+            at = np.arange(len(text)) - begin[text]
+            # its rarest tokens, up to where another text of its size or less may share the first one
+            long = shared - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+            sig = [signature(flat[b : b + m]).tobytes() if x > 0 else b"" for b, m, x in zip(begin, shared, long, strict=True)]
+            keep = np.flatnonzero((at < long[text]) & ((df > BLOCK) == hot))
+            flat, text, rest = flat[keep], text[keep], (shared[text] - at - 1)[keep].astype(np.int32)
+            sh = flat if hot else flat.astype(np.int32)  # half of the hash: tokens that agree in it cost a look
+            if hot:
+                first = np.arange(len(text))
+            else:
+                bucket = (sh.view(np.uint32) >> np.uint32(8)) % np.uint32(buckets)
+                order = np.lexsort((bucket, text))
+                sh, text, rest, bucket = sh[order], text[order], rest[order], bucket[order].astype(np.int32)
+                first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])])[: len(text)])
+            if not len(first):
+                continue
+            whose, ends = text[first], pa.array(np.append(first, len(text)), pa.int32())
+            one = [keys.take(pa.array(whose)), pa.array(n[whose], pa.int32()), pa.array(shared[whose], pa.int32()), pa.array([sig[x] for x in whose], pa.binary())]
+            more = [pa.array(sh), pa.array(rest)] if hot else [pa.ListArray.from_arrays(ends, pa.array(sh)), pa.ListArray.from_arrays(ends, pa.array(rest)), pa.array(bucket[first])]
+            yield from pa.Table.from_arrays(one + more, names=["key", "n", "shared", "sig", "sh", "rest", "bucket"][: 4 + len(more)]).to_batches(10_000)
+
+    return run
+
+
+def _lanes(sig: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint64).reshape(-1, _LANES)
 
 
 class _Texts:
     """Columns of some entries of texts under tokens: key, size, how many of the text's shared tokens come after the
-    entry's, signature."""
+    entry's, signature, how many tokens the signature is of (all, if not given)."""
 
-    def __init__(self, key, n, rest, sig):
+    def __init__(self, key, n, rest, sig, shared=None):
         self.key, self.n, self.rest, self.sig = key, n, rest, sig
-        self.excess = n - np.bitwise_count(sig).sum(1).astype(np.int64)
+        self.excess = (n if shared is None else shared) - np.bitwise_count(sig).sum(1).astype(np.int64)
 
     @classmethod
-    def of(cls, key: pa.Array, n: pa.Array, rest: pa.Array, sig: pa.Array) -> _Texts:
-        bits = np.frombuffer(b"".join(sig.to_pylist()), np.uint64).reshape(-1, _LANES)
-        return cls(key.to_numpy(zero_copy_only=False), *(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n, rest)), bits)
+    def of(cls, key: pa.Array, n: pa.Array, rest: pa.Array, sig: pa.Array, shared: pa.Array) -> _Texts:
+        n, rest, shared = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n, rest, shared))
+        return cls(key.to_numpy(zero_copy_only=False), n, rest, _lanes(sig), shared)
 
 
 class _Tree:
@@ -173,8 +289,35 @@ def traverse(x: _Texts, a: _Tree, b: _Tree | None, t: float, counts: dict[str, i
             stack.append((level - 1, down[keep], right[keep]))
 
 
-def _trees(t: float):
-    """Candidate pairs of entries sorted by (sh, pb, qb): pb < 0 for tokens that share trees, else two blocks of a hot token."""
+def _inside(t: float):
+    """Candidate pairs of a partition's entries: trees that whole tokens share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        rows = pa.Table.from_batches(got).combine_chunks()
+        key, n, shared, sig, sh, rest = (rows.column(c).chunk(0) for c in ("key", "n", "shared", "sig", "sh", "rest"))
+        kind, text = key.type, np.repeat(np.arange(len(key)), sh.value_lengths().to_numpy())
+        key, n, shared, sig, sh, rest = key.to_numpy(zero_copy_only=False), n.to_numpy().astype(np.int64), shared.to_numpy().astype(np.int64), _lanes(sig), sh.flatten().to_numpy(), rest.flatten().to_numpy()
+        order = np.lexsort((n[text], sh))
+        sh = sh[order]
+        new = np.concatenate([[True], sh[1:] != sh[:-1]])
+        meet = ~(new & np.append(new[1:], True))  # the others are alone under their token
+        order, new = order[meet], new[meet]
+        text, rest, token = text[order], rest[order].astype(np.int64), np.cumsum(new)
+        first = np.flatnonzero(new)
+        cuts = first[np.flatnonzero(np.diff(first // TREE, prepend=-1))]
+        for low, high in zip(cuts, np.append(cuts[1:], len(text)), strict=True):
+            e = text[low:high]
+            x = _Texts(key[e], n[e], rest[low:high], sig[e], shared[e])
+            yield from _emit(x, traverse(x, _Tree(x, np.arange(high - low), token[low:high] - token[low]), None, t), kind)
+
+    return run
+
+
+def _across(t: float):
+    """Candidate pairs of entries sorted by (sh, pb, qb), two blocks of a hot token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -201,16 +344,10 @@ def _trees(t: float):
 
     def cells(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """cuts: where the cells of rows begin, and their end."""
-        x = _Texts.of(*(rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("key", "n", "rest", "sig")))
+        x = _Texts.of(*(rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("key", "n", "rest", "sig", "shared")))
         pb, qb, side = (rows.column(c).to_numpy() for c in ("pb", "qb", "side"))
         kind = rows.schema.field("key").type
-        token = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        cold = np.flatnonzero(pb[cuts[:-1]] < 0)
-        tree = (cuts[:-1][cold] - (cuts[cold[0]] if len(cold) else 0)) // TREE  # cells of one tree, by where they begin
-        for group in np.split(cold, np.flatnonzero(np.diff(tree)) + 1) if len(cold) else ():
-            entries = np.concatenate([np.arange(cuts[c], cuts[c + 1]) for c in group])
-            yield from _emit(x, traverse(x, _Tree(x, entries, token[entries] - token[entries[0]]), None, t), kind)
-        for c in np.flatnonzero(pb[cuts[:-1]] >= 0):
+        for c in range(len(cuts) - 1):
             entries = np.arange(cuts[c], cuts[c + 1])
             entries = entries[np.lexsort((x.sig[entries, 0], x.n[entries]))]
             one = lambda e: _Tree(x, e, np.zeros(len(e), np.int64))
@@ -230,58 +367,81 @@ def _emit(x: _Texts, pairs: Iterator[tuple[np.ndarray, np.ndarray]], kind: pa.Da
 
 
 def _bits(sig: str) -> list:
-    """A signature's 512 bits as eight longs, for OR and AND in Spark."""
+    """A signature's bits as longs, for OR and AND in Spark."""
     return [F.conv(F.hex(F.substring(sig, 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(_LANES)]
 
 
-def similar_classes(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, similarity) for the keys of different sets with similarity >= t; sets: (key, n, set, sig), one row a set."""
+def _similarities(t: float, words: int):
+    """(a, b, similarity) of pairs (a, b, one, two) of texts, where it is t or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            sets: list[dict] = [{}, {}]
+            at, values = [], []
+            for i, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                for k, s, side in ((a, x, sets[0]), (b, y, sets[1])):
+                    if k not in side:
+                        side[k] = shingles(s, words, seen)
+                p, q = sets[0][a], sets[1][b]
+                o = len(np.intersect1d(p, q, assume_unique=True))
+                if o / (len(p) + len(q) - o) >= t - 1e-12:
+                    at.append(i)
+                    values.append(o / (len(p) + len(q) - o))
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(values)], names=["a", "b", "similarity"])
+
+    return run
+
+
+def similar_classes(texts: DataFrame, t: float, words: int = WORDS) -> DataFrame:
+    """(a, b, similarity) for the keys of different sets with similarity >= t; texts: (key, n, text), one row a set."""
     ready()
-    kind = sets.schema["key"].dataType.simpleString()
-    each = sets.select("key", F.explode("set").alias("sh"))
-    df = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
-    # of each text, its shingles that others have too, from the rarest; the others come first and meet nobody
-    met = each.join(df, "sh").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("own"))
-    met = met.join(sets.select("key", "n", "sig"), "key")  # one row a text, before its prefix is unfolded
-    long = F.size("own") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1
-    # one row a text: its rarest tokens, up to where another text of its size or less may share the first one
-    prefix = materialize(met.where(long > 0).select("key", "n", "sig", F.size("own").alias("shared"), F.slice("own", F.lit(1), long.cast("int")).alias("own")), "prefixes")
-    posts = prefix.select("key", "n", "sig", "shared", F.posexplode("own").alias("at", "x")).select(F.col("x.sh").alias("sh"), F.col("x.df").alias("df"), "key", "n", (F.col("shared") - F.col("at") - 1).alias("rest"), "sig")
-    entry = ["key", "n", "rest", "sig"]
-    cold = posts.where(F.col("df") <= BLOCK).select("sh", F.lit(-1).alias("pb"), F.lit(-1).alias("qb"), F.lit(0).alias("side"), *entry)
+    kind = texts.schema["key"].dataType.simpleString()
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits, cuts = min(60, max(32, (texts.agg(F.sum("n")).first()[0] or 0).bit_length() + 5)), min(20, parts.bit_length())
+    shared = materialize(shared_tokens(texts, words, bits, cuts), "shared-tokens")
+    most, files = shared.agg(F.max("most")).first()[0] or 0, sorted(shared.inputFiles())
+    entered = lambda hot, out: texts.select("key", "text").mapInArrow(_entered(t, words, files, bits, parts, hot), out)
+    out = f"a {kind}, b {kind}"
+    maybe = entered(False, f"key {kind}, n int, shared int, sig binary, sh array<int>, rest array<int>, bucket int").repartition(parts, "bucket").mapInArrow(_inside(t), out)
+    if most > BLOCK:
+        maybe = maybe.unionByName(_hot(entered(True, f"key {kind}, n int, shared int, sig binary, sh long, rest int"), t, out))
+    one, two = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("two"))
+    both = maybe.where("a < b").distinct().join(one, "a").join(two, "b").select("a", "b", "one", "two")
+    return both.mapInArrow(_similarities(t, words), f"{out}, similarity double")
+
+
+def _hot(hot: DataFrame, t: float, out: str) -> DataFrame:
+    """Candidate pairs from the entries (sh, key, n, shared, rest, sig) under hot tokens."""
+    entry = ["key", "n", "shared", "rest", "sig"]
     # a hot token's blocks: by size class, and by the key where a class has more than BLOCK entries
     grade = F.floor(F.log("n") / F.lit(log(4 / 3))).cast("int")
-    hot = posts.where(F.col("df") > BLOCK).withColumn("grade", grade)
+    hot = hot.withColumn("grade", grade)
     room = hot.groupBy("sh", "grade").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     hot = hot.join(room, ["sh", "grade"]).withColumn("block", F.col("grade") * 65_536 + F.pmod(F.xxhash64("key"), "parts").cast("int")).select("sh", "block", *entry)
-    nodes = hot.select("sh", "block", "n", *_bits("sig")).groupBy("sh", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - sum(F.bit_count(F.col(f"b{i}")) for i in range(_LANES))).alias("excess"), *(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LANES)))
+    nodes = hot.select("sh", "block", "n", "shared", *_bits("sig")).groupBy("sh", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("shared") - sum(F.bit_count(F.col(f"b{i}")) for i in range(_LANES))).alias("excess"), *(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LANES)))
     p, q = nodes.alias("p"), nodes.alias("q")
     common = sum(F.bit_count(F.col(f"p.b{i}").bitwiseAND(F.col(f"q.b{i}"))) for i in range(_LANES)) + F.least("p.excess", "q.excess")
     fits = (F.col("p.high") >= t * F.col("q.low")) & (F.col("q.high") >= t * F.col("p.low")) & (common >= t / (1 + t) * (F.col("p.low") + F.col("q.low")) - 1e-9)
     cells = p.join(q, (F.col("p.sh") == F.col("q.sh")) & (F.col("p.block") <= F.col("q.block")) & fits).select(F.col("p.sh").alias("sh"), F.col("p.block").alias("pb"), F.col("q.block").alias("qb"))
     sides = cells.select("*", F.col("pb").alias("block"), F.lit(0).alias("side")).unionByName(cells.where("pb < qb").select("*", F.col("qb").alias("block"), F.lit(1).alias("side")))
     crowd = sides.join(hot, ["sh", "block"]).select("sh", "pb", "qb", "side", *entry)
-    out = f"a {kind}, b {kind}"
-    inside = cold.repartition("sh").sortWithinPartitions("sh", "n").mapInArrow(_trees(t), out)
-    across = crowd.repartition("sh", "pb", "qb").sortWithinPartitions("sh", "pb", "qb").mapInArrow(_trees(t), out)
-    maybe = inside.unionByName(across).distinct()
-    one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    both = maybe.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
-    return both.select("a", "b", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+    return crowd.repartition("sh", "pb", "qb").sortWithinPartitions("sh", "pb", "qb").mapInArrow(_across(t), out)
 
 
 def classes(texts: DataFrame, key: str = "note_id", text: str = "body", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(sets, members): one row per distinct shingle set, under the least key that has it, and (class, key) of every text.
+    """(texts, members): one row (key, n, text) per distinct shingle set, under the least key that has it, and (class, key) of
+    every text.
 
     Null texts and those under `words` words are in no class. Rows that repeat a key count once: of texts under one
     key the first in order of set and size stands."""
-    sets = materialize(shingle_sets(texts, key, text, words), "shingle-sets")
-    once = sets.groupBy("key").agg(F.min(F.struct("same", "n")).alias("x")).select("key", "x.same")
-    members = once.join(once.groupBy("same").agg(F.min("key").alias("class")), "same").select("class", "key", "same")
-    reps = members.where(F.col("class") == F.col("key")).select("key", "same")
-    one = sets.join(reps, ["key", "same"], "left_semi").dropDuplicates(["key"]).drop("same")
-    return materialize(one, "class-sets"), materialize(members.select("class", "key"), "class-members")
+    some = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    once = materialize(heads(some, words), "heads").groupBy("key").agg(F.min(F.struct("same", "n", "th")).alias("x")).select("key", "x.*")
+    members = once.join(once.groupBy("same").agg(F.min("key").alias("class")), "same").select("class", "key", "n", "th")
+    reps = members.where(F.col("class") == F.col("key")).select("key", "n", "th")
+    one = some.join(reps, ["key", "th"]).dropDuplicates(["key", "th"]).select("key", "n", "text")
+    return materialize(one, "class-texts"), materialize(members.select("class", "key"), "class-members")
 
 
 def near_duplicates(texts: DataFrame, key: str = "note_id", text: str = "body", t: float = 0.5, words: int = WORDS, expand: int = 256) -> DataFrame:
@@ -290,11 +450,11 @@ def near_duplicates(texts: DataFrame, key: str = "note_id", text: str = "body",
     A class of up to `expand` texts with equal sets gives all its pairs, within and with other classes. Of a larger one
     each text is linked to the class's least key, and only that key to other classes; together with the membership this
     is the whole relation without its square. Empty input gives no rows; other columns are not read."""
-    sets, members = classes(texts, key, text, words)
+    one, members = classes(texts, key, text, words)
     size = members.groupBy("class").agg(F.count("*").alias("size"))
     large = size.where(F.col("size") > expand).select("class")
     acting = members.join(large, "class", "left_anti").unionByName(large.select("class", F.col("class").alias("key")))
-    pairs = similar_classes(sets, t)
+    pairs = similar_classes(one, t, words)
     left, right = acting.select(F.col("class").alias("a"), F.col("key").alias("ka")), acting.select(F.col("class").alias("b"), F.col("key").alias("kb"))
     other = pairs.join(left, "a").join(right, "b").select("ka", "kb", "similarity")
     some = size.where((F.col("size") > 1) & (F.col("size") <= expand)).select("class")
@@ -309,8 +469,8 @@ def groups(texts: DataFrame, key: str = "note_id", text: str = "body", t: float
     shingle set, group the least key of the connected component, n_links the number of other classes it is linked to.
 
     Links run between classes, so that copies, however many, add rows and no links."""
-    sets, members = classes(texts, key, text, words)
-    pairs = materialize(similar_classes(sets, t), "class-pairs")
+    one, members = classes(texts, key, text, words)
+    pairs = materialize(similar_classes(one, t, words), "class-pairs")
     both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
     links = both.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("n_links"))
     found = components(pairs).select(F.col("key").alias("class"), "group")

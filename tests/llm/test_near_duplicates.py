@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -90,6 +91,28 @@ def test_copies(spark):
     assert nd.near_duplicates(df.where("false")).count() == 0 and nd.groups(df.where("false")).count() == 0
 
 
+def test_sets_are_not_written(spark, monkeypatch):
+    """What is written on the way is less than eight bytes a token, which the sets alone would take."""
+    written, write = [], nd.materialize
+    monkeypatch.setattr(nd, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    rows = make(7, 1500)
+    got = sorted((r.a, r.b) for r in nd.near_duplicates(spark.createDataFrame(rows, "note_id long, body string")).collect())
+    assert got == brute(rows, 0.5)
+    tokens = sum(len(nd.shingles(text, 5, {})) for _, text in rows)
+    assert sum(Path(f.removeprefix("file:")).stat().st_size for df in written for f in df.inputFiles()) < 5 * tokens
+
+
+def test_tokens_in_many_pieces(spark, monkeypatch):
+    """Tokens counted and looked up some texts at a time, hot ones among them."""
+    monkeypatch.setattr(nd, "HELD", 500)
+    monkeypatch.setattr(nd, "BLOCK", 20)
+    monkeypatch.setattr(nd, "TREE", 16)
+    rows = make(8, 400)
+    assert sorted((r.a, r.b) for r in nd.near_duplicates(spark.createDataFrame(rows, "note_id long, body string")).collect()) == brute(rows, 0.5)
+    x = np.random.default_rng(1).integers(0, 1 << 60, 1000).astype(np.uint64)
+    assert (nd._unpacked(nd._packed(x)) == x).all() and len(nd._unpacked(nd._packed(x[:0]))) == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.key: r.group for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
