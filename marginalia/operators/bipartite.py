@@ -1,8 +1,10 @@
 """Relatedness over a bipartite graph, where pairs outnumber edges: no pair is shuffled, only lists of neighbours are.
 
 Each side becomes a written table of lists of the other side's numbers. A task takes some nodes of a side, reads the
-other side's lists from the shared folder and adds up its own nodes' pairs, a block of them at a time. What goes on are
-each node's best. So edges travel three times and pairs never."""
+other side's lists from the shared folder and adds up its own nodes' pairs, a block of them at a time. A node with more pairs
+than a block has is added up alone, some of its links at a time, into one sum for each node of its side; so hubs cost time,
+which grows as the square of their links, and no memory. What goes on are each node's best. So edges travel three times and
+pairs never."""
 
 from __future__ import annotations
 
@@ -90,16 +92,15 @@ def _rounded(score: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(top: int, most_degree: int, mine: list[str], others: list[str], lists: list[str], pairs: int, held: int):
+def _best(top: int, most_degree: int | None, mine: list[str], others: list[str], lists: list[str], pairs: int, held: int):
     """The best of each node (n, near) of a side. mine, others: files of the nodes of its side and of the other one;
     lists: files of the other side's lists."""
-    bits = max(1, most_degree.bit_length())
-    weight = 1 / np.log(np.maximum(np.arange(1 << bits), 2))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _kept.get("lists") != lists:
             _kept.clear()
             _kept.update(lists=lists, mine=_nodes(mine), degree=_nodes(others)[1])
+            some, _kept["class"] = np.unique(_kept["degree"], return_inverse=True)  # their number is the root of twice the links at most
+            _kept["weight"] = 1 / np.log(np.maximum(some, 2))
             parts = _lists(lists, len(_kept["degree"]), held)
             first = next(parts, None)
             whole = next(parts, None) is None
@@ -109,20 +110,41 @@ def _best(top: int, most_degree: int, mine: list[str], others: list[str], lists:
             near = batch.column(1)
             size = near.value_lengths().to_numpy().astype(np.int64)
             n, via, degree = batch.column(0).to_numpy(), near.flatten().to_numpy(), _kept["degree"]
-            steps = np.where(degree[via] <= most_degree, degree[via], 0)  # pairs through each link; a node has as many links as its degree at most
+            steps = degree[via]  # pairs through each link; a node has as many links as its degree at most
+            if most_degree is not None:
+                steps = np.where(steps <= most_degree, steps, 0)
             row = np.repeat(np.arange(len(n)), size)
-            upto = np.cumsum(np.bincount(row, steps, len(n)))
-            cuts = np.append(np.flatnonzero(np.diff(upto // pairs, prepend=-1)), len(n))
+            each = np.bincount(row, steps, len(n))
+            alone = np.flatnonzero(each > pairs)
+            cuts = np.union1d(np.flatnonzero(np.diff(np.cumsum(each) // pairs, prepend=-1)), np.concatenate([alone, alone + 1, [len(n)]])).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(size)])
             for a, b in zip(cuts, cuts[1:], strict=False):
                 s = slice(ends[a], ends[b])
                 used = steps[s] > 0
                 if used.any():
-                    yield from block(n[a:b], row[s][used] - a, via[s][used])
+                    yield from single(n[a:b], via[s][used]) if each[a] > pairs else block(n[a:b], row[s][used] - a, via[s][used])
+
+    def single(n: np.ndarray, via: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One node with many pairs."""
+        common, both = np.zeros(len(_kept["mine"][0]), np.int64), np.zeros(len(_kept["mine"][0]))
+        via = via[np.argsort(_kept["degree"][via], kind="stable")]
+        for start, end, links in _kept["parts"] or _lists(lists, len(_kept["degree"]), held):
+            k = end[via] - start[via]
+            cuts = np.append(np.flatnonzero(np.diff(np.cumsum(k) // pairs, prepend=-1)), len(via))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                v, m = via[a:b], k[a:b]
+                at = np.repeat(start[v] - (np.cumsum(m) - m), m)
+                at += np.arange(len(at))
+                other = links[at]
+                del at
+                np.add.at(common, other, 1)
+                np.add.at(both, other, np.repeat(_kept["weight"][_kept["class"][v]], m))
+        other = np.flatnonzero(common)
+        yield from scored(n, np.zeros(len(other), np.int64), other, common[other], both[other])
 
     def block(n: np.ndarray, row: np.ndarray, via: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, deg = _kept["mine"]
-        space = len(key).bit_length() + bits
+        bits = max(1, (len(_kept["weight"]) - 1).bit_length())
+        space = len(_kept["mine"][0]).bit_length() + bits
         found = []
         for start, end, links in _kept["parts"] or _lists(lists, len(_kept["degree"]), held):
             k = end[via] - start[via]
@@ -131,7 +153,7 @@ def _best(top: int, most_degree: int, mine: list[str], others: list[str], lists:
             code = links[at].astype(np.int64)
             del at
             code <<= bits
-            code |= np.repeat(row << space | _kept["degree"][via], k)
+            code |= np.repeat(row << space | _kept["class"][via], k)
             found.append(code)
         code = np.concatenate(found)
         del found
@@ -139,10 +161,14 @@ def _best(top: int, most_degree: int, mine: list[str], others: list[str], lists:
         pair = code >> bits
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         common = np.diff(np.append(first, len(code)))
-        both = np.add.reduceat(weight[code & ((1 << bits) - 1)], first)
+        both = np.add.reduceat(_kept["weight"][code & ((1 << bits) - 1)], first)
         pair = pair[first]
         del code
-        row, other = pair >> (space - bits), pair & ((1 << (space - bits)) - 1)
+        yield from scored(n, pair >> (space - bits), pair & ((1 << (space - bits)) - 1), common, both)
+
+    def scored(n: np.ndarray, row: np.ndarray, other: np.ndarray, common: np.ndarray, both: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The best of pairs of n[row] and other, sorted by row, with the number and weight of what they share."""
+        key, deg = _kept["mine"]
         keep = n[row] != other
         row, other, common, both = row[keep], other[keep], common[keep], both[keep]
         if not len(row):
@@ -172,11 +198,12 @@ def _best(top: int, most_degree: int, mine: list[str], others: list[str], lists:
     return run
 
 
-def related(edges: DataFrame, names: tuple[str, str], top: int = 8, most_degree: int = 150, pairs: int = PAIRS, held: int = HELD) -> DataFrame:
+def related(edges: DataFrame, names: tuple[str, str], top: int = 8, most_degree: int | None = None, pairs: int = PAIRS, held: int = HELD) -> DataFrame:
     """(a, b, nth, score): the `top` nodes of its own side with the largest graph.link_relatedness() of each, equal ones (to nine
     places) in order of their names, which are a side's letter and the key.
 
-    edges: (left long, right long), repeats count once. A null is nobody, but counts in the degree of what it is linked to."""
+    edges: (left long, right long), repeats count once. A null is nobody, but counts in the degree of what it is linked to.
+    most_degree: nodes with more links say nothing about those they link; None: all do."""
     ready()
     lists = edges.groupBy(F.col("left").alias("key")).agg(F.collect_set("right").alias("near"), F.max(F.col("right").isNull().cast("int")).alias("void"))
     one, kind = _numbered(lists.select("key", "near", (F.size("near") + F.col("void")).cast("long").alias("deg")), "left-lists")

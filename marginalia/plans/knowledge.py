@@ -75,7 +75,7 @@ def link_relatedness(spark, sf):
 
 
 @query("""with e as (select distinct 'c' || o_custkey c, 'p' || l_partkey p from lineitem join orders on l_orderkey = o_orderkey), adj as (select c src, p dst from e union all select p, c from e), dg as (select src, count(*) deg from adj group by src),
-vi as (select adj.dst v, d.deg d, adj.src from adj join dg d on d.src = adj.dst where d.deg <= 150), pr as (select x.src a, y.src b, sum(1 / ln(greatest(x.d, 2))) aa, count(*) k from vi x join vi y using (v) where x.src < y.src group by all),
+vi as (select adj.dst v, d.deg d, adj.src from adj join dg d on d.src = adj.dst), pr as (select x.src a, y.src b, sum(1 / ln(greatest(x.d, 2))) aa, count(*) k from vi x join vi y using (v) where x.src < y.src group by all),
 sc as (select a, b, 0.5 * aa + 3 * k / (da.deg + db.deg - k) score from pr join dg da on da.src = a join dg db on db.src = b), bw as (select a, b, score from sc union all select b, a, score from sc),
 rk as (select *, row_number() over (partition by a order by round(score, 9) desc, b) nth from bw) select a, b, nth, round(score, 6) score from rk where nth <= 8""")
 def copurchase_related(spark, sf):
