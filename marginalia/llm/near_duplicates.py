@@ -3,10 +3,13 @@
 Exact: nothing is sampled and no link is lost. The steps:
 
 1. Each text becomes its set of hashed word shingles. Texts with equal sets form a class; only one of them goes on. Sets are
-   many times the size of their texts and don't compress: they are neither written nor sent, but made anew from the texts.
+   many times the size of their texts and don't compress: they are neither written nor sent, but made anew from the texts,
+   many texts at once.
 2. In how many texts a token (shingle) stands is counted by the first bits of its hash, some five more than it takes to
    number all tokens; what is sent are the sorted differences, compressed. Tokens that agree in them count as one: their
-   count is too high, alike in all texts, which costs entries and loses nothing. Each task looks its texts' tokens up.
+   count is too high, alike in all texts, which costs entries and loses nothing. Some HELD tokens of whole texts are a piece;
+   where a piece's tokens are counted, their counts are written down for it, in its order. So a task that makes the piece
+   anew reads its own counts and no others.
    The forest: a text enters it once for each of its rare tokens. With tokens ordered from the rarest, two sets
    with similarity t share one among the first n - ceil(t n) + 1 of each; tokens of one text only meet nobody, and a text
    whose shared tokens are fewer than t n enters nowhere. A text travels once to each partition that has some of its
@@ -24,8 +27,8 @@ Exact: nothing is sampled and no link is lost. The steps:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -41,46 +44,112 @@ from marginalia.session import materialize, ready
 
 WORDS, BITS, BLOCK, TREE, FAN, FRONT = 5, 256, 8192, 4096, 8, 8192
 HELD = 4_000_000  # tokens that a task has in hand at a time
-_WORD = re.compile(r"[^\W_]+")
+CHUNK = 1 << 17  # characters that are looked at together
+_BASE = 0x9E3779B97F4A7C15
 _LANES = BITS // 64
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def _hashed(words: list[str], seen: dict[str, int]) -> np.ndarray:
-    if len(seen) > 500_000:
-        seen.clear()
-    for w in set(words).difference(seen):
-        seen[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+@lru_cache(3)
+def _letters(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point below most: a random number for its lower case, and whether that is a letter or digit."""
+    low = [chr(c).lower() for c in range(most)]
+    x = np.array([ord(c[0]) for c in low], np.uint64) + np.uint64(1)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27), (_BASE, 31)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(32)), np.array([c[0].isalnum() for c in low])
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _words(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, one after the other, and where each text's begin, with the end; bounds: those of
+    the texts among the code points."""
+    value, inner = _letters(next(x for x in (0x3000, 0x20000, 0x110000) if codes.max() < x))
+    word = inner[codes]
+    if len(codes) > 4 * CHUNK and not word.all():  # a long text goes by parts, cut between words
+        gaps = np.flatnonzero(~word)
+        cuts = np.unique([0, *gaps[np.flatnonzero(np.diff(gaps // CHUNK, prepend=-1))], len(codes)])
+        if len(cuts) > 2:
+            got = [_words(codes[a:b], np.clip(bounds - a, 0, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return np.concatenate([h for h, _ in got]), sum(begin for _, begin in got)
+    start, last = word.copy(), word.copy()
+    start[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    at = bounds[(bounds > 0) & (bounds < len(codes))]
+    start[at] = word[at]
+    last[at - 1] = word[at - 1]
+    s, e = np.flatnonzero(start), np.flatnonzero(last) + 1
+    up, down = (x[: len(codes)] for x in (_powers(4 * CHUNK) if len(codes) <= 4 * CHUNK else _powers.__wrapped__(len(codes))))
+    upto = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(value[codes] * up, out=upto[1:])
+    h = (upto[e] - upto[s]) * down[s]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32)), np.searchsorted(s, bounds)
+
+
+def sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of `words` words: runs of letters and digits, in lower case."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    cuts = np.append(np.flatnonzero(np.diff((ends[:-1] - ends[0]) // CHUNK, prepend=-1)), len(texts))
+    out: list[np.ndarray] = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        codes, bounds = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        if len(codes) and codes.max() > 127:
+            bounds = bounds - np.append(0, np.cumsum((codes & 0xC0) == 0x80))[bounds]
+            codes = np.frombuffer(codes.tobytes().decode().encode("utf-32-le"), np.uint32)
+            if ((codes == 0x130) | (codes == 0x3A3)).any():  # their lower case is two characters, or depends on the next ones
+                low = [x.lower() for x in texts.slice(a, b - a).to_pylist()]
+                bounds = np.cumsum([0, *map(len, low)])
+                codes = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+        if not len(codes):
+            out += [np.empty(0, np.int64)] * (b - a)
+            continue
+        h, begin = _words(codes, bounds)
+        n = max(0, len(h) - words + 1)
+        x = np.zeros(n, np.uint64)
+        for k in range(words):
+            x = (x ^ (h[k : k + n] * _FACTORS[k % len(_FACTORS)])) * np.uint64(0x9FB21C651E98DF25)
+            x ^= x >> np.uint64(32)
+        x, spans = x.view(np.int64), [(i, max(i, j)) for i, j in zip(begin[:-1].tolist(), (begin[1:] - words + 1).tolist(), strict=True)]
+        for i, j in spans:
+            x[i:j].sort()
+        new = np.append(True, x[1:] != x[:-1])
+        new[begin[:-1][begin[:-1] < n]] = True
+        out += [x[i:j][new[i:j]] for i, j in spans]
+    return out
 
 
-def shingles(text: str, words: int, seen: dict[str, int]) -> np.ndarray:
-    """The sorted distinct hashes of a text's runs of `words` words: runs of letters and digits, in lower case."""
-    found = _WORD.findall(text.lower())
-    if len(found) < words:
-        return np.empty(0, np.int64)
-    h = _hashed(found, seen)
-    n = len(h) - words + 1
-    x = np.zeros(n, np.uint64)
-    for k in range(words):
-        x = (x ^ (h[k : k + n] * _FACTORS[k % len(_FACTORS)])) * np.uint64(0x9FB21C651E98DF25)
-        x ^= x >> np.uint64(32)
-    return np.unique(x.view(np.int64))
+def shingles(text: str, words: int, _=None) -> np.ndarray:
+    return sets_of(pa.array([text]), words)[0]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)] = True
-    return np.packbits(bits)
+    return signatures(hashes, np.zeros(len(hashes), np.int64), 1)[0]
+
+
+def signatures(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """A row of bytes for each of n texts; text: the number of each hash's text."""
+    bits = np.zeros((n, BITS), bool)
+    bits[text, (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(bits, axis=1)
 
 
 def heads(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(key, n, same, th) of each text (key, text, th) with at least `words` words; same is equal for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
         for batch in batches:
-            sets = [shingles(t, words, seen) for t in batch.column(1).to_pylist()]
+            sets = sets_of(batch.column(1), words)
             some = pa.array([k for k, x in enumerate(sets) if len(x)], pa.int64())
             if len(some):
                 sets = [x for x in sets if len(x)]
@@ -104,13 +173,12 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Keys and sets of some texts (key, text) at a time, with some HELD tokens; each text has a set that isn't empty."""
-    seen: dict[str, int] = {}
     keys, sets, held = [], [], 0
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
             keys.append(part.column(0))
-            sets += [shingles(t, words, seen) for t in part.column(1).to_pylist()]
+            sets += sets_of(part.column(1), words)
             held += sum(map(len, sets[-part.num_rows :]))
             if held >= HELD:
                 yield pa.concat_arrays(keys), sets
@@ -119,63 +187,75 @@ def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[p
         yield pa.concat_arrays(keys), sets
 
 
+def _pieced(sets: list[np.ndarray]) -> tuple[int, np.ndarray]:
+    """A piece's name, which its tokens give, and all its tokens."""
+    flat = np.concatenate(sets)
+    return xxhash.xxh64_intdigest(flat.tobytes()) >> 1, flat
+
+
 def shared_tokens(texts: DataFrame, words: int, bits: int, cuts: int) -> DataFrame:
-    """(part, fp, df, most): the first bits of tokens that stand more than once, sorted, as differences, and how often they do;
-    2 ** cuts parts by the first of them."""
+    """(piece, part, df, most): how often the tokens of each piece of texts stand anywhere, by their first bits: 0 for once. They
+    are in order of these bits, 2 ** cuts parts by the first of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _gathered(batches, words):
-            fp, k = np.unique(np.concatenate(sets).view(np.uint64) >> np.uint64(64 - bits), return_counts=True)
+            piece, flat = _pieced(sets)
+            fp, k = np.unique(flat.view(np.uint64) >> np.uint64(64 - bits), return_counts=True)
             at = np.searchsorted(fp, np.arange(1, 1 << cuts, dtype=np.uint64) << np.uint64(bits - cuts))
             for part, (x, y) in enumerate(zip(np.split(fp, at), np.split(k, at), strict=True)):
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(np.diff(x, prepend=np.uint64(0)))]), pa.array([_packed(y)])], names=["part", "fp", "df"])
+                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(np.diff(x, prepend=np.uint64(0)))]), pa.array([_packed(y)])], names=["piece", "part", "fp", "df"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[tuple[bytes, bytes]]] = {}
+        got: dict[int, list[tuple[int, bytes, bytes]]] = {}
         for batch in batches:
-            for part, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got.setdefault(part, []).append((x, y))
-        for part, pieces in got.items():
-            fp = np.concatenate([np.cumsum(_unpacked(x), dtype=np.uint64) for x, _ in pieces])
+            for piece, part, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault(part, []).append((piece, x, y))
+        for part in list(got):
+            pieces = got.pop(part)
+            each = [np.cumsum(_unpacked(x), dtype=np.uint64) for _, x, _ in pieces]
+            fp = np.concatenate(each)
             order = np.argsort(fp)
-            fp, k = fp[order], np.concatenate([_unpacked(y) for _, y in pieces])[order]
-            first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-            k = np.add.reduceat(k, first)
-            fp, k = fp[first][k > 1], k[k > 1]
-            if len(fp):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(np.diff(fp, prepend=np.uint64(0)))]), pa.array([_packed(k)]), pa.array([int(k.max())])], names=["part", "fp", "df", "most"])
+            fp, k = fp[order], np.concatenate([_unpacked(y) for *_, y in pieces])[order]
+            new = np.concatenate([[True], fp[1:] != fp[:-1]])
+            k = np.add.reduceat(k, np.flatnonzero(new))
+            k[k == 1] = 0
+            df = np.empty_like(fp)
+            df[order] = k[np.cumsum(new) - 1]
+            found = np.split(df, np.cumsum([len(x) for x in each[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in pieces], pa.int64()), pa.array([part] * len(pieces), pa.int32()), pa.array([_packed(x) for x in found], pa.binary()), pa.array([int(x.max()) for x in found], pa.int64())], names=["piece", "part", "df", "most"])
 
     ready()
-    pieces = texts.select("key", "text").mapInArrow(count, "part int, fp binary, df binary")
-    return pieces.repartition("part").mapInArrow(add, "part int, fp binary, df binary, most long")
+    pieces = texts.select("key", "text").mapInArrow(count, "piece long, part int, fp binary, df binary")
+    return pieces.repartition("part").mapInArrow(add, "piece long, part int, df binary, most long")
 
 
-def _parts(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _counts(files: list[str], piece: int) -> np.ndarray:
+    """How often the distinct first bits of a piece's tokens stand, in their order."""
+    got: dict[int, bytes] = {}
     for uri in files:
         system, path = fs.FileSystem.from_uri(uri)
-        with system.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(1, columns=["fp", "df"]):
-                for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield np.cumsum(_unpacked(x), dtype=np.uint64), _unpacked(y)
+        got |= dict(zip(*(c.to_pylist() for c in pq.read_table(path, columns=["part", "df"], filters=[("piece", "=", piece)], filesystem=system).columns), strict=True))
+    return np.concatenate([np.empty(0, np.uint64), *(_unpacked(got[p]) for p in sorted(got))]).astype(np.int64)
 
 
-def _entered(t: float, words: int, files: list[str], bits: int, buckets: int, hot: bool):
+def _entered(t: float, words: int, files: dict[int, list[str]], bits: int, buckets: int, hot: bool):
     """A text's entries. hot: a row for each under a token that stands more than BLOCK times; else a row for each bucket, with the
     entries under its other tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _gathered(batches, words):
             n = np.array([len(x) for x in sets])
-            flat, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            piece, flat = _pieced(sets)
+            text = np.repeat(np.arange(len(sets)), n)
             fp = flat.view(np.uint64) >> np.uint64(64 - bits)
-            order, df = np.argsort(fp), np.zeros(len(flat), np.int64)
+            order, df, known = np.argsort(fp), np.zeros(len(flat), np.int64), _counts(files.get(piece, []), piece)
             fp = fp[order]
-            for known, k in _parts(files):
-                low, high = np.searchsorted(fp, known[0]), np.searchsorted(fp, known[-1], "right")
-                at = np.searchsorted(known, fp[low:high])
-                hit = known[at] == fp[low:high]
-                df[order[low:high][hit]] = k[at[hit]]
+            nth = np.cumsum(np.concatenate([[0], fp[1:] != fp[:-1]]))
+            if len(known) != nth[-1] + 1:
+                raise RuntimeError("the texts came in other pieces than they were counted in: similar_classes() takes a written table")
+            df[order] = known[nth]
+            del fp, order, nth, known
             some = np.flatnonzero(df)
             some = some[np.lexsort((flat[some], df[some], text[some]))]  # each text's shared tokens, from the rarest
             flat, df, text = flat[some], df[some], text[some]
@@ -184,7 +264,7 @@ def _entered(t: float, words: int, files: list[str], bits: int, buckets: int, ho
             at = np.arange(len(text)) - begin[text]
             # its rarest tokens, up to where another text of its size or less may share the first one
             long = shared - np.ceil(t * n - 1e-9).astype(np.int64) + 1
-            sig = [signature(flat[b : b + m]).tobytes() if x > 0 else b"" for b, m, x in zip(begin, shared, long, strict=True)]
+            sig = signatures(flat, text, len(sets))
             keep = np.flatnonzero((at < long[text]) & ((df > BLOCK) == hot))
             flat, text, rest = flat[keep], text[keep], (shared[text] - at - 1)[keep].astype(np.int32)
             sh = flat if hot else flat.astype(np.int32)  # half of the hash: tokens that agree in it cost a look
@@ -198,7 +278,7 @@ def _entered(t: float, words: int, files: list[str], bits: int, buckets: int, ho
             if not len(first):
                 continue
             whose, ends = text[first], pa.array(np.append(first, len(text)), pa.int32())
-            one = [keys.take(pa.array(whose)), pa.array(n[whose], pa.int32()), pa.array(shared[whose], pa.int32()), pa.array([sig[x] for x in whose], pa.binary())]
+            one = [keys.take(pa.array(whose)), pa.array(n[whose], pa.int32()), pa.array(shared[whose], pa.int32()), pa.array([sig[x].tobytes() for x in whose], pa.binary())]
             more = [pa.array(sh), pa.array(rest)] if hot else [pa.ListArray.from_arrays(ends, pa.array(sh)), pa.ListArray.from_arrays(ends, pa.array(rest)), pa.array(bucket[first])]
             yield from pa.Table.from_arrays(one + more, names=["key", "n", "shared", "sig", "sh", "rest", "bucket"][: 4 + len(more)]).to_batches(10_000)
 
@@ -375,16 +455,18 @@ def _similarities(t: float, words: int):
     """(a, b, similarity) of pairs (a, b, one, two) of texts, where it is t or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
         for batch in batches:
-            sets: list[dict] = [{}, {}]
+            sets, which = [], []
+            for key, text in ((0, 2), (1, 3)):
+                code = batch.column(key).dictionary_encode().indices.to_numpy()
+                sets.append(sets_of(batch.column(text).take(pa.array(np.unique(code, return_index=True)[1])), words))
+                which.append(code.tolist())
             at, values = [], []
-            for i, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                for k, s, side in ((a, x, sets[0]), (b, y, sets[1])):
-                    if k not in side:
-                        side[k] = shingles(s, words, seen)
+            for i, (a, b) in enumerate(zip(*which, strict=True)):
                 p, q = sets[0][a], sets[1][b]
-                o = len(np.intersect1d(p, q, assume_unique=True))
+                both = np.concatenate((p, q))
+                both.sort()
+                o = np.count_nonzero(both[1:] == both[:-1])
                 if o / (len(p) + len(q) - o) >= t - 1e-12:
                     at.append(i)
                     values.append(o / (len(p) + len(q) - o))
@@ -395,13 +477,17 @@ def _similarities(t: float, words: int):
 
 
 def similar_classes(texts: DataFrame, t: float, words: int = WORDS) -> DataFrame:
-    """(a, b, similarity) for the keys of different sets with similarity >= t; texts: (key, n, text), one row a set."""
+    """(a, b, similarity) for the keys of different sets with similarity >= t; texts: (key, n, text), one row a set, a
+    written table, as it is read twice in the same pieces."""
     ready()
     kind = texts.schema["key"].dataType.simpleString()
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits, cuts = min(60, max(32, (texts.agg(F.sum("n")).first()[0] or 0).bit_length() + 5)), min(20, parts.bit_length())
-    shared = materialize(shared_tokens(texts, words, bits, cuts), "shared-tokens")
-    most, files = shared.agg(F.max("most")).first()[0] or 0, sorted(shared.inputFiles())
+    shared = materialize(shared_tokens(texts, words, bits, cuts).repartition(parts, "piece").sortWithinPartitions("piece", "part"), "shared-tokens")
+    most, files = 0, {}
+    for r in shared.groupBy("piece", F.input_file_name().alias("file")).agg(F.max("most").alias("most")).collect():  # a row a piece
+        most = max(most, r.most)
+        files.setdefault(r.piece, []).append(r.file)
     entered = lambda hot, out: texts.select("key", "text").mapInArrow(_entered(t, words, files, bits, parts, hot), out)
     out = f"a {kind}, b {kind}"
     maybe = entered(False, f"key {kind}, n int, shared int, sig binary, sh array<int>, rest array<int>, bucket int").repartition(parts, "bucket").mapInArrow(_inside(t), out)

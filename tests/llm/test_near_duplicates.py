@@ -3,6 +3,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -113,6 +114,32 @@ def test_tokens_in_many_pieces(spark, monkeypatch):
     assert (nd._unpacked(nd._packed(x)) == x).all() and len(nd._unpacked(nd._packed(x[:0]))) == 0
 
 
+def test_a_task_reads_the_counts_of_its_own_tokens(spark):
+    """All that tasks read of counts is a number for each token that a piece has, however many pieces there are."""
+    rows = make(9, 300)
+    one, _ = nd.classes(spark.createDataFrame(rows, "note_id long, body string"))
+    counts = [(r.piece, nd._unpacked(r.df)) for r in nd.shared_tokens(one.repartition(6), 5, 40, 3).select("piece", "df").collect()]
+    sets = nd.sets_of(pa.array([r.text for r in one.collect()]), 5)
+    every, k = np.unique(np.concatenate(sets).view(np.uint64) >> np.uint64(24), return_counts=True)
+    assert len({p for p, _ in counts}) == 6
+    assert sum(len(x) for _, x in counts) <= sum(map(len, sets)) and max(x.max() for _, x in counts) == k.max() > 1
+    assert sum((x == 0).sum() for _, x in counts) == (k == 1).sum()
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 7])
+def test_sets_of_many_texts_at_once(monkeypatch, chunk):
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    nd._powers.cache_clear()
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abAB cC  __-\nİΣσςßÉé中文\U0001f600\U00010400\U0001d7d8١²\u0307ǅ", k=rng.choice([0, 1, 6, 40]))) for _ in range(400)]
+    true = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for x in texts for w in [re.findall(r"[^\W_]+", x.lower())]]
+    got = nd.sets_of(pa.array(["aa bb", *texts]).slice(1), 2)
+    assert [len(x) for x in got] == [len(x) for x in true] and all((np.diff(x) > 0).all() for x in got)
+    for i in range(len(texts) - 1):
+        assert len(np.intersect1d(got[i], got[i + 1])) == len(true[i] & true[i + 1])
+    nd._powers.cache_clear()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.key: r.group for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
