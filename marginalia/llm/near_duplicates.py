@@ -144,6 +144,17 @@ def signatures(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """materialize(), after which what was shuffled for it is deleted at once; else it stays until the driver collects its garbage."""
+    conf, of = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(of)
+    conf.set(of, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(of, before)
+
+
 def heads(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(key, n, same, th) of each text (key, text, th) with at least `words` words; same is equal for equal sets."""
 
@@ -483,7 +494,7 @@ def similar_classes(texts: DataFrame, t: float, words: int = WORDS) -> DataFrame
     kind = texts.schema["key"].dataType.simpleString()
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits, cuts = min(60, max(32, (texts.agg(F.sum("n")).first()[0] or 0).bit_length() + 5)), min(20, parts.bit_length())
-    shared = materialize(shared_tokens(texts, words, bits, cuts).repartition(parts, "piece").sortWithinPartitions("piece", "part"), "shared-tokens")
+    shared = _freed(shared_tokens(texts, words, bits, cuts).repartition(parts, "piece").sortWithinPartitions("piece", "part"), "shared-tokens")
     most, files = 0, {}
     for r in shared.groupBy("piece", F.input_file_name().alias("file")).agg(F.max("most").alias("most")).collect():  # a row a piece
         most = max(most, r.most)
@@ -494,7 +505,8 @@ def similar_classes(texts: DataFrame, t: float, words: int = WORDS) -> DataFrame
     if most > BLOCK:
         maybe = maybe.unionByName(_hot(entered(True, f"key {kind}, n int, shared int, sig binary, sh long, rest int"), t, out))
     one, two = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("two"))
-    both = maybe.where("a < b").distinct().join(one, "a").join(two, "b").select("a", "b", "one", "two")
+    maybe = _freed(maybe.where("a < b").distinct(), "candidates")
+    both = maybe.join(one, "a").join(two, "b").select("a", "b", "one", "two")
     return both.mapInArrow(_similarities(t, words), f"{out}, similarity double")
 
 
@@ -523,11 +535,11 @@ def classes(texts: DataFrame, key: str = "note_id", text: str = "body", words: i
     Null texts and those under `words` words are in no class. Rows that repeat a key count once: of texts under one
     key the first in order of set and size stands."""
     some = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    once = materialize(heads(some, words), "heads").groupBy("key").agg(F.min(F.struct("same", "n", "th")).alias("x")).select("key", "x.*")
+    once = _freed(heads(some, words), "heads").groupBy("key").agg(F.min(F.struct("same", "n", "th")).alias("x")).select("key", "x.*")
     members = once.join(once.groupBy("same").agg(F.min("key").alias("class")), "same").select("class", "key", "n", "th")
     reps = members.where(F.col("class") == F.col("key")).select("key", "n", "th")
     one = some.join(reps, ["key", "th"]).dropDuplicates(["key", "th"]).select("key", "n", "text")
-    return materialize(one, "class-texts"), materialize(members.select("class", "key"), "class-members")
+    return _freed(one, "class-texts"), _freed(members.select("class", "key"), "class-members")
 
 
 def near_duplicates(texts: DataFrame, key: str = "note_id", text: str = "body", t: float = 0.5, words: int = WORDS, expand: int = 256) -> DataFrame:
@@ -556,7 +568,7 @@ def groups(texts: DataFrame, key: str = "note_id", text: str = "body", t: float
 
     Links run between classes, so that copies, however many, add rows and no links."""
     one, members = classes(texts, key, text, words)
-    pairs = materialize(similar_classes(one, t, words), "class-pairs")
+    pairs = _freed(similar_classes(one, t, words), "class-pairs")
     both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
     links = both.groupBy(F.col("a").alias("class")).agg(F.count("*").alias("n_links"))
     found = components(pairs).select(F.col("key").alias("class"), "group")
