@@ -251,8 +251,8 @@ def _counts(files: list[str], piece: int) -> np.ndarray:
 
 
 def _entered(t: float, words: int, files: dict[int, list[str]], bits: int, buckets: int, hot: bool):
-    """A text's entries. hot: a row for each under a token that stands more than BLOCK times; else a row for each bucket, with the
-    entries under its other tokens."""
+    """Texts' entries. hot: a row for each under a token that stands more than BLOCK times; else a row for each bucket and piece,
+    a compressed table of its texts with the entries under their other tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _gathered(batches, words):
@@ -280,22 +280,37 @@ def _entered(t: float, words: int, files: dict[int, list[str]], bits: int, bucke
             flat, text, rest = flat[keep], text[keep], (shared[text] - at - 1)[keep].astype(np.int32)
             sh = flat if hot else flat.astype(np.int32)  # half of the hash: tokens that agree in it cost a look
             if hot:
-                first = np.arange(len(text))
-            else:
-                bucket = (sh.view(np.uint32) >> np.uint32(8)) % np.uint32(buckets)
-                order = np.lexsort((bucket, text))
-                sh, text, rest, bucket = sh[order], text[order], rest[order], bucket[order].astype(np.int32)
-                first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])])[: len(text)])
-            if not len(first):
+                if len(text):
+                    yield from _entries(keys, n, shared, sig, text, [pa.array(sh), pa.array(rest)]).to_batches(10_000)
                 continue
-            whose, ends = text[first], pa.array(np.append(first, len(text)), pa.int32())
-            one = [keys.take(pa.array(whose)), pa.array(n[whose], pa.int32()), pa.array(shared[whose], pa.int32()), pa.array([sig[x].tobytes() for x in whose], pa.binary())]
-            more = [pa.array(sh), pa.array(rest)] if hot else [pa.ListArray.from_arrays(ends, pa.array(sh)), pa.ListArray.from_arrays(ends, pa.array(rest)), pa.array(bucket[first])]
-            yield from pa.Table.from_arrays(one + more, names=["key", "n", "shared", "sig", "sh", "rest", "bucket"][: 4 + len(more)]).to_batches(10_000)
+            bucket = (sh.view(np.uint32) >> np.uint32(8)) % np.uint32(buckets)
+            order = np.lexsort((text, bucket))
+            sh, text, rest, bucket = sh[order], text[order], rest[order], bucket[order].astype(np.int32)
+            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(text))
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                whose = text[low:high]
+                first = np.flatnonzero(np.diff(whose, prepend=-1))
+                ends = pa.array(np.append(first, high - low), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[low:high])) for x in (sh, rest)]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[low]], pa.int32()), pa.array([_table(_entries(keys, n, shared, sig, whose[first], lists))])], names=["bucket", "entries"])
 
     return run
 
 
+def _entries(keys: pa.Array, n: np.ndarray, shared: np.ndarray, sig: np.ndarray, whose: np.ndarray, entries: list[pa.Array]) -> pa.Table:
+    """Entries with what belongs to their texts; whose: the numbers of these."""
+    ends = np.arange(len(whose) + 1, dtype=np.int32) * sig.shape[1]
+    sigs = pa.BinaryArray.from_buffers(pa.binary(), len(whose), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sig[whose]))])
+    return pa.Table.from_arrays([keys.take(pa.array(whose)), pa.array(n[whose], pa.int32()), pa.array(shared[whose], pa.int32()), sigs, *entries], names=["key", "n", "shared", "sig", "sh", "rest"])
+
+
+def _table(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
 def _lanes(sig: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sig.to_pylist()), np.uint64).reshape(-1, _LANES)
 
@@ -384,10 +399,11 @@ def _inside(t: float):
     """Candidate pairs of a partition's entries: trees that whole tokens share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
+        got = [pa.ipc.open_stream(x.as_buffer()).read_all() for batch in batches for x in batch.column(1)]
         if not got:
             return
-        rows = pa.Table.from_batches(got).combine_chunks()
+        rows = pa.concat_tables(got).combine_chunks()
+        del got
         key, n, shared, sig, sh, rest = (rows.column(c).chunk(0) for c in ("key", "n", "shared", "sig", "sh", "rest"))
         kind, text = key.type, np.repeat(np.arange(len(key)), sh.value_lengths().to_numpy())
         key, n, shared, sig, sh, rest = key.to_numpy(zero_copy_only=False), n.to_numpy().astype(np.int64), shared.to_numpy().astype(np.int64), _lanes(sig), sh.flatten().to_numpy(), rest.flatten().to_numpy()
@@ -501,7 +517,7 @@ def similar_classes(texts: DataFrame, t: float, words: int = WORDS) -> DataFrame
         files.setdefault(r.piece, []).append(r.file)
     entered = lambda hot, out: texts.select("key", "text").mapInArrow(_entered(t, words, files, bits, parts, hot), out)
     out = f"a {kind}, b {kind}"
-    maybe = entered(False, f"key {kind}, n int, shared int, sig binary, sh array<int>, rest array<int>, bucket int").repartition(parts, "bucket").mapInArrow(_inside(t), out)
+    maybe = entered(False, "bucket int, entries binary").repartition(parts, "bucket").mapInArrow(_inside(t), out)
     if most > BLOCK:
         maybe = maybe.unionByName(_hot(entered(True, f"key {kind}, n int, shared int, sig binary, sh long, rest int"), t, out))
     one, two = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("two"))
